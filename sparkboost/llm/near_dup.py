@@ -161,7 +161,8 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list
 
 
 def _agree(a0, a1, b0, b1) -> np.ndarray:
-    return COORDINATES - np.bitwise_count(a0 ^ b0).astype(np.int64) - np.bitwise_count(a1 ^ b1)
+    # of signed integers bitwise_count takes the magnitude
+    return COORDINATES - np.bitwise_count((a0 ^ b0).view(U64)).astype(np.int64) - np.bitwise_count((a1 ^ b1).view(U64))
 
 
 def _bits(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
