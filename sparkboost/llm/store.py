@@ -54,3 +54,22 @@ def remove(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def kept_rows(docs: DataFrame, text: str, mask) -> DataFrame:
+    """The rows of docs, with all their columns, for which mask(bytes, offsets) is true; no shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .text import slices
+
+    place = docs.columns.index(text)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            keep = [np.asarray(mask(data, off), dtype=bool) for _, _, data, off in slices(batch.column(place))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

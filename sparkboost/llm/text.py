@@ -48,7 +48,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of every data[start:end]; the same bytes give the same hash anywhere.
 
-    Spans are in order and don't overlap; they are worked on in stretches of SLICE_BYTES.
+    Starts and ends ascend; the spans are worked on in stretches of SLICE_BYTES.
     """
     out = np.zeros(len(start), dtype=U64)
     i = 0
@@ -88,12 +88,12 @@ def slices(column: pa.Array, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) ->
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; words end at row borders."""
+def words(data: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word; words end at row borders and at the bytes of ``outside``."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -137,3 +137,10 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndar
             rows.append(few)
             hashes.append(part[few] + n[few].astype(U64))
         return np.concatenate(rows), mix(np.concatenate(hashes))
+
+
+def row_sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of flags over the bytes of each row."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[off[1:]] - total[off[:-1]]
