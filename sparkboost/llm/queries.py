@@ -7,20 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontamination, near_dup, quality, sharding, token_files, toxicity
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+SHARDS = 8
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers that are installed beside this library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and toxic flag of every document, by a model fitted on ``labels``."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the weak-supervision verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its place."""
+    return decontamination.contaminations(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 8 and slot, and its shard of 9."""
+    return sharding.assigned(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates: five words, similarity 0.8."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the token files of all documents."""
+    return token_files.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality": op2_quality,
+        "op3_contamination": op3_contamination,
+        "op5_shards": op5_shards,
         "op7_near_duplicates": op7_near_duplicates,
+        "op10_token_files": op10_token_files,
     }
 
 
