@@ -25,11 +25,11 @@ from .text import U64, mix, shingles, slices
 #: none of the 32 bands with probability 5e-8.
 COORDINATES, BAND = 128, 4
 WORDS, SIMILARITY = 5, 0.8
-#: A pair is put to the exact test if this many of the 128 one-bit coordinates agree; a pair of
+#: A star's link is put to the exact test if this many of the 128 one-bit coordinates agree; a pair of
 #: similarity 0.8 has 115 on average and fewer than 98 with probability 1e-6.
 AGREE = 98
-#: Rows of one run that are held together, and rows of a group in a run that is dealt out.
-RUN_BLOCK, DEAL = 1 << 16, 2048
+#: Rows of a run that are held together; rows and bytes of sets of a group in a run that is dealt out.
+RUN_BLOCK, DEAL_ROWS, DEAL_BYTES = 1 << 16, 2048, 8 << 20
 
 
 def throw(row: np.ndarray, key: np.ndarray, weight: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,25 +205,61 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one run, in different components, whose sketches are close; a dealt run's groups i and j only meet each other."""
-    for (key, i, j, group, doc, s0, s1, comp), _ in _runs(batches, 3):
-        border = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        for lo, hi in zip(border, np.append(border[1:], len(key)), strict=True):
-            if hi - lo < 2 or comp[lo] == comp[hi - 1] and (comp[lo:hi] == comp[lo]).all():
-                continue
-            for x in range(lo, hi, 256):
-                a = slice(x, min(x + 256, hi))
-                b = slice(x, hi)
-                ok = _agree(s0[a, None], s1[a, None], s0[None, b], s1[None, b]) >= AGREE
-                ok &= comp[a, None] != comp[None, b]
-                if i[lo] != j[lo]:
-                    ok &= group[a, None] != group[None, b]
-                u, v = np.nonzero(ok)
-                up = u < v  # both count from x
-                if up.any():
-                    p, q = doc[x + u[up]], doc[x + v[up]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+def _bridges(similarity: float):
+    """Links of a run between components: all pairs of the run are tested, on whole sets.
+
+    Only elements that two rows of the run have can be common to a pair; with one bit for each
+    of them the common elements of a pair are counted exactly.  One link is given for
+    components that nothing joined before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j, group, doc, comp, sets), _ in _runs(batches, 3):
+            border = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            a, b = [], []
+            for lo, hi in zip(border, np.append(border[1:], len(key)), strict=True):
+                if (comp[lo:hi] != comp[lo]).any():
+                    for p, q in _joining(doc[lo:hi], comp[lo:hi], group[lo:hi] if i[lo] != j[lo] else None, [np.frombuffer(x, dtype=U64) for x in sets[lo:hi]], similarity):
+                        a.append(p)
+                        b.append(q)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def _joining(doc, comp, group, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    number, owner = place[number[shared[number]]], owner[shared[number]]
+    bits = np.zeros((len(sets), int(shared.sum()) // 64 + 1), dtype=U64)
+    np.bitwise_or.at(bits, (owner, number >> 6), U64(1) << (number & 63).astype(U64))
+    head: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while head.get(c, c) != c:
+            c = head[c]
+        return c
+
+    step = max(1, (1 << 21) // (bits.shape[1] * len(sets)))
+    for x in range(0, len(sets), step):
+        a = slice(x, x + step)
+        common = np.bitwise_count(bits[a, None] & bits[None]).sum(axis=2, dtype=np.int64)
+        ok = (common >= similarity * (size[a, None] + size[None] - common) - 1e-9) & (comp[a, None] < comp[None])
+        if group is not None:
+            ok &= group[a, None] != group[None]
+        u, v = np.nonzero(ok)
+        if len(u):
+            u += x
+            _, first = np.unique(np.stack([comp[u], comp[v]], axis=1), axis=0, return_index=True)
+            for k in first.tolist():
+                p, q = find(int(comp[u[k]])), find(int(comp[v[k]]))
+                if p != q:
+                    head[max(p, q)] = min(p, q)
+                    yield int(doc[u[k]]), int(doc[v[k]])
 
 
 def _sets(width: int):
@@ -260,26 +296,36 @@ def _test(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts have that weighted Jaccard similarity, by their whole shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("shuffle_hash")
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, elements binary")
-    sets = written(sets, "dedup-sets")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) that have that weighted Jaccard similarity, by their whole shingle sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(_test(similarity), "a long, b long")
 
 
+def _open_runs(multi: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The runs that hold more than one component, with the rows' sets; large ones dealt out by pairs of groups."""
+    there = multi.select("key", "doc_id").join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
+    there = written(there.withColumn("component", F.coalesce("component", "doc_id")), "dedup-runs")
+    size = F.octet_length("elements")
+    keys = there.join(sets.select("doc_id", size.alias("size")), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    keys = keys.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("n") / DEAL_ROWS), F.ceil(F.col("size") / DEAL_BYTES)).alias("g"))
+    dealt = there.join(keys, "key").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.col("g")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    dealt = dealt.join(sets, "doc_id").select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "doc_id", "component", "elements")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row (doc_id, class_id) for each document; a class is named by its least doc_id.
 
     Two documents are linked if their texts are equal or the weighted Jaccard similarity of
     their shingle counts reaches ``similarity``; classes are the connected components.  Copies
     of a text are folded into one before anything else.  Every band key's run is joined to a
-    pivot (a star), links are verified on whole shingle sets, and then all pairs of a run that
-    are still in different components are tested too, so that no link between different texts
-    depends on the pivot.
+    pivot (a star) and those links are verified on whole shingle sets; then all pairs of a run
+    that are still in different components are tested too, likewise on whole sets, so that no
+    link between different texts depends on the pivot or on a sketch.
 
     Cases: a text of one to four words has one shingle of all its words; empty texts are equal
     to each other; a null text is a class of its own; rows that share a doc_id are one document;
@@ -297,22 +343,14 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS, similarity: float =
     rows = unique.select(F.explode("bands").alias("key"), "doc_id", "s0", "s1")
     rows = rows.repartition("key").sortWithinPartitions("key")
     multi = written(rows.mapInArrow(_stars, "key long, doc_id long, s0 long, s1 long, pivot long, close boolean"), "dedup-runs")
-    stars = written(multi.where("close").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "dedup-stars")
-    links = written(verified(stars, known, width, similarity), "dedup-links")
+    ids = multi.select("doc_id").distinct().hint("shuffle_hash")
+    sets = written(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, elements binary"), "dedup-sets")
+    stars = multi.where("close").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = written(_verified(stars, sets, similarity), "dedup-links")
     comps = written(connected_components(links), "dedup-components")
-
-    there = multi.select("key", "doc_id", "s0", "s1").join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-    there = written(there.withColumn("component", F.coalesce("component", "doc_id")), "dedup-runs")
-    open_keys = there.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / DEAL).alias("g"))
-    dealt = there.join(open_keys, "key").withColumn("grp", F.when(F.col("g") > 1, F.pmod(F.xxhash64("doc_id"), F.col("g"))).otherwise(F.lit(0)).cast("long"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g").cast("long") - 1)))
-    dealt = dealt.select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "doc_id", "s0", "s1", "component")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component")
-    rest = written(dealt.mapInArrow(_pairs, "a long, b long").distinct(), "dedup-rest")
-    if not rest.isEmpty():
-        more = written(verified(rest, known, width, similarity), "dedup-links")
-        if not more.isEmpty():
-            comps = connected_components(links.unionByName(more))
+    bridges = written(_open_runs(multi, comps, sets).mapInArrow(_bridges(similarity), "a long, b long").distinct(), "dedup-links")
+    if not bridges.isEmpty():
+        comps = connected_components(links.unionByName(bridges))
     out = members.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left")
     out = out.select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
