@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dup, quality, sharding, token_files, toxicity
-from .store import table
+from . import decontamination, fixity, mixing, near_dup, quality, sharding, token_counts, token_files, toxicity, url_filter
+from .store import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,16 +39,55 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+#: Bits of a replica that the audit is shown are flipped where the hash of a url begins so.
+DAMAGED, LOST = "07", "5c"
+
+
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of all pages' WARC records against a replica with planted damage.
+
+    In the replica, records whose url has an MD5 that begins with DAMAGED end in another byte, and
+    those with LOST are missing.
+    """
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    mark = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 2)
+    html = F.when(mark == DAMAGED, F.concat(F.coalesce("html", F.lit("")), F.lit("?"))).otherwise(F.col("html"))
+    return fixity.audited(pages, pages.where(mark != LOST).withColumn("html", html))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 8 and slot, and its shard of 9."""
     return sharding.assigned(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents by source, language and tokenizer version after a life of four batches."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return token_counts.maintained(docs, new_path(spark, "token-counts"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates: five words, similarity 0.8."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+URL_RULES = [url_filter.Rule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
+#: First labels of hosts whose urls are on the list.
+LISTED = ("spam-farm", "ads-track")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; the list holds the urls (host and path) of hosts that begin with LISTED."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    keys = url_filter.parsed(pages).where(F.substring_index("host", ".", 1).isin(*LISTED)).select(F.concat("host", "path").alias("key")).distinct()
+    return url_filter.verdicts(pages, URL_RULES, keys)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document, for mixing.TARGETS."""
+    return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the token files of all documents."""
     return token_files.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -59,8 +98,12 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
         "op3_contamination": op3_contamination,
+        "op4_fixity": op4_fixity,
         "op5_shards": op5_shards,
+        "op6_token_counts": op6_token_counts,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_urls": op8_urls,
+        "op9_mixing": op9_mixing,
         "op10_token_files": op10_token_files,
     }
 

@@ -67,6 +67,16 @@ class Model:
         both = np.unique(np.concatenate(found))
         return both // (FEATURES * 4), both % (FEATURES * 4)
 
+    def judge(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the probabilities of ``above``, and whether it is toxic."""
+        row, feature = self.present(data, off)
+        n = len(off) - 1
+        above = self.above(np.bincount(row, weights=self.weights[feature], minlength=n))
+        return above, (np.bincount(row, minlength=n) > 0) & (above[:, 0] >= self.reject_at)
+
+    def rejects(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return self.judge(data, off)[1]
+
     def above(self, score: np.ndarray) -> np.ndarray:
         """(n, grades) probabilities that the grade exceeds 0, 1, ..."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -500, 500)))
@@ -119,6 +129,24 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(clean[part]), pa.array(toxic[part])], names=["feature", "clean", "toxic"])
 
 
+def selected(rows: DataFrame, n_features: int) -> tuple[Model, np.ndarray]:
+    """A model without weights of the features that tell the labels (doc_id, text, toxic 0 or 1) apart best.
+
+    Features are ranked by their log odds times the root of their share of each class.  Also
+    given: which of them mark the toxic class.
+    """
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = total.get(0, 0), total.get(1, 0)
+    if not n0 or not n1:
+        return Model(np.zeros(0, U64), np.zeros(0), np.zeros(GRADES)), np.zeros(0, dtype=bool)
+    stats = rows.mapInArrow(_tally, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {SUPPORT}")
+    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
+    best = stats.withColumn("odds", odds).withColumn("rank", F.abs("odds") * F.sqrt(F.col("c") / n0 + F.col("t") / n1)).orderBy(F.desc("rank"), "feature").limit(n_features).collect()
+    keys = np.array([r["feature"] for r in best], dtype=np.int64).view(U64)
+    order = np.argsort(keys)
+    return Model(keys[order], np.zeros(len(keys)), np.zeros(GRADES)), np.array([r["odds"] for r in best])[order] > 2.0
+
+
 def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, n_grades: int = GRADES) -> Model:
     """Fits a model on labelled documents: at most ``fit_rows`` of them, those first in a hash order of doc_id.
 
@@ -133,17 +161,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("long").alias("toxic")), "toxicity-sample")
-    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
-    if not n0 or not n1:
-        return Model(np.zeros(0, U64), np.zeros(0), np.full(n_grades, np.inf))
-    stats = rows.mapInArrow(_tally, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {SUPPORT}")
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    best = stats.withColumn("odds", odds).withColumn("rank", F.abs("odds") * F.sqrt(F.col("c") / n0 + F.col("t") / n1)).orderBy(F.desc("rank"), "feature").limit(n_features).collect()
-    keys = np.array([r["feature"] for r in best], dtype=np.int64).view(U64)
-    order = np.argsort(keys)
-    draft = Model(keys[order], np.zeros(len(keys)), np.zeros(n_grades))
-    marks = np.array([r["odds"] for r in best])[order] > 2.0
+    draft, marks = selected(rows, n_features)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +174,13 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     sizes = np.array([len(r["features"]) for r in got])
     feature = np.array([f for r in got for f in r["features"]], dtype=np.int64)
     row = np.repeat(np.arange(len(got)), sizes)
-    toxic = np.array([r["toxic"] for r in got])
+    toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
+    if not toxic.any() or toxic.all():
+        return Model(np.zeros(0, U64), np.zeros(0), np.full(n_grades, np.inf))
     mass = np.bincount(row, weights=marks[feature], minlength=len(got))
     cuts = np.quantile(mass[toxic > 0], np.arange(1, n_grades) / n_grades)
     grade = np.where(toxic > 0, 1 + np.searchsorted(cuts, mass, side="left"), 0)
-    weights, thresholds = fit(row, feature, grade, len(keys), n_grades)
+    weights, thresholds = fit(row, feature, grade, len(draft.keys), n_grades)
     return Model(draft.keys, weights, thresholds)
 
 
@@ -175,12 +195,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in slices(batch.column(1)):
-                row, feature = model.present(data, off)
-                above = model.above(np.bincount(row, weights=model.weights[feature], minlength=j - i))
-                has = np.bincount(row, minlength=j - i) > 0
+                above, toxic = model.judge(data, off)
                 edge = np.concatenate([np.ones((j - i, 1)), above, np.zeros((j - i, 1))], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(above.sum(axis=1)), pa.array((edge[:, :-1] - edge[:, 1:]).argmax(axis=1)), pa.array(has & (above[:, 0] >= model.reject_at))],
+                    [batch.column(0).slice(i, j - i), pa.array(above.sum(axis=1)), pa.array((edge[:, :-1] - edge[:, 1:]).argmax(axis=1)), pa.array(toxic)],
                     names=["doc_id", "severity", "grade", "toxic"],
                 )
 
