@@ -22,9 +22,12 @@ from .text import U64, mix, row_sums, slices, span_hash, words
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Further counts that rules look at.
-MORE = ("n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_distinct_words")
+MORE = ("n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_distinct_words", "n_letter_words")
 COLUMNS = BASE + MORE
 
+#: Share of all weight that stays with the start of the fit.
+BELIEF = 0.02
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +54,8 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 0.0, 0.01, 0.0, 0.05),
+    Rule("symbols_by_word", "n_symbols", "n_words", 0.0, 0.02, 0.0, 0.1),
+    Rule("letter_words", "n_letter_words", "n_words", 0.9, 1.0, 0.8, 1.0),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.0, 0.1, 0.0, 0.3, 4),
     Rule("repeated_words", "n_repeat_words", "n_words", 0.0, 0.15, 0.0, 0.35),
     Rule("word_length", "word_chars", "n_words", 3.0, 9.0, 2.2, 13.0),
@@ -76,11 +81,7 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     kind[0x80:0xC0] = 5
     kinds = kind[data]
     upper, later = row_sums(kinds == 2, off), row_sums(kinds == 5, off)
-    inside = np.zeros(len(data) + 1, np.int64)
-    if len(data):
-        size = end - start
-        put("word_chars", np.bincount(row, weights=size, minlength=n).astype(np.int64) - later)
-    del inside
+    put("word_chars", np.bincount(row, weights=end - start, minlength=n).astype(np.int64) - later)
     put("n_words", per(row))
     put("n_symbols", row_sums(kinds == 1, off))
     put("n_upper", upper)
@@ -88,6 +89,9 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     put("n_digits", row_sums(kinds == 4, off))
     if not len(start):
         return out
+    letters = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((kinds == 2) | (kinds == 3) | (data >= 0xC3), out=letters[1:])
+    put("n_letter_words", per(row[letters[end] > letters[start]]))
     stop = np.zeros(256, bool)
     stop[[ord(c) for c in ".?!"]] = True
     put("n_stops", per(row[stop[data[end - 1]]]))
@@ -140,19 +144,22 @@ def fit(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200, tolerance:
     """Prior of the good class and (rule, class, vote) probabilities by expectation-maximisation.
 
     patterns: (n, rules) votes 0 abstain, 1 good, 2 bad; class 1 is good.  The start says only
-    that good votes are commoner in good texts and bad votes in bad ones.
+    that good votes are commoner in good texts and bad votes in bad ones; BELIEF of all
+    documents' weight stays with that start, so that the classes can't trade places or
+    split along something else than quality.
     """
     m = patterns.shape[1]
     prior, p = 0.8, np.empty((m, 2, 3))
     p[:, 0] = (0.2, 0.5, 0.3)
     p[:, 1] = (0.1, 0.89, 0.01)
     total = weight.sum()
+    start = p * np.array([1 - prior, prior])[None, :, None] * BELIEF * total
     for _ in range(rounds if total else 0):
         good = posterior(patterns, prior, p)
         q = np.stack([(1 - good) * weight, good * weight])
         new = np.empty_like(p)
         for v in range(3):
-            new[:, :, v] = ((patterns == v).T.astype(float) @ q.T) + (0.5, 0.5)
+            new[:, :, v] = ((patterns == v).T.astype(float) @ q.T) + start[:, :, v]
         new /= new.sum(axis=2, keepdims=True)
         now = float(np.clip((q[1].sum() + 1) / (total + 2), 1e-4, 1 - 1e-4))
         moved = max(abs(now - prior), float(np.abs(new - p).max()))
