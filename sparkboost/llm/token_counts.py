@@ -36,11 +36,15 @@ def bpe(path: str) -> Callable[[Column], Column]:
     def count(text: Column) -> Column:
         @F.pandas_udf("long")
         def ids(texts):
+            import numpy as np
             import pandas as pd
+            import pyarrow as pa
 
+            from .text import slices
             from .token_files import encoder
 
-            return pd.Series([len(x) // 4 for x in encoder(path).encode(texts.fillna("").tolist())], dtype="int64")
+            parts = [encoder(path).encode(data, off)[1] for _, _, data, off in slices(pa.array(texts, pa.string()))]
+            return pd.Series(np.concatenate([np.zeros(0, np.int64), *parts]))
 
         return ids(text)
 

@@ -8,7 +8,6 @@ border of documents, so any document, and with the lengths any id of it, is deco
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import new_path, small_batches
-from .text import U64, slices
+from .text import SLICE_BYTES, U64, mix, slices
 
 #: Ids of one block at most (a longer document has a block of its own).
 BLOCK_IDS = 1 << 19
 #: A pair becomes a rule if it occurs so often in a block; rules and sequence are 16 bits wide
 #: as long as all symbols fit.
-LEAST, ROUNDS = 12, 6
+LEAST, ROUNDS = 12, 3
 END = 2
 MAGIC = b"RPG1"
 
@@ -79,7 +78,10 @@ class Grammar:
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All of start[i], start[i] + 1, ..., start[i] + n[i] - 1."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    total = int(n.sum())
+    out = np.repeat((start - (np.cumsum(n) - n)).astype(np.int32 if total < 1 << 30 else np.int64), n)
+    out += np.arange(total, dtype=out.dtype)
+    return out
 
 
 def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[Grammar, np.ndarray]:
@@ -96,42 +98,43 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
         if len(seq) < 2:
             break
         key = (seq[:-1].astype(U64) << U64(32)) | seq[1:]
-        small = ((key * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int64)
-        open_ = ~last[:-1]
-        small[~open_] = 1 << 20
+        small = ((key * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int32)
+        small[last[:-1]] = 1 << 20
         often = np.bincount(small, minlength=(1 << 20) + 1)
         often[1 << 20] = 0
         may = np.flatnonzero(often[small] >= least)
         if not len(may):
             break
-        order = np.argsort(key[may], kind="stable")
-        pairs = key[may][order]
+        pairs = np.sort(key[may])
         border = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         count = np.diff(np.append(border, len(pairs)))
         room = 65536 - symbols if symbols < 65536 else 1 << 20
         good = np.flatnonzero(count >= least)
         good = good[np.lexsort((pairs[border[good]], -count[good]))]
-        begins, ends = set(), set()
+        best = pairs[border[good]]
+        place = ((best * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int64)
+        begins, ends, slots = set(), set(), set()
         taken = []
-        for g, a, b in zip(good.tolist(), (pairs[border[good]] >> U64(32)).tolist(), (pairs[border[good]] & U64(0xFFFFFFFF)).tolist(), strict=True):
+        for g, (a, b, s) in enumerate(zip((best >> U64(32)).tolist(), (best & U64(0xFFFFFFFF)).tolist(), place.tolist(), strict=True)):
             if len(taken) >= room:
                 break
-            if a not in ends and b not in begins and (a != b or a not in begins and b not in ends):
+            if a not in ends and b not in begins and s not in slots and (a != b or a not in begins and b not in ends):
                 begins.add(a)
                 ends.add(b)
+                slots.add(s)
                 taken.append(g)
         if not taken:
             break
-        taken = np.array(taken)
-        names = pairs[border[taken]]
-        number = np.full(len(border), -1, dtype=np.int64)
-        number[taken] = np.arange(len(taken))
-        of = np.repeat(number, count)
-        hit = of >= 0
-        place, name = may[order[hit]], of[hit]
+        names = best[taken]
+        number = np.full((1 << 20) + 1, -1, dtype=np.int32)
+        number[place[taken]] = np.arange(len(taken))
+        name = number[small[may]]
+        hit = np.flatnonzero(name >= 0)
+        hit = hit[names[name[hit]] == key[may[hit]]]
+        place, name = may[hit], name[hit].astype(np.int64)
         twin = names[name] >> U64(32) == names[name] & U64(0xFFFFFFFF)
         if twin.any():  # in a run of one id every second place
-            p = np.sort(place[twin])
+            p = place[twin]
             start = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1]))
             nth = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))
             odd = p[nth % 2 == 1]
@@ -216,17 +219,57 @@ class Block:
         return symbol
 
 
-#: Pieces whose ids a worker remembers at most.
-MEMORY = 250_000
+#: Slots for pieces, and ids of pieces, that a worker remembers.
+SLOTS, REMEMBERED = 1 << 21, 1 << 23
+
+# classes of bytes: blank, line end, other white space, ASCII letter or digit, mark, lead byte that white space may have
+_BLANK, _LINE, _WHITE, _ALNUM, _MARK, _LEAD = 1, 2, 4, 8, 16, 32
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[0x20], _CLASS[0x0A] = _BLANK, _LINE
+_CLASS[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = _WHITE
+_CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = _ALNUM
+_CLASS[[ord(c) for c in ".,;:!?"]] = _MARK
+_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def _wide_white(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Which of the places ``lead`` begin white space outside ASCII."""
+    b0 = data[lead]
+    b1, b2 = (data[np.minimum(lead + k, len(data) - 1)] for k in (1, 2))
+    two = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    three = (b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80) | (b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80) | (b0 == 0xE2) & (b1 == 0x81) & (b2 == 0x9F)
+    three |= (b0 == 0xE2) & (b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))
+    return lead[two | three]
+
+
+def _names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(2, n) words that name each piece: of up to 16 bytes its length and all its bytes, else a 128-bit hash."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    out = np.empty((2, len(start)), dtype=U64)
+    out[0] = mix((eight[start] & _LOW[np.minimum(size, 8)]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    out[1] = np.where(size > 8, eight[np.maximum(start + size - 8, 0)], U64(0))
+    at = np.flatnonzero(size > 16)
+    inner = 8
+    while len(at):
+        for k, c in enumerate((U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93))):
+            out[k, at] = mix(out[k, at] * c + eight[start[at] + inner])
+        inner += 8
+        at = at[size[at] > inner + 8]
+    return out
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, remembered by piece.
 
-    A blank between two characters that aren't white space always begins a new pre-token of
-    a byte-level vocabulary.  A text that has no other blanks may thus be cut there; its pieces
-    that aren't known yet are encoded behind one another and told apart by the bytes that each
-    id stands for.  Any other text is encoded as it is.
+    A byte-level vocabulary's pre-tokens never reach across certain places: before a blank
+    between characters that aren't white space, between an ASCII letter or digit and one of
+    ``.,;:!?``, and around a single line end between characters that aren't white space.  Texts are cut there;
+    pieces that aren't remembered are encoded by the library behind one another, once each, and
+    told apart by the bytes that each id stands for.  A text with any other white space is
+    encoded as it is.  A piece is recognised by its bytes, one of more than 16 bytes by a 128-bit
+    hash; a new piece takes the slot of an old one.
     """
 
     def __init__(self, path: str) -> None:
@@ -240,48 +283,96 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.bytes_of = np.zeros(self.size, dtype=np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = np.zeros((SLOTS, 4), dtype=U64)  # the name of a piece, its first id's place, its number of ids
+        self.ids, self.used = np.zeros(REMEMBERED, dtype=np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        alone = [x for x in new if x[0] != " " or x[-1:].isspace()]
-        self.known.update((x, i.tobytes()) for x, i in zip(alone, self._library(alone), strict=True))
-        joined = [x for x in new if x[0] == " " and not x[-1:].isspace()]
-        if joined:
-            ids = self._library(["".join(joined)])[0]
-            at = np.cumsum(self.bytes_of[ids])
-            stop = np.cumsum([len(x.encode()) for x in joined])
-            cut = np.searchsorted(at, stop)
-            if cut[-1] != len(ids) - 1 or (at[cut] != stop).any():
-                raise ValueError("pieces don't end where ids end: not a byte-level vocabulary")
-            raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-            self.known.update(zip(joined, (raw[i:j] for i, j in zip(cut, cut[1:], strict=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if not text or text[-1].isspace() or _CLOSE.search(text):
-                cut.append(None)
-                continue
-            first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
-            pieces = [first, *rest] if first else rest
-            cut.append(pieces)
-            new.update((x, None) for x in pieces if x not in known)
-        if new:
-            self._learn(list(new))
-        whole = iter(self._library([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole).tobytes() if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
-
-
-_CUT = re.compile("(?= )")
-_CLOSE = re.compile(r" \s|\s ")
+        return [np.array(x.ids, dtype=np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[bytes], between: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of pieces, encoded as one text with ``between`` behind each."""
+        ids = self._library([b"".join(x + between for x in pieces).decode()])[0]
+        at = np.cumsum(self.bytes_of[ids])
+        size = np.array([len(x) for x in pieces])
+        stop = np.cumsum(size + len(between)) - len(between)
+        last = np.searchsorted(at, stop)
+        begin = np.concatenate([[0], last[:-1] + 1 + len(between)])
+        if (at[last] != stop).any() or (at[begin] - self.bytes_of[ids[begin]] != stop - size).any():
+            raise ValueError("pieces don't end where ids end: not a byte-level vocabulary")
+        return ids[_ranges(begin, last + 1 - begin)], last + 1 - begin
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts by row) of the rows of a slice."""
+        n = len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        if self.used > REMEMBERED:
+            self._forget()
+        kind = _CLASS[data]
+        at, after = kind[:-1], kind[1:]
+        cut = np.empty(len(data), dtype=bool)
+        cut[1:] = (after & (_BLANK | _LINE)) | (at & _LINE) | ((at << 1) & after & _MARK)
+        cut[off[:-1][off[:-1] < len(data)]] = True
+        white = kind & (_BLANK | _LINE | _WHITE)
+        double = np.flatnonzero((white[:-1] != 0) & (white[1:] != 0)) + 1
+        border = off[1:][off[1:] > off[:-1]] - 1
+        rare = np.flatnonzero(kind & (_WHITE | _LEAD))
+        is_lead = kind[rare] == _LEAD
+        strange = np.concatenate([double[~np.isin(double, off)], border[white[border] != 0], rare[~is_lead], _wide_white(data, rare[is_lead])])
+        whole = np.zeros(n, dtype=bool)
+        whole[np.searchsorted(off, strange, side="right") - 1] = True
+        start = np.flatnonzero(cut)
+        row = np.searchsorted(off, start, side="right") - 1
+        if whole.any():
+            stay = ~whole[row] | (start == off[row])
+            start, row = start[stay], row[stay]
+        end = np.append(start[1:], len(data))
+        key = _names(data, start, end - start)
+        slot = (mix(key[0] ^ key[1] * U64(0xA24BAED4963EE407)) >> U64(43)).astype(np.int64)
+        there = np.take(self.table, slot, axis=0)
+        hit = (there[:, 0] == key[0]) & (there[:, 1] == key[1]) & ~whole[row]
+        first, count = there[:, 2].astype(np.int64), there[:, 3].astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            single, entire = miss[~whole[row[miss]]], miss[whole[row[miss]]]
+            _, pick, inverse = np.unique(mix(key[0, single]) + key[1, single], return_index=True, return_inverse=True)
+            pick = single[pick]
+            lead = data[start[pick]]
+            raw = [data[s:e].tobytes() for s, e in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
+            begin, n_ids = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
+            for own, between in ((lead == 0x20, b""), ((lead != 0x20) & (lead != 0x0A), b"\n"), (lead == 0x0A, None)):
+                own = np.flatnonzero(own)
+                if not len(own):
+                    continue
+                if between is None:
+                    parts = self._library([raw[i].decode() for i in own])
+                    ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+                else:
+                    ids, counts = self._joined([raw[i] for i in own], between)
+                begin[own], n_ids[own] = self._put(ids) + np.cumsum(counts) - counts, counts
+            first[single], count[single] = begin[inverse], n_ids[inverse]
+            self.table[slot[pick]] = np.stack([*key[:, pick], begin.astype(U64), n_ids.astype(U64)], axis=1)
+            kept = self.used
+            for k, ids in zip(entire, self._library([data[start[k] : end[k]].tobytes().decode() for k in entire]), strict=True):
+                first[k], count[k] = self._put(ids), len(ids)
+        out = self.ids[_ranges(first, count)]
+        if len(miss):
+            self.used = kept  # texts that were encoded as they are aren't remembered
+        return out, np.bincount(row, weights=count, minlength=n).astype(np.int64)
+
+    def _put(self, ids: np.ndarray) -> int:
+        """Where the ids have been put behind the remembered ones."""
+        at = self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), REMEMBERED >> 2), np.uint32)])
+        self.ids[at : at + len(ids)] = ids
+        self.used = at + len(ids)
+        return at
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -307,36 +398,46 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = END,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        tail = struct.pack("<I", end)
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        raws: list[bytes] = []
+        docs_held: list[pa.Array] = []
+        ids_held: list[np.ndarray] = []
+        counts_held: list[np.ndarray] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             nonlocal number, start, held
-            n = np.array([len(x) // 4 for x in raws])
-            flat = np.frombuffer(b"".join(raws), dtype="<u4")
+            n, flat = np.concatenate(counts_held), np.concatenate(ids_held)
             last = np.zeros(len(flat), dtype=bool)
             last[np.cumsum(n) - 1] = True
             grammar, symbols = repair(flat, last, max(code.size, end + 1))
-            row = [[part], [number], [start], [list(ids)], [n.tolist()], [symbols.tolist()], [pack(grammar, grammar.lengths())]]
+            row = [[part], [number], [start], [pa.concat_arrays(docs_held)], [n], [symbols], [pack(grammar, grammar.lengths())]]
             number, start, held = number + 1, start + len(flat), 0
-            ids.clear()
-            raws.clear()
+            for x in (docs_held, ids_held, counts_held):
+                x.clear()
             types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["part", "block", "block_start", "doc_ids", "n_tokens", "symbols", "grammar"])
+            cols = [pa.ListArray.from_arrays(pa.array([0, len(x[0])], pa.int32()), x[0] if isinstance(x[0], pa.Array) else pa.array(x[0])) if pa.types.is_list(t) else pa.array(x, t) for x, t in zip(row, types, strict=True)]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "block_start", "doc_ids", "n_tokens", "symbols", "grammar"])
 
         for batch in batches:
-            for i, j, *_ in slices(batch.column(1)):
-                texts = batch.column(1).slice(i, j - i).fill_null("").to_pylist()
-                for doc, raw in zip(batch.column(0).slice(i, j - i).to_pylist(), code.encode(texts), strict=True):
-                    if raws and held + len(raw) + 4 > 4 * block_ids:
+            for i, j, data, off in slices(batch.column(1), SLICE_BYTES // 2):
+                ids, counts = code.encode(data, off)
+                at = np.concatenate([[0], np.cumsum(counts)])
+                full = np.insert(ids, at[1:], np.uint32(end))
+                counts, at = counts + 1, at + np.arange(j - i + 1)
+                done = 0
+                while done < j - i:  # as many documents as the block has room for
+                    room = block_ids - held
+                    to = int(np.searchsorted(at, at[done] + room, side="right")) - 1
+                    to = max(min(to, j - i), done if held else done + 1)
+                    if to > done:
+                        docs_held.append(batch.column(0).slice(i + done, to - done))
+                        ids_held.append(full[at[done] : at[to]])
+                        counts_held.append(counts[done:to])
+                        held += int(at[to] - at[done])
+                        done = to
+                    if done < j - i:
                         yield block()
-                    ids.append(doc)
-                    raws.append(raw + tail)
-                    held += len(raw) + 4
-        if raws:
+        if held:
             yield block()
 
     ranged.mapInArrow(run, FILE).write.parquet(path)
@@ -361,7 +462,7 @@ def read_tokens(spark, path: str, *, with_ids: bool = False) -> DataFrame:
                 block = Block(raw.as_buffer().to_pybytes(), symbols)
                 ids = block.expand(block.grammar.sequence)
                 at = np.concatenate([[0], np.cumsum(n)])
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = np.array([zlib.crc32(raw[4 * at[d] : 4 * at[d + 1]]) for d in range(len(n))], dtype=np.int64)
                 cols = [pa.array(np.full(len(n), part.as_py(), np.int64)), doc.values, pa.array(start.as_py() + at[:-1]), pa.array(n), pa.array(crc)]
                 if with_ids:
