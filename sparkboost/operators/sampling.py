@@ -35,7 +35,8 @@ def gradient_threshold(df: DataFrame, norm: Column, share: float) -> float:
     want = share * total["n"]
     # with u between two values: the rows above count 1 each, the others r / u
     runs = running(by, ["r"], {"below": F.col("n") * F.col("r"), "under": F.col("n")})
-    u = (F.col("below") + F.col("n") * F.col("r")) / (want - (total["n"] - F.col("under") - F.col("n")))
+    left = want - (total["n"] - F.col("under") - F.col("n"))
+    u = F.when(left > 0, (F.col("below") + F.col("n") * F.col("r")) / F.when(left > 0, left))
     ok = runs.withColumn("u", u).where((F.col("u") >= F.col("r")) & (F.col("u") > 0))
     found = ok.agg(F.min_by("u", F.col("r")).alias("u")).first()["u"]
     return float(found if found is not None else total["top"])
