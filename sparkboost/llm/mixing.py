@@ -115,7 +115,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     if not got:
         return Classifier(words, np.zeros((len(words.keys), len(DOMAINS))), np.zeros((n_dense, len(DOMAINS))))
     feature = np.array([f for r in got for f in r["features"]], dtype=np.int64)
-    row = np.repeat(np.arange(len(got)), [len(r["features"]) for r in got])
+    row = np.repeat(np.arange(len(got)), np.array([len(r["features"]) for r in got], dtype=np.int64))
     sparse, dense = fit(row, feature, np.array([r["dense"] for r in got]), np.array([r["domain"] for r in got]), len(words.keys), len(DOMAINS))
     return Classifier(words, sparse, dense)
 

@@ -108,5 +108,47 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _crc() -> str:
+    """The 256 remainders of the CRC-32 polynomial as a SQL list."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return str(out)
+
+
+_WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+_PIECES = r"len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+'))"
+
+_SQL4 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url, substr(md5(coalesce(url, '')), 1, 2) AS mark FROM pages),
+r AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM p),
+w AS (SELECT page_id, mark, head || octet_length(encode(html)) || gap || html || gap AS ours, head || (octet_length(encode(html)) + 1) || gap || html || '?' || gap AS theirs FROM r),
+d AS (SELECT page_id, mark, octet_length(encode(ours))::BIGINT AS length, sha256(encode(ours)) AS digest, CASE WHEN mark = '{LOST}' THEN NULL WHEN mark = '{DAMAGED}' THEN sha256(encode(theirs)) ELSE sha256(encode(ours)) END AS found FROM w)
+SELECT page_id AS record_id, row_number() OVER (PARTITION BY page_id ORDER BY digest, length) - 1 AS nth, (sum(length) OVER (ORDER BY page_id, digest, length ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length)::BIGINT AS "offset",
+  length, digest, found, CASE WHEN found IS NULL THEN 'missing' WHEN found <> digest THEN 'corrupt' ELSE 'intact' END AS status FROM d"""
+
+_SQL5 = f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 0) AS k, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+j AS (SELECT r, n, (CASE WHEN k < 0 THEN k::HUGEINT + 18446744073709551616 ELSE k::HUGEINT END) AS key, 0::BIGINT AS b, 0::BIGINT AS a FROM t CROSS JOIN (VALUES ({SHARDS}), ({SHARDS + 1})) AS v(n)
+  UNION ALL SELECT r, n, x, a, floor((a + 1) * (2147483648.0::DOUBLE / ((x // 8589934592) + 1)::DOUBLE))::BIGINT FROM (SELECT r, n, a, (key * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS x FROM j WHERE a < n)),
+s AS (SELECT r, max(CASE WHEN n = {SHARDS} THEN b END)::INTEGER AS shard, max(CASE WHEN n = {SHARDS + 1} THEN b END)::INTEGER AS grown_shard FROM j GROUP BY r),
+c AS (SELECT t.r, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT)), lambda v, z: xor(v >> 8, {_crc()}[(xor(v, z) & 255) + 1])), 4294967295))::BIGINT AS crc FROM t)
+SELECT doc_id, octet_length(raw)::BIGINT + 1 AS size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc) - 1 AS slot, grown_shard FROM t JOIN s USING (r) JOIN c USING (r)"""
+
+_SQL6 = f"""WITH d AS (SELECT doc_id, source, lang, coalesce({_WORDS}, 0) AS w, coalesce({_PIECES}, 0) AS p, coalesce(length(text), 0) AS n, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM documents)
+SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(n)::BIGINT AS chars FROM (
+  SELECT source, lang, 'words-1' AS version, CASE WHEN lang = 'de' THEN p ELSE w END AS tokens, n FROM d WHERE NOT again UNION ALL SELECT source, lang, 'pieces-1', p, n FROM d WHERE NOT again) GROUP BY ALL"""
+
+_SQL8 = """WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']), {'host': '', 'path': ''}) AS x FROM pages),
+p AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM u),
+r AS (SELECT * FROM (VALUES %s) AS v(rule, host, path, verdict)),
+m AS (SELECT p.page_id, p.host, p.path, r.rule, r.verdict, split_part(p.host, '.', 1) IN (%s) AS listed, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM m WHERE k = 1""" % (
+    ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES),
+    ", ".join(f"'{x}'" for x in LISTED),
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express; tests hold the other queries against brute force."""
+    return {"op4_fixity": _SQL4, "op5_shards": _SQL5, "op6_token_counts": _SQL6, "op8_urls": _SQL8}

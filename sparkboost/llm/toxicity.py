@@ -171,7 +171,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(feature.astype(np.int32)))], names=["doc_id", "toxic", "features"])
 
     got = sorted(rows.mapInArrow(own, "doc_id long, toxic long, features array<int>").collect(), key=lambda r: (r["doc_id"], r["features"]))
-    sizes = np.array([len(r["features"]) for r in got])
+    sizes = np.array([len(r["features"]) for r in got], dtype=np.int64)
     feature = np.array([f for r in got for f in r["features"]], dtype=np.int64)
     row = np.repeat(np.arange(len(got)), sizes)
     toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
