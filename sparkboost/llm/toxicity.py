@@ -20,8 +20,9 @@ from .text import U64, mix, slices, span_hash, words
 
 #: Labelled rows that the model is fitted on at most, features that it keeps, grades above 0.
 FIT_ROWS, FEATURES, GRADES = 8000, 2048, 3
-#: A feature is considered if at least so many labelled documents have it.
-SUPPORT = 5
+#: A feature is considered if at least so many labelled documents have it, and if the likelihood
+#: ratio of its table with the labels reaches EVIDENCE (by chance, one feature in 600 does).
+SUPPORT, EVIDENCE = 5, 10.0
 
 _OUTSIDE = np.ones(256, dtype=bool)
 _OUTSIDE[0x80:] = False
@@ -82,7 +83,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -500, 500)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int = GRADES, rounds: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int = GRADES, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the cumulative-link likelihood."""
     n = len(grade)
     share = np.clip([(grade > k).mean() for k in range(n_grades)], 1e-3, 1 - 1e-3)
@@ -103,7 +104,7 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int
         dt = np.zeros(n_grades)
         np.add.at(dt, grade[grade > 0] - 1, d_hi[grade > 0] / n)
         np.add.at(dt, grade[grade < n_grades], -d_lo[grade < n_grades] / n)
-        g = np.concatenate([np.bincount(feature, weights=ds[row], minlength=n_features) + ridge * w / n_features, [dt.sum()], gaps * np.cumsum(dt[::-1])[::-1][1:]])
+        g = np.concatenate([np.bincount(feature, weights=ds[row], minlength=n_features) + ridge * w, [dt.sum()], gaps * np.cumsum(dt[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return x[:n_features], x[n_features] + np.concatenate([[0], np.cumsum(np.exp(x[n_features + 1 :]))])
@@ -132,8 +133,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def selected(rows: DataFrame, n_features: int) -> tuple[Model, np.ndarray]:
     """A model without weights of the features that tell the labels (doc_id, text, toxic 0 or 1) apart best.
 
-    Features are ranked by their log odds times the root of their share of each class.  Also
-    given: which of them mark the toxic class.
+    Features are ranked by the likelihood ratio of their table with the labels.  Also given: which
+    of them mark the toxic class.
     """
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
@@ -141,10 +142,13 @@ def selected(rows: DataFrame, n_features: int) -> tuple[Model, np.ndarray]:
         return Model(np.zeros(0, U64), np.zeros(0), np.zeros(GRADES)), np.zeros(0, dtype=bool)
     stats = rows.mapInArrow(_tally, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {SUPPORT}")
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    best = stats.withColumn("odds", odds).withColumn("rank", F.abs("odds") * F.sqrt(F.col("c") / n0 + F.col("t") / n1)).orderBy(F.desc("rank"), "feature").limit(n_features).collect()
+    term = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+    share = (F.col("t") + F.col("c")) / float(n0 + n1)
+    ratio = term(F.col("t"), share * n1) + term(F.col("c"), share * n0) + term(n1 - F.col("t"), (1 - share) * n1) + term(n0 - F.col("c"), (1 - share) * n0)
+    best = stats.where("c + t < " + str(n0 + n1)).withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "feature").limit(n_features).collect()
     keys = np.array([r["feature"] for r in best], dtype=np.int64).view(U64)
     order = np.argsort(keys)
-    return Model(keys[order], np.zeros(len(keys)), np.zeros(GRADES)), np.array([r["odds"] for r in best])[order] > 2.0
+    return Model(keys[order], np.zeros(len(keys)), np.zeros(GRADES)), np.array([r["odds"] for r in best], dtype=float)[order] > 2.0
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, n_grades: int = GRADES) -> Model:
