@@ -115,7 +115,7 @@ def test_slice_average_and_continuation(rows):
 
 def test_early_stopping_keeps_the_best_round(rows):
     seen = []
-    model = train({"max_depth": 1, "eta": 1.0}, rows, ["a"], "z", 6, evals={"t": rows.withColumn("z", 1 - F.col("z"))}, early_stopping_rounds=1, on_round=lambda i, m: seen.append(i))
+    model = train({"max_depth": 1, "eta": 0.3}, rows, ["a"], "z", 6, evals={"t": rows.withColumn("z", 1 - F.col("z"))}, early_stopping_rounds=1, on_round=lambda i, m: seen.append(i))
     assert model.best_iteration == 0 and seen == [0, 1] and model.chosen() == model.trees[:1]
 
 
