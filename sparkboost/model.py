@@ -224,6 +224,26 @@ class Model:
 
         return self._map(df, keep, [T.StructField(f"interactions{k}", T.ArrayType(T.DoubleType())) for k in range(self.outputs)], f)
 
+    def virtual_ensemble(self, df: DataFrame, keep: Sequence[str] = (), members: int = 10) -> DataFrame:
+        """keep, ``mean`` and ``knowledge``: mean and population variance of the first margin over truncations.
+
+        The members end at ``members`` evenly spaced iterations of the second half.
+        """
+        n = self.iterations
+        ends = sorted({n - (n // 2) * k // members for k in range(members)})
+        groups = [[t for t in self.trees if t.output == 0 and begin <= t.iteration < end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+        def f(x: np.ndarray):
+            at, seen = np.full(len(x), float(self.base[0])), []
+            for group in groups:
+                for t in group:
+                    at = at + t.weight * np.array(t.value)[t.walk(x)]
+                seen.append(at)
+            all_ = np.stack(seen)
+            return [pa.array(all_.mean(axis=0)), pa.array(all_.var(axis=0))]
+
+        return self._map(df, keep, [T.StructField("mean", T.DoubleType()), T.StructField("knowledge", T.DoubleType())], f)
+
     def nodes(self, spark: SparkSession) -> DataFrame:
         """All nodes of all trees as a table."""
         rows = [

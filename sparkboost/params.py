@@ -12,7 +12,7 @@ ALIASES = {"learning_rate": "eta", "min_split_loss": "gamma", "reg_lambda": "lam
 #: Options that are accepted at one value only.
 ONLY = {"updater": None, "feature_selector": "cyclic", "lambdarank_pair_method": "topk", "max_cat_to_onehot": 4, "max_cat_threshold": 64, "verbosity": 0}
 #: Options that belong to an objective.
-LOSS_OPTIONS = ("num_class", "scale_pos_weight", "huber_slope", "quantile_alpha", "expectile_alpha", "thresholds", "tweedie_variance_power", "lambdarank_num_pair_per_sample", "pairs", "transform", "outputs")
+LOSS_OPTIONS = ("num_class", "scale_pos_weight", "huber_slope", "quantile_alpha", "expectile_alpha", "thresholds", "tweedie_variance_power", "lambdarank_num_pair_per_sample", "aft_loss_distribution", "aft_loss_distribution_scale", "pairs", "transform", "outputs")
 
 
 @dataclass
@@ -58,7 +58,8 @@ class Params:
             if not ok:
                 raise InvalidParameter(what)
 
-        need(self.booster in ("gbtree", "dart", "gblinear"), f"unknown booster {self.booster!r}")
+        need(self.booster in ("gbtree", "dart", "gblinear", "ebm"), f"unknown booster {self.booster!r}")
+        need(self.booster != "ebm" or not self.interaction_constraints, "the terms of ebm are single features")
         need(self.device == "cpu", "device must be cpu")
         need(self.tree_method in ("auto", "hist", "approx", "exact"), f"unknown tree_method {self.tree_method!r}")
         need(self.grow_policy in ("depthwise", "lossguide", "symmetric"), f"unknown grow_policy {self.grow_policy!r}")

@@ -128,6 +128,7 @@ def train(
 
 def _source(df, label, weight, qid, row_id, base_margin, features, need_ids) -> DataFrame:
     cols = [F.col(label).cast("double").alias("label"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")]
+    cols += [F.col(c).cast("double").alias(c) for c in ("label_lower", "label_upper") if c in df.columns and c not in features]
     if qid:
         cols.append(F.col(qid).alias("qid"))
     if row_id:
@@ -261,7 +262,8 @@ def _round(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
         tree = Tree(iteration=i, output=k, parallel=p)
         g, h = total[f"gs{s}"] or 0.0, total[f"hs{s}"] or 0.0
         tree.value[0], tree.cover[0] = reg.number(g, h), h
-        grown.append(Grown(tree, s, _columns(range(len(cuts.features)), params.colsample_bytree, params.seed, i, s), {0: -math.inf}, {0: math.inf}))
+        pool = [i % len(cuts.features)] if params.booster == "ebm" else range(len(cuts.features))
+        grown.append(Grown(tree, s, _columns(pool, params.colsample_bytree, params.seed, i, s), {0: -math.inf}, {0: math.inf}))
     grower = _Level(params, cuts, rows, reg, shift, slots, i)
     if params.grow_policy == "lossguide":
         grower.by_loss(grown)
