@@ -100,6 +100,55 @@ def candidates(hist: DataFrame, reg: Regularisation, *, categorical: Sequence[in
     return x.where(ok).withColumn("loss", loss.cast("float")).drop("low", "high")
 
 
+def best_of_arrays(hist, reg: Regularisation) -> list[dict]:
+    """``best`` on the driver for a histogram of bounded size: the same rules on numpy columns.
+
+    hist: an Arrow table of node_histograms.  Numeric features only, without bounds of weights.
+    """
+    import numpy as np
+
+    slot, node, feature, bin_, g, h, n = (hist.column(c).to_numpy() for c in ("slot", "node", "feature", "bin", "g", "h", "n"))
+    if not len(slot):
+        return []
+    order = np.lexsort((bin_, feature, node, slot))
+    slot, node, feature, bin_, g, h, n = (x[order] for x in (slot, node, feature, bin_, g, h, n))
+    new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (node[1:] != node[:-1]) | (feature[1:] != feature[:-1])])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(slot)))
+    gone = bin_[start] == -1
+    rank = np.arange(len(slot)) - np.repeat(start, size) + np.where(np.repeat(gone, size), 0, 1)
+    bins = np.repeat(size - gone, size)
+
+    def sums(x):
+        x = x.astype(float)
+        total = np.repeat(np.add.reduceat(x, start), size)
+        missing = np.repeat(np.where(gone, x[start], 0), size)
+        run = np.cumsum(x)
+        return total, missing, run - np.repeat(run[start] - x[start], size) - missing
+
+    (tg, mg, pg), (th, mh, ph), (tn, mn, pn) = sums(g), sums(h), sums(n)
+    rows = np.flatnonzero(bin_ >= 0)
+    back = rows[mn[rows] > 0]
+    at = np.concatenate([rows, back])
+    left = np.concatenate([np.zeros(len(rows), bool), np.ones(len(back), bool)])
+    gl, hl, nl = (p[at] + np.where(left, m[at], 0) for p, m in ((pg, mg), (ph, mh), (pn, mn)))
+    gr, hr, nr = tg[at] - gl, th[at] - hl, tn[at] - nl
+    soft = lambda x: np.sign(x) * np.maximum(np.abs(x) - reg.alpha, 0)
+    gain = lambda a, b: np.where(b > 0, soft(a) ** 2 / np.where(b > 0, b + reg.lambda_, 1.0), 0.0)
+    loss = (gain(gl, hl) + gain(gr, hr) - gain(tg[at], th[at])).astype(np.float32)
+    ok = (hl > 0) & (hr > 0) & (hl >= reg.min_child_weight) & (hr >= reg.min_child_weight) & (nl > 0) & (nr > 0)
+    ok &= (loss > MIN_LOSS) & (loss >= reg.gamma) & np.isfinite(loss)
+    place = np.where(left, 2 * bins[at] - rank[at] + 1, rank[at])
+    pick = np.flatnonzero(ok)
+    pick = pick[np.lexsort((place[pick], feature[at[pick]], -loss[pick], node[at[pick]], slot[at[pick]]))]
+    key = np.stack([slot[at[pick]], node[at[pick]]], axis=1)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(pick) else []
+    return [
+        {"slot": int(slot[at[k]]), "node": int(node[at[k]]), "feature": int(feature[at[k]]), "bin": int(bin_[at[k]]), "default_left": bool(left[k]), "categories": None, "loss": float(loss[k]), "gl": float(gl[k]), "hl": float(hl[k]), "nl": int(nl[k]), "gr": float(gr[k]), "hr": float(hr[k]), "nr": int(nr[k])}
+        for k in pick[first]
+    ]
+
+
 FIELDS = ("feature", "bin", "default_left", "categories", "loss", "gl", "hl", "nl", "gr", "hr", "nr")
 
 

@@ -22,11 +22,13 @@ from ..functions.rng import draw, uniform
 from ..model import Model, Tree
 from ..operators.binning import Cuts, binned, clean, make_cuts
 from ..operators.histogram import node_histograms
-from ..operators.split import Regularisation, best, best_symmetric, candidates
+from ..operators.split import Regularisation, best, best_of_arrays, best_symmetric, candidates
 from ..params import Params, parse
 
 #: Rounds after which the rows' lineage is cut, where the session has a checkpoint folder.
 CHECKPOINT = 10
+#: Rows of a level's histogram up to which its splits are searched on the driver; beyond, by windows.
+DRIVER_ROWS = 500_000
 
 
 @dataclass
@@ -320,10 +322,13 @@ class _Level:
         spark = self.rows.sparkSession
         if len(wanted) < len(features) * sum(len(n) for _, n in frontier):
             hist = hist.join(F.broadcast(spark.createDataFrame(wanted, "slot int, node int, feature int")), ["slot", "node", "feature"], "left_semi")
+        cats = [f for f, c in enumerate(self.cuts.categorical) if c]
+        most = sum(len(self.cuts.values[f]) + 1 for *_, f in wanted)
+        if most <= DRIVER_ROWS and not cats and not self.reg.monotone and not self.reg.max_delta_step and self.params.grow_policy != "symmetric":
+            return best_of_arrays(hist.toArrow(), self.reg)
         bounds = None
         if self.reg.monotone:
             bounds = spark.createDataFrame([(x.slot, n, x.low[n], x.high[n]) for x, nodes in frontier for n in nodes], "slot int, node int, low double, high double")
-        cats = [f for f, c in enumerate(self.cuts.categorical) if c]
         cands = candidates(hist, self.reg, categorical=cats, bounds=bounds)
         pick = best_symmetric if self.params.grow_policy == "symmetric" else best
         return pick(cands, self.reg).collect()

@@ -197,3 +197,25 @@ def test_auc_of_known_order(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.8, 0)], "p double, label int")
     assert evaluate("auc", df, ["p"]).first()["value"] == pytest.approx((1 + 0 + 0 + 1 + 1 + 0.5) / 6)
     assert evaluate("auc", df.where("label = 1"), ["p"]).first()["value"] == 0.5
+
+
+def test_driver_search_and_windows_find_the_same_splits(spark):
+    from sparkboost.operators.split import Regularisation, best, best_of_arrays, candidates
+
+    rng = np.random.default_rng(9)
+    cells = [(0, n, f, b, float(rng.normal()), float(rng.integers(1, 9)), int(rng.integers(1, 9))) for n in range(4) for f in range(3) for b in range(-1 if f != 1 else 0, 6)]
+    total = {}
+    for _, n, f, _, g, h, c in cells:  # every feature of a node has the same sums
+        t = total.setdefault(n, {}).setdefault(f, [0.0, 0.0, 0])
+        t[0], t[1], t[2] = t[0] + g, t[1] + h, t[2] + c
+    for n, by in total.items():
+        for f in (1, 2):
+            cells.append((0, n, f, 6, by[0][0] - by[f][0], max(by[0][1] - by[f][1], 0.5) + 20, 1 + max(by[0][2] - by[f][2], 1)))
+    hist = spark.createDataFrame(cells, "slot int, node int, feature int, bin int, g double, h double, n long")
+    reg = Regularisation(alpha=0.1, gamma=0.01, min_child_weight=2.0)
+    a = {r["node"]: r for r in best(candidates(hist, reg), reg).collect()}
+    b = {r["node"]: r for r in best_of_arrays(hist.toArrow(), reg)}
+    assert a.keys() == b.keys() and len(a) > 0
+    for n, r in a.items():
+        assert (r["feature"], r["bin"], r["default_left"]) == (b[n]["feature"], b[n]["bin"], b[n]["default_left"])
+        assert r["loss"] == pytest.approx(b[n]["loss"], rel=1e-5) and r["gl"] == pytest.approx(b[n]["gl"])
