@@ -82,12 +82,12 @@ def train(
     rows = _start(binned(source, cuts, names), base, base_margin)
     if init_model:
         rows = _start(binned(init_model.margins(source.select(*source.columns), [*names, *features]), cuts, [*names, *(f"m{k}" for k in range(loss.outputs))]), None, None)
-    state = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    state = _spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {}
     for name, e in (evals or {}).items():
         own = _source(e, label, weight, qid, row_id, base_margin, features, need_ids=False)
         kept = [c for c in own.columns if c not in features]
-        tables[name] = _start(binned(own, cuts, kept), base, base_margin).persist(StorageLevel.MEMORY_AND_DISK)
+        tables[name] = _spread(_start(binned(own, cuts, kept), base, base_margin)).persist(StorageLevel.MEMORY_AND_DISK)
     model = Model(params.objective, params.loss, list(features), base, list(init_model.trees) if init_model else [])
     done = model.iterations
     metrics = params.eval_metric or [loss.metric]
@@ -128,6 +128,12 @@ def train(
     return model
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows on as many partitions as there are cores at least: every round reads them many times."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _source(df, label, weight, qid, row_id, base_margin, features, need_ids) -> DataFrame:
     cols = [F.col(label).cast("double").alias("label"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")]
     cols += [F.col(c).cast("double").alias(c) for c in ("label_lower", "label_upper") if c in df.columns and c not in features]
