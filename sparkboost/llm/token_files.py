@@ -25,8 +25,8 @@ from .text import SLICE_BYTES, U64, mix, slices
 #: Ids of one block at most (a longer document has a block of its own).
 BLOCK_IDS = 1 << 19
 #: A pair becomes a rule if it occurs so often in a block; rules and sequence are 16 bits wide
-#: as long as all symbols fit.
-LEAST, ROUNDS = 12, 3
+#: as long as all terminals fit, and then there are at most 65,536 symbols.
+LEAST = 12
 END = 2
 MAGIC = b"RPG1"
 
@@ -84,28 +84,29 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[Grammar, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST) -> tuple[Grammar, np.ndarray]:
     """The grammar of ids, and the lengths in symbols of the documents that end where ``last`` is true.
 
     In each round the pairs that occur ``least`` times or more are taken from the most frequent
     on, except for those that begin with the end or end with the beginning of one taken before:
-    the taken ones then can't overlap and all are replaced at once.
+    the taken ones then can't overlap and all are replaced at once.  It ends when no pair occurs
+    so often or the symbols are used up.  A replacement makes other pairs rarer, so that a round
+    counts only the places of pairs that were frequent in the one before and of new symbols.
     """
     seq, last = ids.astype(np.uint32), last.copy()
     lefts, rights = [], []
     symbols = terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1].astype(U64) << U64(32)) | seq[1:]
+    live = ~last
+    live[-1:] = False
+    while True:
+        may = np.flatnonzero(live)
+        key = (seq[may].astype(U64) << U64(32)) | seq[may + 1]
         small = ((key * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int32)
-        small[last[:-1]] = 1 << 20
-        often = np.bincount(small, minlength=(1 << 20) + 1)
-        often[1 << 20] = 0
-        may = np.flatnonzero(often[small] >= least)
+        stay = np.bincount(small, minlength=1 << 20)[small] >= least
+        may, key, small = may[stay], key[stay], small[stay]
         if not len(may):
             break
-        pairs = np.sort(key[may])
+        pairs = np.sort(key)
         border = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         count = np.diff(np.append(border, len(pairs)))
         room = 65536 - symbols if symbols < 65536 else 1 << 20
@@ -126,11 +127,11 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
         if not taken:
             break
         names = best[taken]
-        number = np.full((1 << 20) + 1, -1, dtype=np.int32)
+        number = np.full(1 << 20, -1, dtype=np.int32)
         number[place[taken]] = np.arange(len(taken))
-        name = number[small[may]]
+        name = number[small]
         hit = np.flatnonzero(name >= 0)
-        hit = hit[names[name[hit]] == key[may[hit]]]
+        hit = hit[names[name[hit]] == key[hit]]
         place, name = may[hit], name[hit].astype(np.int64)
         twin = names[name] >> U64(32) == names[name] & U64(0xFFFFFFFF)
         if twin.any():  # in a run of one id every second place
@@ -144,7 +145,13 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         last[place] = last[place + 1]
-        seq, last = seq[keep], last[keep]
+        live[:] = False
+        live[may] = True
+        live[place] = True
+        live[np.maximum(place - 1, 0)] = True
+        live &= ~last
+        seq, last, live = seq[keep], last[keep], live[keep]
+        live[-1:] = False
         lefts.append((names >> U64(32)).astype(np.uint32))
         rights.append((names & U64(0xFFFFFFFF)).astype(np.uint32))
         symbols += len(names)

@@ -213,6 +213,20 @@ def test_grammar_round_trip_and_random_access():
         token_files.unpack(token_files.pack(grammar, grammar.lengths())[:-1] + b"\xff")
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(6)
+    passages = [rng.integers(0, 5000, 65) for _ in range(20)]
+    docs = [x for _ in range(800) for x in (rng.integers(0, 5000, 20), passages[rng.integers(20)])]
+    ids, last = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(x) for x in docs])[1::2] - 1] = True
+    grammar, symbols = token_files.repair(ids, last, 50_257)
+    ends = np.zeros(len(grammar.sequence), bool)
+    ends[np.cumsum(symbols) - 1] = True
+    left = collections.Counter((a, b) for a, b, end in zip(grammar.sequence[:-1].tolist(), grammar.sequence[1:].tolist(), ends[:-1], strict=True) if not end)
+    assert max(left.values()) < token_files.LEAST and grammar.lengths().max() >= 65
+    assert (token_files.Block(token_files.pack(grammar, grammar.lengths()), symbols).expand(grammar.sequence) == ids).all()
+
+
 def test_token_files_hold_the_ids_of_the_library(spark):
     from tokenizers import Tokenizer
 
