@@ -8,6 +8,7 @@ gradient descent on the squared error.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,10 @@ FIT_ROWS, FEATURES = 6000, 512
 #: Domains by the columns of the labelled table, and their target shares of all tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.97, "low": 0.03, "toxic": 0.0}
-STEPS, TOLERANCE = 80, 1e-3
+#: Sums over all documents at most, and how far from its target a domain may end (of its target, or of its tokens if that is 0).
+STEPS, TOLERANCE = 200, 1e-3
+#: Weight of the rates' distance from 1 against the squared errors: lowered tenfold until the targets are met.
+HOLD, LEAST_HOLD = 1e-3, 1e-10
 
 
 def domain_of(quality: F.Column, toxic: F.Column) -> F.Column:
@@ -137,63 +141,91 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
 
 @dataclass
 class Rates:
-    """Rates as a function of the posterior: the steps of the descent, replayed for any document."""
+    """Rates as a function of the posterior: 1 moved by the sum of all steps, projected."""
 
-    residuals: list[np.ndarray]
-    step: float
+    moved: np.ndarray
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        x = np.ones(len(p))
-        for r in self.residuals:
-            x = np.maximum(x - self.step * (p @ r), 0.0)
-        return x
+        return np.maximum(1 - p @ self.moved, 0.0)
 
 
 def solved(rows: DataFrame, targets: dict[str, float], *, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
-    """Projected gradient descent from rates of 1, over all documents.
-
-    The target total is the largest at which no domain needs more tokens than it has.  Rates
-    move in the metric of the documents' tokens, so a document's step depends on its posterior
-    alone; with the residuals of the steps so far an executor replays a document's rate, so
-    nothing is kept between steps and each step is one sum over all documents.
+    """Projected gradient descent from rates of 1, over all documents, until every domain meets its own target.
+
+    The target total is the largest at which no domain needs more tokens than it has.  A step
+    is the residual times the inverse gram matrix of the documents whose rate isn't 0; steps
+    are summed before they are projected, so a document's rate depends on its posterior and
+    that sum alone, and the rates that meet the targets are those that differ least from 1.
+    Nothing is kept between steps and each step is one sum over all documents.  Warns with the
+    shortfall of each domain if no rates meet the targets or ``steps`` sums don't suffice.
     """
     names = [f"p_{d}" for d in DOMAINS]
     n = len(names)
 
     def total(rates: Rates):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have, gram = np.zeros(n), np.zeros((n, n))
+            have, gram, squares = np.zeros(n), np.zeros((n, n)), 0.0
             for batch in batches:
                 tokens = batch.column(0).to_numpy().astype(float)
                 p = np.stack([batch.column(k + 1).to_numpy() for k in range(n)], axis=1) if batch.num_rows else np.zeros((0, n))
-                have += (tokens * rates.of(p)) @ p
-                gram += p.T @ (p * tokens[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(have), *(pa.array(gram[:, k].copy()) for k in range(n))], names=["i", "have", *(f"g{k}" for k in range(n))])
-
-        kinds = "i long, have double, " + ", ".join(f"g{k} double" for k in range(n))
-        got = rows.select("tokens", *names).mapInArrow(run, kinds).groupBy("i").agg(*(F.sum(c).alias(c) for c in ["have", *(f"g{k}" for k in range(n))])).collect()
-        have, gram = np.zeros(n), np.zeros((n, n))
+                x = rates.of(p)
+                have += (tokens * x) @ p
+                gram += p.T @ (p * (tokens * (x > 0))[:, None])
+                squares += float(tokens @ (x * x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(have), pa.array(np.full(n, squares)), *(pa.array(gram[:, k].copy()) for k in range(n))], names=["i", "have", "squares", *(f"g{k}" for k in range(n))])
+
+        sums = ["have", "squares", *(f"g{k}" for k in range(n))]
+        kinds = "i long, " + ", ".join(f"{c} double" for c in sums)
+        got = rows.select("tokens", *names).mapInArrow(run, kinds).groupBy("i").agg(*(F.sum(c).alias(c) for c in sums)).collect()
+        have, gram, squares = np.zeros(n), np.zeros((n, n)), 0.0
         for r in got:
             have[r["i"]] = r["have"]
             gram[r["i"]] = [r[f"g{k}"] for k in range(n)]
-        return have, gram
+            squares = r["squares"]
+        return have, gram, squares
 
-    rates = Rates([], 0.0)
-    have, gram = total(rates)
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    share = share / share.sum()
+    return descended(total, share / share.sum(), steps, tolerance)
+
+
+def descended(total, share: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
+    """total: (tokens by domain, gram matrix of documents above 0, sum of tokens * rate^2) of rates."""
+    n = len(share)
+    moved, taken = np.zeros(n), 1
+    have, gram, squares = total(Rates(moved))
+    if not gram.any():
+        return Rates(moved)
     wanted = share * min((have[k] / share[k] for k in range(n) if share[k] > 0), default=0.0)
-    top = float(np.linalg.eigvalsh(gram)[-1]) if gram.any() else 0.0
-    if top <= 0:
-        return rates
-    rates.step = 1 / top
-    for _ in range(steps):
-        residual = have - wanted
-        if np.abs(residual).max() <= tolerance * max(wanted.sum(), 1e-12):
+    scale = np.maximum(np.where(wanted > 0, wanted, have), 1e-12 * have.sum())
+    hold, all_tokens = HOLD, have.sum()
+
+    def value() -> float:
+        """What the steps increase: concave in moved."""
+        return -0.5 * squares - moved @ wanted - 0.5 * hold * all_tokens * (moved @ moved)
+
+    while True:
+        slope = have - wanted - hold * all_tokens * moved
+        if (np.abs(slope) <= 0.1 * tolerance * scale).all():
+            if (np.abs(have - wanted) <= tolerance * scale).all():
+                return Rates(moved)
+            if hold <= LEAST_HOLD:
+                break
+            hold /= 10
+            continue
+        step = np.linalg.solve(gram + hold * all_tokens * np.eye(n), slope)
+        start, before, part = moved, value(), 1.0
+        while taken < steps:
+            moved = start + part * step
+            have, gram, squares = total(Rates(moved))
+            taken += 1
+            if value() >= before + 1e-4 * part * (slope @ step) - 1e-12 * abs(before):
+                break
+            part /= 2
+        if taken >= steps:
             break
-        rates.residuals.append(residual)
-        have, _ = total(rates)
-    return rates
+    if (np.abs(have - wanted) > tolerance * scale).any():
+        warnings.warn("mixing targets aren't met: " + ", ".join(f"{d} has {h:.6g} tokens, wanted {w:.6g}" for d, h, w in zip(DOMAINS, have, wanted, strict=True)), RuntimeWarning, stacklevel=3)
+    return Rates(moved)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -219,15 +251,17 @@ def rated(rows: DataFrame, rates: Rates) -> DataFrame:
     return rows.withColumn("rate", rate(*names))
 
 
-#: A document of this rate or more is surely kept: the rest is an unfinished descent's error.
-FULL = 0.95
+def drawn(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How often each document is taken: its rate rounded up or down by a uniform number."""
+    whole = np.floor(rate)
+    return (whole + (u < rate - whole)).astype(np.int64)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs, all columns, that are drawn with their rates.
 
-    A document stays if a uniform number that its doc_id and text decide is below its rate, or
-    if its rate is at least FULL.  No document is shuffled.
+    A document's rate is rounded up if a uniform number that its doc_id and text decide is below
+    its fraction; one of rate 1.3 comes once or twice.  No document is shuffled.
     """
     model = trained(docs, labels)
     rows = written(members(docs, model), "mixing-members")
@@ -237,13 +271,10 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
             for i, j, data, off in slices(batch.column(place)):
                 x = rates.of(model.posteriors(data, off, counts(data, off)))
                 ids = batch.column(id_at).slice(i, j - i).cast(pa.int64()).fill_null(0).to_numpy().view(U64)
                 u = mix(mix(ids) + span_hash(data, off[:-1], off[1:])) >> U64(11)
-                keep.append((x >= FULL) | (u.astype(float) * 2.0**-53 < x))
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+                yield batch.slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), drawn(x, u.astype(float) * 2.0**-53))))
 
     return docs.mapInArrow(run, docs.schema)

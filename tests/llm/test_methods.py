@@ -198,6 +198,25 @@ def test_rates_meet_targets(spark):
     assert out["least"] >= 0 and all(out[d] / total == pytest.approx(s, abs=0.005) for d, s in targets.items())
 
 
+def test_a_rare_domain_meets_its_target_with_the_defaults(spark):
+    rng = np.random.default_rng(9)
+    domain = rng.choice(3, 4000, p=[0.875, 0.12, 0.005])
+    p = np.eye(3)[domain]
+    rows = spark.createDataFrame([(i, int(rng.integers(1, 900)), *map(float, p[i])) for i in range(4000)], "doc_id long, tokens long, p_good double, p_low double, p_toxic double")
+    out = mixing.rated(rows, mixing.solved(rows, mixing.TARGETS)).toPandas()
+    have = {d: (out.rate * out.tokens * out[f"p_{d}"]).sum() for d in mixing.DOMAINS}
+    good = out.tokens[domain == 0].sum()
+    assert out.rate[domain == 2].max() <= 0.0011 and have["good"] == pytest.approx(good, rel=0.0011) and have["low"] == pytest.approx(good * 0.03 / 0.97, rel=0.0011)
+
+
+def test_unmet_targets_are_reported_and_rates_above_one_are_drawn(spark):
+    rows = spark.createDataFrame([(i, 10, 0.9, 0.05, 0.05) for i in range(20)], "doc_id long, tokens long, p_good double, p_low double, p_toxic double")
+    with pytest.warns(RuntimeWarning, match="toxic has"):
+        mixing.solved(rows, mixing.TARGETS)
+    u = (np.arange(1000) + 0.5) / 1000
+    assert [int(mixing.drawn(np.full(1000, x), u).sum()) for x in (0.0, 0.3, 1.0, 2.25)] == [0, 300, 1000, 2250]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(8)
     for ids in (rng.integers(0, 9, 5000), np.zeros(501, int), np.arange(300), np.array([4])):
