@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least loss change of a split; categories below which each is tried alone; longest set of categories.
+#: Least loss change of a split; categories below which each is tried alone; longest set of categories, from either end of their order.
 MIN_LOSS, ONE_HOT, MAX_SET = 1e-6, 4, 64
 
 
@@ -55,7 +55,8 @@ def candidates(hist: DataFrame, reg: Regularisation, *, categorical: Sequence[in
 
     Numeric features are scanned once with missing values to the right, and, where the node
     has any, once with them to the left.  Categories are tried one by one if there are fewer than ONE_HOT,
-    else as prefixes of their order by leaf weight.  order counts the candidates of a feature
+    else as sets of up to MAX_SET at the low end of their order by leaf weight or fewer than MAX_SET
+    at its high end, against the rest.  order counts the candidates of a feature
     in the order in which a sequential scan would meet them.  bounds: (slot, node, low, high) of
     leaf weights under monotone constraints.
     """
@@ -78,7 +79,7 @@ def candidates(hist: DataFrame, reg: Regularisation, *, categorical: Sequence[in
     own, prefix, gone = [F.col(c) for c in "ghn"], [F.col(f"p{c}") for c in "ghn"], [F.col(f"m{c}") for c in "ghn"]
     pick = [F.when(alone, a).otherwise(b) for a, b in zip(own, prefix, strict=True)]
     cats = F.when(alone, F.array(F.col("bin").cast("int"))).otherwise(F.col("prefix").cast("array<int>"))
-    fits = ~is_cat | alone | (F.col("k") <= MAX_SET)
+    fits = ~is_cat | alone | (F.col("k") <= MAX_SET) | (F.col("k") > F.col("cats") - MAX_SET)
     both = F.array(side(pick, False, F.col("k"), cats), side([a + b for a, b in zip(pick, gone, strict=True)], True, F.col("cats") * 2 - F.col("k") + 1, cats))
     x = x.where(fits).select(*key, "bin", "tg", "th", "tn", "mn", F.explode(both).alias("c")).where("mn > 0 or not c.default_left")
     x = x.select(*key, "bin", "tg", "th", "tn", "c.*")

@@ -219,3 +219,18 @@ def test_driver_search_and_windows_find_the_same_splits(spark):
     for n, r in a.items():
         assert (r["feature"], r["bin"], r["default_left"]) == (b[n]["feature"], b[n]["bin"], b[n]["default_left"])
         assert r["loss"] == pytest.approx(b[n]["loss"], rel=1e-5) and r["gl"] == pytest.approx(b[n]["gl"])
+
+
+@pytest.mark.parametrize("gone", [0.0, 2.0, -9.0])
+def test_category_sets_at_the_high_end(spark, gone):
+    """300 categories of which the last 10 by leaf weight differ, with missing values like either side."""
+    from sparkboost.operators.split import Regularisation, best, candidates
+
+    g = [1.0 if (b * 7) % 300 < 290 else -20.0 for b in range(300)]
+    rows = [(0, 0, 0, b, x, 2.0, 2) for b, x in enumerate(g)] + ([(0, 0, 0, -1, 40 * gone, 40.0, 40)] if gone else [])
+    hist = spark.createDataFrame(rows, "slot int, node int, feature int, bin int, g double, h double, n long")
+    reg = Regularisation()
+    r = best(candidates(hist, reg, categorical=[0]), reg).first()
+    few = {b for b, x in enumerate(g) if x < 0}
+    assert len(few) == 10 and r is not None and set(r["categories"]) == set(range(300)) - few
+    assert r["default_left"] == (gone > 0) and r["nr"] == 20 + (40 if gone < 0 else 0) and r["gr"] == -200 + (40 * gone if gone < 0 else 0)
