@@ -1,21 +1,28 @@
 """Fixity audit of WARC record collections by Merkle trees over ordered offset ranges.
 
-Records are laid out in order of their id.  A leaf of a tree is the digest of the record
-digests of one range of offsets, an inner node the digest of its children's in order.  The
-roots of two replicas are compared, and only the children of nodes that differ are looked at
-further, down to the records.
+The first collection is the catalogue: its records are laid out in order of their id, and each
+range of offsets is a leaf.  Each replica builds a tree from its own records alone: a record of
+the second falls to the leaf whose records it lies among by its id.  A leaf's hash covers the
+record digests of its range in order, an inner node's the hashes of its children.  The roots
+are compared, and only children of nodes that differ are looked at further; the records of the
+two replicas meet in the differing leaves and nowhere else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import positioned
-from .store import written
+from .store import small_batches, written
 
-#: Bytes of a leaf's range of offsets, and children of an inner node.
-RANGE_BYTES, FAN_OUT = 1 << 20, 16
+#: Bytes of a leaf's range of offsets, children of an inner node, and records that one hash of a leaf covers directly.
+RANGE_BYTES, FAN_OUT, CHUNK = 1 << 20, 16, 4096
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -31,48 +38,99 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """record_id, nth, offset, length, digest, leaf of records in their stored order.
+    """record_id, nth, offset, length, digest, leaf and rank in the leaf of records in their stored order.
 
     nth tells repeated record_ids apart, in order of digest.
     """
     out = positioned(rows, "record_id", ["digest", "length"], size="length")
-    out = out.select("record_id", "nth", F.col("before").alias("offset"), "length", "digest")
-    return written(out.withColumn("leaf", F.floor(F.col("offset") / RANGE_BYTES).cast("long")), "fixity-manifest")
-
-
-def laid_out(layout: DataFrame, replica: DataFrame) -> DataFrame:
-    """The replica's digests at the places of the manifest ``layout``; a missing record has none."""
-    other = positioned(replica, "record_id", ["digest", "length"]).select("record_id", "nth", F.col("digest").alias("found"))
-    same = (F.col("l.record_id").eqNullSafe(F.col("r.record_id"))) & (F.col("l.nth") == F.col("r.nth"))
-    out = layout.alias("l").join(other.alias("r"), same, "full_outer")
-    columns = [F.coalesce("l.record_id", "r.record_id").alias("record_id"), F.coalesce("l.nth", "r.nth").alias("nth"), "l.offset", "l.length", "l.leaf", "l.digest", "r.found"]
-    return written(out.select(*columns), "fixity-replica")
-
-
-def tree(rows: DataFrame, digest: str) -> list[DataFrame]:
-    """Levels of (node, hash) from the leaves to the root."""
-    level = rows.where("leaf is not null").groupBy(F.col("leaf").alias("node")).agg(F.sort_array(F.collect_list(F.struct("offset", "record_id", "nth", F.coalesce(digest, F.lit("-")).alias("d")))).alias("x"))
-    level = written(level.select("node", F.sha2(F.concat_ws("", F.col("x.d")).cast("binary"), 256).alias("hash")), "fixity-level")
-    levels = [level]
-    while level.agg(F.max("node")).first()[0]:  # until only node 0 is left
-        up = level.groupBy(F.floor(F.col("node") / FAN_OUT).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("x"))
-        level = written(up.select(F.col("up").alias("node"), F.sha2(F.concat_ws("", F.col("x.hash")).cast("binary"), 256).alias("hash")), "fixity-level")
-        levels.append(level)
+    out = out.select("record_id", "nth", F.col("before").alias("offset"), "length", "digest", F.floor(F.col("before") / RANGE_BYTES).cast("long").alias("leaf"))
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy("offset")) - 1  # a leaf's records are few: each has a length
+    return written(out.withColumn("rank", rank.cast("long")), "fixity-manifest")
+
+
+def placed(layout: DataFrame, rows: DataFrame) -> DataFrame:
+    """record_id, nth, digest, leaf and rank in the leaf of a replica's own records.
+
+    The first record of each of the layout's leaves marks its border; marks and records are put
+    in one order by ranges, and each record takes the last mark before it.  No record of the
+    layout but these marks is looked at.
+    """
+    small_batches(rows.sparkSession)
+    own = positioned(rows, "record_id", ["digest", "length"]).select("record_id", "nth", "digest", F.lit(None).cast("long").alias("leaf"))
+    marks = layout.where("rank = 0").select("record_id", "nth", F.lit(None).cast("string").alias("digest"), "leaf")
+    both = own.unionByName(marks).withColumn("kind", F.col("leaf").isNull())
+    part = both.repartitionByRange("record_id", "nth", "kind").sortWithinPartitions("record_id", "nth", "kind").drop("kind")
+    names = ["record_id", "nth", "digest", "leaf", "rank", "part"]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, leaf, done = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            given = batch.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+            mark = given >= 0
+            at = np.maximum.accumulate(np.where(mark, np.arange(n), -1))
+            leaves = np.where(at >= 0, given[np.maximum(at, 0)], leaf)
+            rank = np.where(at >= 0, np.arange(n) - at - 1, done + np.arange(n))
+            leaf, done = int(leaves[-1]), int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves), pa.array(rank), pa.array(np.full(n, here))], names=names)
+
+    local = written(part.mapInArrow(fill, "record_id long, nth long, digest string, leaf long, rank long, part long"), "fixity-places")
+    ends = local.groupBy("part").agg(F.max("leaf").alias("leaf"), F.max(F.struct("leaf", "rank")).alias("last"))
+    leaf, run, carries = 0, 0, []
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):  # a row for each partition
+        carries.append((r["part"], leaf, run))
+        leaf, run = (r["leaf"], r["last"]["rank"] + 1) if r["leaf"] >= 0 else (leaf, run + r["last"]["rank"] + 1)
+    carried = rows.sparkSession.createDataFrame(carries, "part long, from_leaf long, from_rank long")
+    out = local.where("digest is not null").join(F.broadcast(carried), "part")
+    early = F.col("leaf") < 0
+    return out.select("record_id", "nth", "digest", F.when(early, F.col("from_leaf")).otherwise(F.col("leaf")).alias("leaf"), (F.col("rank") + F.when(early, F.col("from_rank")).otherwise(0)).alias("rank"))
+
+
+def _hashed(groups: DataFrame, of: str) -> DataFrame:
+    return groups.withColumn("hash", F.sha2(F.concat_ws("", F.col(f"x.{of}")).cast("binary"), 256)).drop("x")
+
+
+def tree(rows: DataFrame, height: int) -> list[DataFrame]:
+    """``height`` levels of (node, hash) from the leaves to the root, of one replica's own records.
+
+    A leaf's hash covers the hashes of its chunks of CHUNK records: what a replica has too much
+    in one place is hashed by many tasks.
+    """
+    chunks = _hashed(rows.groupBy("leaf", F.floor(F.col("rank") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("rank", "digest"))).alias("x")), "digest")
+    level = _hashed(chunks.groupBy(F.col("leaf").alias("node")).agg(F.sort_array(F.collect_list(F.struct("chunk", "hash"))).alias("x")), "hash")
+    levels = [written(level, "fixity-level")]
+    for _ in range(height - 1):
+        up = levels[-1].groupBy(F.floor(F.col("node") / FAN_OUT).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("x"))
+        levels.append(written(_hashed(up, "hash").withColumnRenamed("up", "node"), "fixity-level"))
     return levels
 
 
 def mismatches(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame | None:
-    """The leaves (column node) whose hashes differ, found from the roots down; None if the roots agree."""
+    """The leaves (column leaf) whose hashes differ, found from the roots down; None if the roots agree.
+
+    Below the roots only children of differing nodes are read.
+    """
     bad = None
     for a, b in zip(reversed(ours), reversed(theirs), strict=True):
         if bad is not None:
             children = bad.select(F.explode(F.sequence(F.col("node") * FAN_OUT, F.col("node") * FAN_OUT + FAN_OUT - 1)).alias("node"))
-            a = a.join(children, "node", "left_semi")
-        bad = a.join(b.withColumnRenamed("hash", "other"), "node", "left").where("not (hash <=> other)").select("node")
-        bad = written(bad, "fixity-bad")
+            a, b = (x.join(children, "node", "left_semi") for x in (a, b))
+        bad = written(a.join(b.withColumnRenamed("hash", "other"), "node", "full_outer").where("not (hash <=> other)").select("node"), "fixity-bad")
         if bad.isEmpty():
             return None
-    return bad
+    return bad.withColumnRenamed("node", "leaf")
+
+
+def compared(layout: DataFrame, other: DataFrame, bad: DataFrame) -> DataFrame:
+    """The records of the leaves in ``bad``, of both replicas, side by side."""
+    l, r = (x.join(bad, "leaf", "left_semi").alias(n) for x, n in ((layout, "l"), (other, "r")))  # noqa: E741
+    same = F.col("l.record_id").eqNullSafe(F.col("r.record_id")) & (F.col("l.nth") == F.col("r.nth"))
+    out = l.join(r, same, "full_outer")
+    status = F.when(F.col("l.digest").isNull(), "extra").when(F.col("r.digest").isNull(), "missing").when(F.col("l.digest") != F.col("r.digest"), "corrupt").otherwise("intact")
+    pick = lambda c: F.when(F.col("l.digest").isNotNull(), F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(c)
+    return out.select(pick("record_id"), pick("nth"), "l.offset", "l.length", "l.digest", F.col("r.digest").alias("found"), status.alias("status"))
 
 
 def audited(pages: DataFrame, replica: DataFrame) -> DataFrame:
@@ -80,18 +138,22 @@ def audited(pages: DataFrame, replica: DataFrame) -> DataFrame:
 
     status: ``intact``; ``corrupt`` (the replica's digest differs), ``missing`` (in the replica),
     or ``extra`` (not in the first collection, so without a place).  Records in leaves that
-    the descent does not reach are intact by the hash of a node above them, without a look at them.
-
-    Cases: repeated page_ids are told apart by nth; a null page_id is an id like any other and
-    comes first; empty tables give no rows, or only missing or extra ones.
+    the descent doesn't reach are intact by the hash of a node above them: the replica's record
+    isn't looked at, and its digest is that of the catalogue.
+
+    Cases: repeated page_ids are told apart by nth, in order of digest, so that damage to one of
+    them can move the others' places: then each of these is compared with the one in its place; a
+    null page_id is an id like any other and comes first; ties can't be, for (page_id, nth) is
+    unique; very long records are a leaf of their own; empty tables give no rows, or only
+    missing or extra ones; other columns, whatever their names, are ignored.
     """
     layout = manifest(records(pages))
-    rows = laid_out(layout, records(replica))
-    status = F.when(F.col("digest").isNull(), "extra")
-    bad = mismatches(tree(rows, "digest"), tree(rows, "found"))
-    if bad is None:
-        rows = rows.withColumn("suspect", F.lit(False))
-    else:
-        rows = rows.join(bad.select(F.col("node").alias("leaf"), F.lit(True).alias("suspect")), "leaf", "left")
-    status = status.when(F.coalesce("suspect", F.lit(False)) & F.col("found").isNull(), "missing").when(F.coalesce("suspect", F.lit(False)) & (F.col("found") != F.col("digest")), "corrupt").otherwise("intact")
-    return rows.select("record_id", "nth", "offset", "length", "digest", "found", status.alias("status"))
+    other = written(placed(layout, records(replica)), "fixity-replica")
+    top, height = layout.agg(F.max("leaf")).first()[0] or 0, 1
+    while top:
+        top, height = top // FAN_OUT, height + 1
+    bad = mismatches(tree(layout, height), tree(other, height))
+    columns = ["record_id", "nth", "offset", "length", "digest"]
+    intact = layout if bad is None else layout.join(bad, "leaf", "left_anti")
+    out = intact.select(*columns, F.col("digest").alias("found"), F.lit("intact").alias("status"))
+    return out if bad is None else out.unionByName(compared(layout, other, bad))

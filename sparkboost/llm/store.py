@@ -14,11 +14,14 @@ ARROW_ROWS = "512"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (single-machine tests) is a local folder set and used.
+    Only where the session has none and runs on this machine alone (tests) is a local folder set
+    and used; a cluster without the setting is refused, for its executors couldn't see the folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sparkboost-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,14 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkboost/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has written and not removed.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives executor loss."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the record of written tables, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the tables written since a mark, but for the last ``keep``: nothing may read them any more."""
+    stop = len(_made) - keep
+    for path in _made[since:stop]:
+        remove(spark, path)
+    del _made[since:stop]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
