@@ -186,14 +186,16 @@ def unpack(raw: bytes) -> tuple[Grammar, np.ndarray]:
 
 
 class Block:
-    """A block for reading; expansions are made once."""
+    """A block for reading; the expansions of all rules are made when a whole sequence is first asked for."""
 
     def __init__(self, raw: bytes, symbols: np.ndarray) -> None:
         self.grammar, self.lengths = unpack(raw)
-        self.offsets, self.flat = self.grammar.expansions(self.lengths)
+        self.flat: np.ndarray | None = None
         self.ends = np.cumsum(symbols)
 
     def expand(self, sequence: np.ndarray) -> np.ndarray:
+        if self.flat is None:
+            self.offsets, self.flat = self.grammar.expansions(self.lengths)
         sequence = sequence.astype(np.int64)
         rule = sequence - self.grammar.terminals
         inner = rule >= 0
@@ -209,21 +211,30 @@ class Block:
         """All ids of the block's k-th document."""
         return self.expand(self.grammar.sequence[self.ends[k - 1] if k else 0 : self.ends[k]])
 
-    def token(self, k: int, i: int) -> int:
-        """The i-th id of the k-th document, by expansion lengths only."""
+    def span(self, k: int, first: int, stop: int) -> np.ndarray:
+        """The ids first, ..., stop - 1 of the k-th document: expansion lengths lead to them, no other rule is expanded."""
         part = self.grammar.sequence[self.ends[k - 1] if k else 0 : self.ends[k]].astype(np.int64)
         rule = part - self.grammar.terminals
         n = np.where(rule >= 0, self.lengths[np.maximum(rule, 0)] if len(self.lengths) else 1, 1)
-        stop = np.cumsum(n)
-        s = int(np.searchsorted(stop, i, side="right"))
-        i -= int(stop[s] - n[s])
-        symbol = int(part[s])
-        while symbol >= self.grammar.terminals:
-            k = symbol - self.grammar.terminals
-            left = int(self.grammar.left[k])
-            size = int(self.lengths[left - self.grammar.terminals]) if left >= self.grammar.terminals else 1
-            symbol, i = (left, i) if i < size else (int(self.grammar.right[k]), i - size)
-        return symbol
+        end = np.cumsum(n)
+        s = int(np.searchsorted(end, first, side="right"))
+        skip, out = first - int(end[s] - n[s]) if s < len(end) else 0, []
+        stack = part[s : int(np.searchsorted(end, stop, side="left")) + 1][::-1].tolist()
+        while stack and len(out) < stop - first:
+            symbol = stack.pop()
+            inner = symbol - self.grammar.terminals
+            size = int(self.lengths[inner]) if inner >= 0 else 1
+            if skip >= size:
+                skip -= size
+            elif inner < 0:
+                out.append(symbol)
+            else:
+                stack += [int(self.grammar.right[inner]), int(self.grammar.left[inner])]
+        return np.array(out, dtype=np.uint32)
+
+    def token(self, k: int, i: int) -> int:
+        """The i-th id of the k-th document."""
+        return int(self.span(k, i, i + 1)[0])
 
 
 #: Slots for pieces, and ids of pieces, that a worker remembers.
@@ -274,8 +285,8 @@ class Encoder:
     between characters that aren't white space, between an ASCII letter or digit and one of
     ``.,;:!?``, and around a single line end between characters that aren't white space.  Texts are cut there;
     pieces that aren't remembered are encoded by the library behind one another, once each, and
-    told apart by the bytes that each id stands for.  A text with any other white space is
-    encoded as it is.  A piece is recognised by its bytes, one of more than 16 bytes by a 128-bit
+    told apart by the bytes that each id stands for.  A text with any other white space, or with
+    the string of a special token, is encoded as it is.  A piece is recognised by its bytes, one of more than 16 bytes by a 128-bit
     hash; a new piece takes the slot of an old one.
     """
 
@@ -283,7 +294,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.library.no_truncation()
         self.library.no_padding()
         vocabulary = self.library.get_vocab()  # a character of a byte-level token is a byte
@@ -311,6 +322,16 @@ class Encoder:
             raise ValueError("pieces don't end where ids end: not a byte-level vocabulary")
         return ids[_ranges(begin, last + 1 - begin)], last + 1 - begin
 
+    def _specials(self, data: np.ndarray) -> np.ndarray:
+        """Where strings of special tokens begin."""
+        raw, found = data.tobytes(), []
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(x, at + 1)
+        return np.array(found, dtype=np.int64)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts by row) of the rows of a slice."""
         n = len(off) - 1
@@ -328,7 +349,7 @@ class Encoder:
         border = off[1:][off[1:] > off[:-1]] - 1
         rare = np.flatnonzero(kind & (_WHITE | _LEAD))
         is_lead = kind[rare] == _LEAD
-        strange = np.concatenate([double[~np.isin(double, off)], border[white[border] != 0], rare[~is_lead], _wide_white(data, rare[is_lead])])
+        strange = np.concatenate([double[~np.isin(double, off)], border[white[border] != 0], rare[~is_lead], _wide_white(data, rare[is_lead]), self._specials(data)])
         whole = np.zeros(n, dtype=bool)
         whole[np.searchsorted(off, strange, side="right") - 1] = True
         start = np.flatnonzero(cut)
@@ -389,19 +410,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-FILE = "part long, block long, block_start long, doc_ids array<long>, n_tokens array<long>, symbols array<long>, grammar binary"
+FILE = "part long, block long, block_start long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, symbols array<long>, grammar binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = END, block_ids: int = BLOCK_IDS) -> None:
     """Encodes every whole text of docs and writes the blocks below path, in ascending order of doc_id.
 
     Every row of the Parquet files at path is a block: number of its part (ranges of doc_id in
-    ascending order), its number and first position in the part, the documents with their
-    counts of ids and of symbols, and the packed grammar.  Blocks are built one at a time.
+    ascending order), its number and first position in the part, the least and the largest
+    doc_id, the documents with their counts of ids and of symbols, and the packed grammar.
+    Blocks are built one at a time.  Parts are ranges of doc_id, then of the text's hash and of
+    the place in the input, so that rows of one doc_id, or without any, are dealt over parts.
     """
     small_batches(docs.sparkSession)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = thin.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ties = {"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()}
+    ranged = thin.withColumns(ties).repartitionByRange("doc_id", *ties).sortWithinPartitions("doc_id", *ties).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
@@ -417,13 +441,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end: int = END,
             last = np.zeros(len(flat), dtype=bool)
             last[np.cumsum(n) - 1] = True
             grammar, symbols = repair(flat, last, max(code.size, end + 1))
-            row = [[part], [number], [start], [pa.concat_arrays(docs_held)], [n], [symbols], [pack(grammar, grammar.lengths())]]
+            ids = pa.concat_arrays(docs_held)
+            known = ids.drop_null()
+            ends = (known[0].as_py(), known[-1].as_py()) if len(known) else (None, None)
+            row = [[part], [number], [start], *([x] for x in ends), [ids], [n], [symbols], [pack(grammar, grammar.lengths())]]
             number, start, held = number + 1, start + len(flat), 0
             for x in (docs_held, ids_held, counts_held):
                 x.clear()
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
             cols = [pa.ListArray.from_arrays(pa.array([0, len(x[0])], pa.int32()), x[0] if isinstance(x[0], pa.Array) else pa.array(x[0])) if pa.types.is_list(t) else pa.array(x, t) for x, t in zip(row, types, strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "block_start", "doc_ids", "n_tokens", "symbols", "grammar"])
+            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "block_start", "first_id", "last_id", "doc_ids", "n_tokens", "symbols", "grammar"])
 
         for batch in batches:
             for i, j, data, off in slices(batch.column(1), SLICE_BYTES // 2):
@@ -482,11 +509,34 @@ def read_tokens(spark, path: str, *, with_ids: bool = False) -> DataFrame:
     return out.join(parts, "part").select("doc_id", (F.col("local") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def read_document(spark, path: str, doc_id: int, first: int = 0, stop: int | None = None) -> DataFrame:
+    """(doc_id, ids) of the documents of that id: all their ids, or those from ``first`` to before ``stop``.
+
+    Only blocks whose range of ids holds doc_id are read (their borders are in the files' statistics),
+    and of a block only the rules that the asked ids need are expanded.
+    """
+    files = spark.read.schema(FILE).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, n, symbols, raw in zip(*(batch.column(c) for c in range(4)), strict=True):
+                at = np.flatnonzero(doc.values.fill_null(doc_id + 1).to_numpy() == doc_id)
+                n, block = n.values.to_numpy(), Block(raw.as_buffer().to_pybytes(), symbols.values.to_numpy())
+                for k in at.tolist():
+                    end = int(n[k]) if stop is None else min(stop, int(n[k]))
+                    ids = block.span(k, first, end) if first < end else np.zeros(0, np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return files.select("doc_ids", "n_tokens", "symbols", "grammar").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, *, end: int = END) -> DataFrame:
     """Writes the token files of docs to the shared folder and returns what is read back from them.
 
     Cases: null and empty texts are the end id alone; repeated rows are written as often as they
-    come; a null doc_id comes first; an empty table gives no rows; other columns are ignored.
+    come; rows that share a doc_id come in order of a hash of their texts; a null doc_id comes
+    first; a document of more ids than a block holds has a block of its own; an empty table gives
+    no rows; other columns, whatever their names, are ignored.
     """
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end=end)
