@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -99,12 +100,13 @@ def counted(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     return (both >> U64(48)).astype(np.int64), both & U64((1 << 48) - 1), n.astype(np.float64)
 
 
-SKETCH = "doc_id long, text_hash binary, s0 long, s1 long, bands array<long>"
+SKETCH = "row long, doc_id long, text_hash binary, s0 long, s1 long, bands array<long>"
 
 
 def _sketch(width: int, k: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(k // band, dtype=U64) + U64(77))
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             for i, j, data, off in slices(text):
@@ -124,9 +126,10 @@ def _sketch(width: int, k: int, band: int):
                 valid = text.slice(i, j - i).is_valid().to_pylist()
                 hashes = [hashlib.md5(data[off[r] : off[r + 1]]).digest() if valid[r] else None for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(hashes, pa.binary()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), bands],
-                    names=["doc_id", "text_hash", "s0", "s1", "bands"],
+                    [pa.array(np.arange(number, number + j - i)), ids.slice(i, j - i), pa.array(hashes, pa.binary()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), bands],
+                    names=["row", "doc_id", "text_hash", "s0", "s1", "bands"],
                 )
+                number += j - i
 
     return run
 
@@ -201,7 +204,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivot[run]
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (key, doc, s0, s1, doc[p], (_agree(s0, s1, s0[p], s1[p]) >= AGREE) & (doc != doc[p]))],
-            names=["key", "doc_id", "s0", "s1", "pivot", "close"],
+            names=["key", "row", "s0", "s1", "pivot", "close"],
         )
 
 
@@ -270,12 +273,12 @@ def _sets(width: int):
                 both = np.sort((row.astype(U64) << U64(48)) | (h >> U64(16)))
                 first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
                 nth = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
-                element = mix((both & U64((1 << 48) - 1)) + (nth.astype(U64) << U64(48)))
+                element = mix((both & U64((1 << 48) - 1)) ^ mix(nth.astype(U64) + U64(0x9E3779B97F4A7C15)))
                 row = (both >> U64(48)).astype(np.int64)
                 element = element[np.lexsort((element, row))]
                 at = (np.searchsorted(row, np.arange(j - i + 1)) * 8).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(element)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["row", "elements"])
 
     return run
 
@@ -298,27 +301,80 @@ def _test(similarity: float):
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b) that have that weighted Jaccard similarity, by their whole shingle sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    left = sets.select(F.col("row").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("elements").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(_test(similarity), "a long, b long")
 
 
 def _open_runs(multi: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """The runs that hold more than one component, with the rows' sets; large ones dealt out by pairs of groups."""
-    there = multi.select("key", "doc_id").join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-    there = written(there.withColumn("component", F.coalesce("component", "doc_id")), "dedup-runs")
+    there = multi.select("key", "row").join(comps.withColumnRenamed("vertex", "row"), "row", "left")
+    there = written(there.withColumn("component", F.coalesce("component", "row")), "dedup-runs")
     size = F.octet_length("elements")
-    keys = there.join(sets.select("doc_id", size.alias("size")), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    keys = there.join(sets.select("row", size.alias("size")), "row").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     keys = keys.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("n") / DEAL_ROWS), F.ceil(F.col("size") / DEAL_BYTES)).alias("g"))
-    dealt = there.join(keys, "key").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.col("g")))
+    dealt = there.join(keys, "key").withColumn("grp", F.pmod(F.xxhash64("row"), F.col("g")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    dealt = dealt.join(sets, "doc_id").select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "doc_id", "component", "elements")
+    dealt = dealt.join(sets, "row").select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "row", "component", "elements")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
+def _by_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts (__id, __hash, ...) whose id and text are among wanted (doc_id, text_hash, ...), with its columns.
+
+    Texts are shuffled once.  The hashed side of the join has some dozens of bytes for each
+    text of the other, so that it is far smaller than the partitions that texts are cut to.
+    """
+    w = wanted.withColumnsRenamed({"doc_id": "__w_id", "text_hash": "__w_hash"}).hint("shuffle_hash")
+    return texts.join(w, F.col("__id").eqNullSafe(F.col("__w_id")) & (F.col("__hash") == F.col("__w_hash"))).drop("__w_id", "__w_hash")
+
+
+def _classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with text hashes, representatives of texts, their linked classes).
+
+    Rows are told apart by a number of their own; of equal texts the row with the least doc_id
+    stands for all of them.  Linked classes: rep, component, name (the least doc_id), keeper (its row).
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sig = written(docs.mapInArrow(_sketch(width, COORDINATES, BAND), SKETCH), "dedup-sketch")
+    least = lambda doc, row: F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col(row).alias("row"))).alias("f")
+    reps = sig.where("text_hash is not null").groupBy("text_hash").agg(least("doc_id", "row"))
+    reps = written(reps.select("text_hash", F.col("f.row").alias("rep"), F.col("f.id").alias("first")), "dedup-copies")
+
+    unique = sig.join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
+    rows = unique.select(F.explode("bands").alias("key"), "row", "s0", "s1")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    multi = written(rows.mapInArrow(_stars, "key long, row long, s0 long, s1 long, pivot long, close boolean"), "dedup-runs")
+    wanted = multi.select("row").distinct().join(sig.select("row", "doc_id", "text_hash"), "row")
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("__id"), _hash(F.col("text")).alias("__hash"), "text")
+    sets = _by_text(texts, wanted).select("row", "text").mapInArrow(_sets(width), "row long, elements binary")
+    if _repeats(sig):
+        sets = sets.dropDuplicates(["row"])
+    sets = written(sets, "dedup-sets")
+    stars = multi.where("close").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = written(_verified(stars, sets, similarity), "dedup-links")
+    comps = written(connected_components(links), "dedup-components")
+    bridges = written(_open_runs(multi, comps, sets).mapInArrow(_bridges(similarity), "a long, b long").distinct(), "dedup-links")
+    if not bridges.isEmpty():
+        comps = written(connected_components(links.unionByName(bridges)), "dedup-components")
+    named = comps.join(reps.select(F.col("rep").alias("vertex"), "first"), "vertex").groupBy("component").agg(least("first", "vertex"))
+    named = named.select("component", F.col("f.id").alias("name"), F.col("f.row").alias("keeper"))
+    return sig, reps, comps.join(named, "component").withColumnRenamed("vertex", "rep")
+
+
+def _repeats(sig: DataFrame) -> bool:
+    """Whether rows repeat a doc_id together with its text."""
+    return not sig.where("text_hash is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row (doc_id, class_id) for each document; a class is named by its least doc_id.
+    """One row (doc_id, class_id) for each row of docs; a class is named by its least doc_id.
 
     Two documents are linked if their texts are equal or the weighted Jaccard similarity of
     their shingle counts reaches ``similarity``; classes are the connected components.  Copies
@@ -328,44 +384,29 @@ def near_duplicates(docs: DataFrame, *, width: int = WORDS, similarity: float =
     link between different texts depends on the pivot or on a sketch.
 
     Cases: a text of one to four words has one shingle of all its words; empty texts are equal
-    to each other; a null text is a class of its own; rows that share a doc_id are one document;
-    a null doc_id gives a row with a null class.  Other columns are ignored.
+    to each other; very long texts are read whole, one at a time; a null text is a class of its
+    own, named by its doc_id; rows that share a doc_id are documents of their own, each in the
+    class of its text; a row without a doc_id is in the class of its text too, which has no name if
+    no row of it has a doc_id; ties in the name can't be; an empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null")
-    sig = written(known.mapInArrow(_sketch(width, COORDINATES, BAND), SKETCH), "dedup-sketch")
-    least = written(sig.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("rep")), "dedup-copies")
-    members = sig.select("doc_id", "text_hash").join(least, "text_hash", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-
-    unique = sig.join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = unique.select(F.explode("bands").alias("key"), "doc_id", "s0", "s1")
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    multi = written(rows.mapInArrow(_stars, "key long, doc_id long, s0 long, s1 long, pivot long, close boolean"), "dedup-runs")
-    ids = multi.select("doc_id").distinct().hint("shuffle_hash")
-    sets = written(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, elements binary"), "dedup-sets")
-    stars = multi.where("close").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_verified(stars, sets, similarity), "dedup-links")
-    comps = written(connected_components(links), "dedup-components")
-    bridges = written(_open_runs(multi, comps, sets).mapInArrow(_bridges(similarity), "a long, b long").distinct(), "dedup-links")
-    if not bridges.isEmpty():
-        comps = connected_components(links.unionByName(bridges))
-    out = members.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left")
-    out = out.select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    sig, reps, linked = _classes(docs, width, similarity)
+    members = sig.select("doc_id", "text_hash").join(reps, "text_hash", "left")
+    out = members.join(linked.select("rep", "name"), "rep", "left")
+    return out.select("doc_id", F.coalesce("name", "first", "doc_id").alias("class_id"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, of which one document of each near-duplicate class stays.
 
-    The document with the least doc_id stays; of rows that repeat its doc_id one stays.  Rows
-    with a null doc_id can't be told apart and all stay.
+    The document with the least doc_id stays, one without a doc_id only if no other of its class
+    has any.  Of rows that repeat a doc_id with its text one stays; rows that share a doc_id but
+    differ in text are different documents.  Rows without a text all stay.
     """
-    classes = near_duplicates(docs, **options)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct().hint("shuffle_hash")
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not ids.isEmpty():
-        one = one.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    sig, reps, linked = _classes(docs, width, similarity)
+    kept = reps.join(linked.select("rep", "keeper"), "rep", "left").where("keeper is null or keeper = rep").select(F.col("first").alias("doc_id"), "text_hash")
+    keyed = docs.where("text is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _hash(F.col("text"))})
+    one = _by_text(keyed, kept)
+    if _repeats(sig):
+        one = one.dropDuplicates(["__id", "__hash"])
+    return one.select(*docs.columns).unionByName(docs.where("text is null"))
