@@ -110,42 +110,47 @@ def fit(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int
     return x[:n_features], x[n_features] + np.concatenate([[0], np.cumsum(np.exp(x[n_features + 1 :]))])
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each feature, by label, for one partition."""
-    keys, clean, toxic = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        label = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j, data, off in slices(batch.column(1)):
-            for row, h in features(data, off):
-                order = np.lexsort((row, h))
-                row, h = row[order], h[order]
-                once = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
-                bad = label[i:j][row[once]]
-                both = np.concatenate([keys, h[once]])
-                keys, inverse = np.unique(both, return_inverse=True)
-                toxic = np.bincount(inverse, weights=np.concatenate([toxic, bad]), minlength=len(keys)).astype(np.int64)
-                clean = np.bincount(inverse, weights=np.concatenate([clean, 1 - bad]), minlength=len(keys)).astype(np.int64)
-    for i in range(0, len(keys), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(clean[part]), pa.array(toxic[part])], names=["feature", "clean", "toxic"])
-
-
-def selected(rows: DataFrame, n_features: int) -> tuple[Model, np.ndarray]:
-    """A model without weights of the features that tell the labels (doc_id, text, toxic 0 or 1) apart best.
-
-    Features are ranked by the likelihood ratio of their table with the labels.  Also given: which
-    of them mark the toxic class.
+def _tally(n_classes: int):
+    """Documents with each feature, by class (column 2), for one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, seen = np.zeros(0, U64), np.zeros((n_classes, 0), np.int64)
+        for batch in batches:
+            label = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, data, off in slices(batch.column(1)):
+                for row, h in features(data, off):
+                    order = np.lexsort((row, h))
+                    row, h = row[order], h[order]
+                    once = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
+                    own = label[i:j][row[once]]
+                    keys, inverse = np.unique(np.concatenate([keys, h[once]]), return_inverse=True)
+                    seen = np.stack([np.bincount(inverse, weights=np.concatenate([seen[k], own == k]), minlength=len(keys)) for k in range(n_classes)]).astype(np.int64)
+        for i in range(0, len(keys), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), *(pa.array(x[part].copy()) for x in seen)], names=["feature", *(f"c{k}" for k in range(n_classes))])
+
+    return run
+
+
+def selected(rows: DataFrame, n_features: int, n_classes: int = 2) -> tuple[Model, np.ndarray]:
+    """A model without weights of the features that tell the classes of rows (doc_id, text, class) apart best.
+
+    Features are ranked by the likelihood ratio of their table with the classes 0, 1, ....  Also
+    given: which of them mark the last class.
     """
-    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
-    if not n0 or not n1:
+    total = {r[0]: r["count"] for r in rows.groupBy(rows.columns[2]).count().collect()}
+    n = [total.get(k, 0) for k in range(n_classes)]
+    if sum(x > 0 for x in n) < 2:
         return Model(np.zeros(0, U64), np.zeros(0), np.zeros(GRADES)), np.zeros(0, dtype=bool)
-    stats = rows.mapInArrow(_tally, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {SUPPORT}")
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    term = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-    share = (F.col("t") + F.col("c")) / float(n0 + n1)
-    ratio = term(F.col("t"), share * n1) + term(F.col("c"), share * n0) + term(n1 - F.col("t"), (1 - share) * n1) + term(n0 - F.col("c"), (1 - share) * n0)
-    best = stats.where("c + t < " + str(n0 + n1)).withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "feature").limit(n_features).collect()
+    counts = [f"c{k}" for k in range(n_classes)]
+    seen = sum((F.col(c) for c in counts[1:]), F.col("c0"))
+    stats = rows.mapInArrow(_tally(n_classes), "feature long, " + ", ".join(f"{c} long" for c in counts)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in counts)).where(seen >= SUPPORT)
+    last = F.col(counts[-1])
+    odds = F.log((last + 0.5) / (n[-1] + 1.0)) - F.log((seen - last + 0.5) / (sum(n[:-1]) + 1.0))
+    term = lambda got, expected: F.when(got > 0, 2 * got * F.log(got / expected)).otherwise(0.0)
+    share = seen / float(sum(n))
+    ratio = sum((term(F.col(c), share * x) + term(x - F.col(c), (1 - share) * x) for c, x in zip(counts, n, strict=True) if x), F.lit(0.0))
+    best = stats.where(seen < sum(n)).withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "feature").limit(n_features).collect()
     keys = np.array([r["feature"] for r in best], dtype=np.int64).view(U64)
     order = np.argsort(keys)
     return Model(keys[order], np.zeros(len(keys)), np.zeros(GRADES)), np.array([r["odds"] for r in best], dtype=float)[order] > 2.0
@@ -154,8 +159,10 @@ def selected(rows: DataFrame, n_features: int) -> tuple[Model, np.ndarray]:
 def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, n_grades: int = GRADES) -> Model:
     """Fits a model on labelled documents: at most ``fit_rows`` of them, those first in a hash order of doc_id.
 
-    The labels say toxic or not; the grades of the toxic documents are the quantile thirds of
-    how many different features of the toxic class they have.  Only the sample's selected
+    The labels' ``toxic`` is a grade of severity from 0 on, of repeated ids the highest; grades
+    above n_grades count as n_grades.  If the labels say toxic or not only, the grades of the
+    toxic documents are the quantile thirds of how many different features of the toxic class
+    they have.  Only the sample's selected
     features come to the driver (fit_rows x n_features at most).  Without labels of both kinds
     the model finds nothing toxic.
     """
@@ -164,26 +171,27 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("long").alias("toxic")), "toxicity-sample")
-    draft, marks = selected(rows, n_features)
+    rows = written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.greatest(F.least("toxic", F.lit(n_grades)), F.lit(0)).cast("long").alias("grade")), "toxicity-sample")
+    draft, marks = selected(rows.select("doc_id", "text", (F.col("grade") > 0).cast("long").alias("toxic")), n_features)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in slices(batch.column(1)):
                 row, feature = draft.present(data, off)
                 at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(feature.astype(np.int32)))], names=["doc_id", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(feature.astype(np.int32)))], names=["doc_id", "grade", "features"])
 
-    got = sorted(rows.mapInArrow(own, "doc_id long, toxic long, features array<int>").collect(), key=lambda r: (r["doc_id"], r["features"]))
+    got = sorted(rows.mapInArrow(own, "doc_id long, grade long, features array<int>").collect(), key=lambda r: (r["doc_id"], r["features"]))
     sizes = np.array([len(r["features"]) for r in got], dtype=np.int64)
     feature = np.array([f for r in got for f in r["features"]], dtype=np.int64)
     row = np.repeat(np.arange(len(got)), sizes)
-    toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
-    if not toxic.any() or toxic.all():
+    grade = np.array([r["grade"] for r in got], dtype=np.int64)
+    if not grade.any() or grade.all():
         return Model(np.zeros(0, U64), np.zeros(0), np.full(n_grades, np.inf))
-    mass = np.bincount(row, weights=marks[feature], minlength=len(got))
-    cuts = np.quantile(mass[toxic > 0], np.arange(1, n_grades) / n_grades)
-    grade = np.where(toxic > 0, 1 + np.searchsorted(cuts, mass, side="left"), 0)
+    if grade.max() == 1:
+        mass = np.bincount(row, weights=marks[feature], minlength=len(got))
+        cuts = np.quantile(mass[grade > 0], np.arange(1, n_grades) / n_grades)
+        grade = np.where(grade > 0, 1 + np.searchsorted(cuts, mass, side="left"), 0)
     weights, thresholds = fit(row, feature, grade, len(draft.keys), n_grades)
     return Model(draft.keys, weights, thresholds)
 
@@ -192,7 +200,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected severity, most likely grade and ``toxic`` (P(grade > 0) at least reject_at) of each row.
 
     Cases: null and empty texts have no features and so the score of a featureless text, never
-    toxic; repeated rows score alike; a null doc_id is passed on.
+    toxic; very long texts are scored whole, a text at a time; of equally likely grades the lowest
+    is given; repeated rows score alike; a null doc_id is passed on; an empty table gives no rows;
+    other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
 
