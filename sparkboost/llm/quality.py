@@ -122,8 +122,10 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _firsts(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The rows of distinct (row, key), one entry for each."""
-    both = np.sort(mix(key + row.astype(U64) * U64(0x9E3779B97F4A7C15)) & ~U64(0x3FFF) | row.astype(U64))
-    return (both[np.concatenate([[True], both[1:] != both[:-1]])] & U64(0x3FFF)).astype(np.int64)
+    order = np.argsort(key)
+    order = order[np.argsort(row[order], kind="stable")]
+    key, row = key[order], row[order]
+    return row[np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +186,10 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     words, or over half of them in repeated three-word windows; such documents are never kept
     and take no part in the fit.
 
-    Cases: null and empty texts have no words, so base_failed; repeated rows are judged alike,
-    each giving a row; a null doc_id is passed on; an empty table gives no rows.
+    Cases: null and empty texts have no words, so base_failed; very long texts are counted whole,
+    a text at a time; a posterior equal to ``threshold`` keeps; repeated rows are judged alike, each
+    giving a row; a null doc_id is passed on; an empty table gives no rows; other columns, whatever
+    their names, are ignored.
     """
     facts = written(measured(docs).withColumn("pattern", sum(r.vote() * 3**k for k, r in enumerate(rules)).cast("long")), "quality")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
