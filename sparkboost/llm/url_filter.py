@@ -61,6 +61,11 @@ def longest_rule(rules: list[Rule], host: F.Column, path: F.Column) -> tuple[F.C
     return text, verdict
 
 
+def _pairs(columns) -> np.ndarray:
+    """(n, 2) unsigned words of two columns of hashes."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64).view(U64) for c in columns], axis=1)
+
+
 @dataclass
 class Bloom:
     bits: int
@@ -75,8 +80,9 @@ class Bloom:
         return cls(-(-bits // 64) * 64, max(1, round(bits / max(n, 1) * math.log(2))), salt)
 
     def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        step = mix(h ^ U64(self.salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        second = mix(step) | U64(1)
+        """Bits of keys, given as rows of two hashes."""
+        salt = U64(self.salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        step, second = mix(h[:, 0] ^ salt), mix(h[:, 1] ^ salt) | U64(1)
         for _ in range(self.hashes):
             yield step % U64(self.bits)
             step = step + second
@@ -88,17 +94,17 @@ class Bloom:
         return out
 
     def filled(self, keys: DataFrame) -> Bloom:
-        """Sets the bits of the keys (column h); set words are merged by executors before they come here."""
+        """Sets the bits of the keys (columns h, h2); set words are merged by executors before they come here."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                place = np.unique(np.concatenate(list(self.places(batch.column(0).to_numpy().view(U64)))))
+                place = np.unique(np.concatenate(list(self.places(_pairs(batch.columns[:2])))))
                 word = (place >> U64(6)).astype(np.int64)
                 first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
                 mask = np.bitwise_or.reduceat(U64(1) << (place & U64(63)), first) if len(word) else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-        got = keys.select("h").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+        got = keys.select("h", "h2").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
         self.words = np.zeros(self.bits // 64, dtype=U64)
         self.words[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(U64)
         return self
@@ -109,7 +115,7 @@ class Cascade:
     levels: list[Bloom]
 
     def lists(self, h: np.ndarray) -> np.ndarray:
-        """Whether each key (its 64-bit hash) is listed; exact for keys of the universe."""
+        """Whether each key (a row of two hashes) is listed; exact for keys of the universe."""
         out = np.zeros(len(h), dtype=bool)
         left = np.arange(len(h))
         for level, bloom in enumerate(self.levels):
@@ -123,17 +129,17 @@ class Cascade:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h = batch.column(0).to_numpy().view(U64)
+                h = _pairs(batch.columns[:2])
                 ok = np.ones(len(h), dtype=bool)
                 for bloom in levels:
                     ok &= bloom.holds(h)
                 yield batch.filter(pa.array(ok))
 
-        return keys.select("h").mapInArrow(run, "h long")
+        return keys.select("h", "h2").mapInArrow(run, "h long, h2 long")
 
     @classmethod
     def built(cls, listed: DataFrame, others: DataFrame) -> Cascade:
-        """listed and others: the whole universe of distinct keys (column h)."""
+        """listed and others: the whole universe of distinct keys (columns h, h2)."""
         n, m = listed.count(), others.count()
         cascade = cls([])
         if not n:
@@ -152,19 +158,19 @@ class Cascade:
 def listed_flags(rows: DataFrame, key: str, listed: DataFrame, *, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """rows with ``listed``: whether their key is among ``listed`` (column key).
 
-    The universe is all distinct keys of rows and of the list.  Keys are told apart by 64-bit
-    hashes; a list key and another key of one hash would make the build fail, not answer wrongly.
+    The universe is all distinct keys of rows and of the list.  Keys are told apart by 128 bits
+    of two hashes, which no two of 10^12 keys share but with a probability of about 10^-15.
     """
     spark = rows.sparkSession
     small_batches(spark)
-    h = F.xxhash64(F.col(key)).alias("h")
-    on_list = listed.where(F.col(key).isNotNull()).select(h, F.lit(1).alias("on"))
-    keys = rows.where(F.col(key).isNotNull()).select(h, F.lit(0).alias("on")).unionByName(on_list).groupBy("h").agg(F.max("on").alias("on"))
+    hashes = [F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.lit("2nd"), F.col(key), F.length(key)).alias("h2")]
+    on_list = listed.where(F.col(key).isNotNull()).select(*hashes, F.lit(1).alias("on"))
+    keys = rows.where(F.col(key).isNotNull()).select(*hashes, F.lit(0).alias("on")).unionByName(on_list).groupBy("h", "h2").agg(F.max("on").alias("on"))
     keys = written(keys, "url-keys")
     n = keys.where("on = 1").count()
     segments = max(1, -(-Bloom.sized(n, 1e-6, 0).bits // segment_bits))
     out = None
-    rows = rows.withColumn("__h", F.xxhash64(F.col(key)))
+    rows = rows.withColumns({"__h": hashes[0], "__h2": hashes[1]})
     for s in range(segments):
         own = F.pmod(F.xxhash64("h"), F.lit(segments)) == s
         cascade = Cascade.built(keys.where(own & (F.col("on") == 1)), keys.where(own & (F.col("on") == 0)))
@@ -172,12 +178,12 @@ def listed_flags(rows: DataFrame, key: str, listed: DataFrame, *, segment_bits:
         shared = spark.sparkContext.broadcast(cascade)
 
         @F.pandas_udf("boolean")
-        def lists(h, shared=shared):
+        def lists(h, h2, shared=shared):
             import pandas as pd
 
-            return pd.Series(shared.value.lists(h.to_numpy().view(np.uint64)))
+            return pd.Series(shared.value.lists(np.stack([x.to_numpy().view(np.uint64) for x in (h, h2)], axis=1)))
 
-        part = here.withColumn("listed", lists("__h") & F.col(key).isNotNull()).drop("__h")
+        part = here.withColumn("listed", lists("__h", "__h2") & F.col(key).isNotNull()).drop("__h", "__h2")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -188,8 +194,9 @@ def verdicts(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFram
     listed: keys (column key: host followed by path) that are blocked where no rule fits.
 
     Cases: a null url or one without ``://`` has an empty host and path, which no rule fits; it
-    is allowed unless the empty key is listed.  Repeated rows are judged alike; a null page_id
-    is passed on; an empty table gives no rows; other columns are ignored.
+    is allowed unless the empty key is listed.  Of rules of equal length the first by text wins.
+    Very long urls are judged whole; repeated rows are judged alike; a null page_id is passed on;
+    an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = parsed(pages).withColumn("key", F.concat("host", "path"))
     rows = listed_flags(rows, "key", listed)
