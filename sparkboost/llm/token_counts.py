@@ -7,60 +7,78 @@ applied once, however often it is committed.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import itertools
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
+from .text import slices
+from .token_files import encoder
 
 KEYS = ("source", "lang", "version")
 SUMS = ("docs", "tokens", "chars")
 TOTALS = "source string, lang string, version string, docs long, tokens long, chars long"
 
 
-def words(text: Column) -> Column:
-    """Number of runs of bytes other than ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+@dataclass(frozen=True)
+class Vocabulary:
+    """Counts ids by a public vocabulary file: a byte-level one of the tokenizers library, or ranks of tiktoken."""
 
+    path: str
 
-def pieces(text: Column) -> Column:
-    """Number of runs of ASCII letters, ASCII digits, or other characters that aren't ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]+")).cast("long"), F.lit(0).cast("long"))
+    def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Ids of each row of a slice; special tokens are neither added nor looked for in ranks."""
+        if not self.path.endswith(".tiktoken"):
+            return encoder(self.path).encode(data, off)[1]
+        raw, code = data.tobytes(), _ranks(self.path)
+        return np.array([len(code.encode_ordinary(raw[a:b].decode(errors="replace"))) for a, b in itertools.pairwise(off.tolist())], dtype=np.int64)
 
 
-def bpe(path: str) -> Callable[[Column], Column]:
-    """A counter for the ids of a byte-level vocabulary file, by the tokenizers library."""
+_loaded: dict[str, object] = {}
 
-    def count(text: Column) -> Column:
-        @F.pandas_udf("long")
-        def ids(texts):
-            import numpy as np
-            import pandas as pd
-            import pyarrow as pa
 
-            from .text import slices
-            from .token_files import encoder
+def _ranks(path: str):
+    """tiktoken's encoding of a file of ranks, made once in each worker."""
+    if path not in _loaded:
+        import public_tokenizers
+        import tiktoken
 
-            parts = [encoder(path).encode(data, off)[1] for _, _, data, off in slices(pa.array(texts, pa.string()))]
-            return pd.Series(np.concatenate([np.zeros(0, np.int64), *parts]))
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _loaded[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path]
 
-        return ids(text)
 
-    return count
+def counted(docs: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFrame:
+    """doc_id, source, lang, hash of the text, chars, and the number of ids by each tokenizer version.
 
+    Every text is read once and encoded once by each vocabulary, a bounded slice at a time.
+    """
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(text.cast("binary")).alias("hash"), F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long")).alias("chars"), text.alias("text"))
+    names = [*thin.columns[:-1], *vocabularies]
 
-COUNTERS: dict[str, Callable[[Column], Column]] = {"words-1": words, "pieces-1": pieces}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in slices(batch.column(5)):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(5)), *(pa.array(v.count(data, off)) for v in vocabularies.values())], names=names)
 
+    return thin.mapInArrow(run, "doc_id long, source string, lang string, hash string, chars long, " + ", ".join(f"`{v}` long" for v in vocabularies))
 
-def counted(docs: DataFrame, counters: dict[str, Callable[[Column], Column]] = COUNTERS) -> DataFrame:
-    """A row of each document and tokenizer version: doc_id, source, lang, version, tokens, chars."""
-    text = F.col("text").cast("string")
-    each = F.array(*(F.struct(F.lit(v).alias("version"), f(text).alias("tokens")) for v, f in counters.items()))
-    chars = F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), chars.alias("chars"), F.explode(each).alias("e"))
-    return rows.select("doc_id", "source", "lang", "e.version", "e.tokens", "chars")
+
+def changes(counts: DataFrame, version: str, column: str, sign: int) -> DataFrame:
+    """A signed change for each row of ``counted``: the ids in ``column`` under a tokenizer version."""
+    return counts.select("source", "lang", F.lit(version).alias("version"), F.col(f"`{column}`").alias("tokens"), "chars", F.lit(sign).alias("sign"))
 
 
 def delta(changes: DataFrame) -> DataFrame:
@@ -71,20 +89,29 @@ def delta(changes: DataFrame) -> DataFrame:
 class Rollup:
     """Totals in a folder of the store, one immutable folder for each version of them.
 
-    ``commit`` writes the totals of the new version, then its manifest, which names the batch ids
-    that are applied so far.  The manifest is created only if no other writer has made one of
-    that number; until then nothing that readers see has changed, so that a commit that was
-    broken off or that is repeated does no harm.
+    ``commit`` writes the totals of the new version, then its manifest, which names the folder and
+    the batch.  A manifest is written under another name and then renamed to its number, which
+    fails if that number is taken: until then nothing that readers see has changed, so that a
+    commit that is broken off at any point, repeated, or overtaken by another writer does no harm.
+    (On stores without an atomic rename, one writer at a time.)  A batch id is known as applied by a
+    marker file of its own; the marker of the last manifest is made good by the next commit.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark._jvm
-        self._root = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(self._conf)
 
-    def _file(self, version: int):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{version:012d}.json")
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._at(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
 
     def _read(self, path) -> dict:
         stream = self._fs.open(path)
@@ -93,13 +120,20 @@ class Rollup:
         finally:
             stream.close()
 
+    @staticmethod
+    def _marker(batch: str) -> str:
+        return f"applied/{hashlib.sha256(batch.encode()).hexdigest()}"
+
     def manifest(self) -> dict:
-        """The latest: version, batches (ids), totals (folder or null)."""
-        folder = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        """The latest: version, batch (the id that made it), totals (folder or null)."""
+        folder = self._at("manifests")
         if not self._fs.exists(folder):
-            return {"version": 0, "batches": [], "totals": None}
+            return {"version": 0, "batch": None, "totals": None}
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return self._read(self._file(int(names[-1][:-5]))) if names else {"version": 0, "batches": [], "totals": None}
+        return self._read(self._at(f"manifests/{names[-1]}")) if names else {"version": 0, "batch": None, "totals": None}
+
+    def applied(self, batch: str) -> bool:
+        return self.manifest()["batch"] == batch or self._fs.exists(self._at(self._marker(batch)))
 
     def totals(self) -> DataFrame:
         at = self.manifest()["totals"]
@@ -107,53 +141,53 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch of signed changes; False if it was applied before.  Cells that fall to no documents go."""
-        import uuid
-
         old = self.manifest()
-        if batch in old["batches"]:
+        if old["batch"] is not None:
+            self._write(self._marker(old["batch"]), old["batch"])
+        if old["batch"] == batch or self._fs.exists(self._at(self._marker(batch))):
             return False
         rows = delta(changes)
         if old["totals"]:
             rows = self.spark.read.schema(TOTALS).parquet(old["totals"]).unionByName(rows)
         rows = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("docs <> 0 or tokens <> 0 or chars <> 0")
-        folder = f"{self.path}/totals/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+        unique, version = uuid.uuid4().hex, old["version"] + 1
+        folder = f"{self.path}/totals/{version:012d}-{unique}"
         rows.write.parquet(folder)
-        stream = self._fs.create(self._file(old["version"] + 1), False)  # fails if another writer was first
-        try:
-            stream.write(bytearray(json.dumps({"version": old["version"] + 1, "batches": [*old["batches"], batch], "totals": folder}).encode()))
-        finally:
-            stream.close()
+        draft = f"drafts/{unique}"
+        self._write(draft, json.dumps({"version": version, "batch": batch, "totals": folder}))
+        self._fs.mkdirs(self._at("manifests"))
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self._conf)
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        source, target = (context.makeQualified(self._fs.makeQualified(self._at(x))) for x in (draft, f"manifests/{version:012d}.json"))
+        context.rename(source, target, none)  # fails if another writer was first
+        self._write(self._marker(batch), batch)
         return True
 
 
-def maintained(docs: DataFrame, path: str) -> DataFrame:
+def maintained(docs: DataFrame, path: str, first: Vocabulary, second: Vocabulary) -> DataFrame:
     """Totals of docs after a life of four batches, two of them committed twice.
 
-    load: every document, counted in words.  dedup: copies are deleted, that is every document
-    with a text that a document with a smaller doc_id has.  revise: German documents are
-    counted anew, in pieces under the version of the words.  pieces: what is left is inserted
-    under a second tokenizer version.
+    load: every document, counted by the first vocabulary as version bpe-1.  dedup: copies are
+    deleted, that is every document with a text that a document with a smaller doc_id has.
+    revise: German documents are counted anew, by the second vocabulary under the same
+    version.  multi: what is left is inserted as version multi-1, by the second vocabulary.
 
     Cases: a null text has no tokens and is never a copy; null sources and languages are cells
     of their own; a null doc_id comes before all others; rows that repeat a doc_id with its text
-    are no copies of each other.
+    are no copies of each other; very long texts are counted whole, one at a time; an empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
-    rollup = Rollup(spark, path)
-    words_of = counted(docs, {"words-1": words})
-    plus, minus = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
-    rollup.commit("load", words_of.select("*", plus))
-    rollup.commit("load", words_of.select("*", plus))
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(F.col("text").cast("string").cast("binary")).alias("hash"), words(F.col("text")).alias("words-1"), pieces(F.col("text")).alias("pieces-1"), F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")).alias("chars"))
-    thin = written(key, "token-counts")
-    first = written(thin.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")), "token-firsts")
-    marked = thin.join(first, "hash", "left").withColumn("copy", F.col("hash").isNotNull() & F.col("doc_id").isNotNull() & (F.col("null_first") | (F.col("doc_id") > F.col("first"))))
-    marked = written(marked, "token-copies")
-    own = lambda df, version, column, sign: df.select("doc_id", "source", "lang", F.lit(version).alias("version"), F.col(column).alias("tokens"), "chars", sign)
+    rollup = Rollup(docs.sparkSession, path)
+    thin = written(counted(docs, {"__first": first, "__second": second}), "token-counts")
+    rollup.commit("load", changes(thin, "bpe-1", "__first", 1))
+    rollup.commit("load", changes(thin, "bpe-1", "__first", 1))
+    least = thin.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    copy = F.col("hash").isNotNull() & F.col("doc_id").isNotNull() & (F.col("unnamed") | (F.col("doc_id") > F.col("least")))
+    marked = written(thin.join(least, "hash", "left").withColumn("copy", F.coalesce(copy, F.lit(False))), "token-copies")
     copies, rest = marked.where("copy"), marked.where("not copy")
-    rollup.commit("dedup", own(copies, "words-1", "words-1", minus))
+    rollup.commit("dedup", changes(copies, "bpe-1", "__first", -1))
     german = rest.where("lang = 'de'")
-    rollup.commit("revise", own(german, "words-1", "words-1", minus).unionByName(own(german, "words-1", "pieces-1", plus)))
-    rollup.commit("dedup", own(copies, "words-1", "words-1", minus))
-    rollup.commit("pieces", own(rest, "pieces-1", "pieces-1", plus))
+    rollup.commit("revise", changes(german, "bpe-1", "__first", -1).unionByName(changes(german, "bpe-1", "__second", 1)))
+    rollup.commit("dedup", changes(copies, "bpe-1", "__first", -1))
+    rollup.commit("multi", changes(rest, "multi-1", "__second", 1))
     return rollup.totals()
