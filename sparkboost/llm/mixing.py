@@ -24,9 +24,10 @@ from .text import U64, mix, slices, span_hash
 
 #: Labelled rows that the classifier is fitted on at most, and its text features.
 FIT_ROWS, FEATURES = 6000, 512
-#: Domains by the columns of the labelled table, and their target shares of all tokens.
+#: Domains by the columns of the labelled table, and their target shares of all tokens.  A target of 0 would be
+#: paid for by all documents with a trace of the domain, for a posterior is hardly ever exactly 0.
 DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.97, "low": 0.03, "toxic": 0.0}
+TARGETS = {"good": 0.955, "low": 0.04, "toxic": 0.005}
 #: Sums over all documents at most, and how far from its target a domain may end (of its target, or of its tokens if that is 0).
 STEPS, TOLERANCE = 200, 1e-3
 #: Weight of the rates' distance from 1 against the squared errors: lowered tenfold until the targets are met.
@@ -64,12 +65,14 @@ class Classifier:
     words: toxicity.Model
     sparse: np.ndarray  # (features, domains)
     dense: np.ndarray  # (ratios, domains)
+    known: np.ndarray  # whether the labelled rows have the domain; the posterior of any other is 0
 
     def posteriors(self, data: np.ndarray, off: np.ndarray, c: np.ndarray) -> np.ndarray:
         row, feature = self.words.present(data, off)
         score = ratios(c) @ self.dense
         for k in range(score.shape[1]):
             score[:, k] += np.bincount(row, weights=self.sparse[feature, k], minlength=len(c))
+        score = np.where(self.known, score, -np.inf)
         score = np.exp(score - score.max(axis=1, keepdims=True))
         return score / score.sum(axis=1, keepdims=True)
 
@@ -94,7 +97,9 @@ def fit(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, domain: np.ndar
 def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_features: int = FEATURES) -> Classifier:
     """Fits the classifier on at most ``fit_rows`` labelled documents, first in a hash order of doc_id.
 
-    Without labels every posterior is the same for all domains.
+    The text features are those that tell any of the domains apart best.  A domain that no
+    labelled document has gets the posterior 0; without labels every posterior is the same for
+    all domains.
     """
     small_batches(docs.sparkSession)
     rows = labels.where("doc_id is not null and toxic is not null and quality is not null")
@@ -103,7 +108,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(own.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "domain"), "mixing-sample")
-    words = toxicity.selected(own.withColumn("toxic", (F.col("domain") == 2).cast("long")).select("doc_id", "text", "toxic"), n_features)[0]
+    words = toxicity.selected(own, n_features, len(DOMAINS))[0]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +122,12 @@ def trained(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, n_f
     got = sorted(own.mapInArrow(facts, "doc_id long, domain long, features array<int>, dense array<double>").collect(), key=lambda r: (r["doc_id"], r["features"]))
     n_dense = len(ratios(np.zeros((1, len(COLUMNS))))[0])
     if not got:
-        return Classifier(words, np.zeros((len(words.keys), len(DOMAINS))), np.zeros((n_dense, len(DOMAINS))))
+        return Classifier(words, np.zeros((len(words.keys), len(DOMAINS))), np.zeros((n_dense, len(DOMAINS))), np.ones(len(DOMAINS), dtype=bool))
     feature = np.array([f for r in got for f in r["features"]], dtype=np.int64)
     row = np.repeat(np.arange(len(got)), np.array([len(r["features"]) for r in got], dtype=np.int64))
-    sparse, dense = fit(row, feature, np.array([r["dense"] for r in got]), np.array([r["domain"] for r in got]), len(words.keys), len(DOMAINS))
-    return Classifier(words, sparse, dense)
+    domain = np.array([r["domain"] for r in got])
+    sparse, dense = fit(row, feature, np.array([r["dense"] for r in got]), domain, len(words.keys), len(DOMAINS))
+    return Classifier(words, sparse, dense, np.bincount(domain, minlength=len(DOMAINS)) > 0)
 
 
 def members(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -152,7 +158,9 @@ class Rates:
 def solved(rows: DataFrame, targets: dict[str, float], *, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
     """Projected gradient descent from rates of 1, over all documents, until every domain meets its own target.
 
-    The target total is the largest at which no domain needs more tokens than it has.  A step
+    The domain with the largest target keeps the tokens that it has, and the others' totals
+    follow in proportion: a domain with too many tokens gets rates below 1, one with too few gets
+    rates above 1.  A domain without any tokens takes no part: the other targets are scaled up.  A step
     is the residual times the inverse gram matrix of the documents whose rate isn't 0; steps
     are summed before they are projected, so a document's rate depends on its posterior and
     that sum alone, and the rates that meet the targets are those that differ least from 1.
@@ -195,7 +203,11 @@ def descended(total, share: np.ndarray, steps: int = STEPS, tolerance: float = T
     have, gram, squares = total(Rates(moved))
     if not gram.any():
         return Rates(moved)
-    wanted = share * min((have[k] / share[k] for k in range(n) if share[k] > 0), default=0.0)
+    share = np.where(have > 0, share, 0.0)
+    if not share.any():
+        return Rates(moved)
+    main = int(np.argmax(share))
+    wanted = share * (have[main] / share[main])
     scale = np.maximum(np.where(wanted > 0, wanted, have), 1e-12 * have.sum())
     hold, all_tokens = HOLD, have.sum()
 
@@ -231,9 +243,10 @@ def descended(total, share: np.ndarray, steps: int = STEPS, tolerance: float = T
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, posteriors and rate of every document.
 
-    Cases: null and empty texts have no tokens, and a posterior and a rate like any other;
-    repeated rows are alike; a null doc_id is passed on; an empty table gives no rows; a domain
-    without tokens or without a target weight bounds nothing.
+    Cases: null and empty texts have no tokens, and a posterior and a rate like any other; very
+    long texts are read whole, a text at a time; repeated rows are alike; a null doc_id is passed
+    on; an empty table gives no rows; a domain that no label has, or no document, takes no part;
+    other columns, whatever their names, are ignored.
     """
     rows = written(members(docs, trained(docs, labels)), "mixing-members")
     return rated(rows, solved(rows, targets))
@@ -262,6 +275,8 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
 
     A document's rate is rounded up if a uniform number that its doc_id and text decide is below
     its fraction; one of rate 1.3 comes once or twice.  No document is shuffled.
+
+    Cases: as in ``mixed``; repeated rows share a number, so that all or none of them come.
     """
     model = trained(docs, labels)
     rows = written(members(docs, model), "mixing-members")
