@@ -77,9 +77,11 @@ def test_sharding(docs, none):
 
 
 def test_token_counts(spark, docs, none, tmp_path):
-    rows = token_counts.maintained(docs, str(tmp_path / "a")).collect()
-    assert sum(r["docs"] for r in rows if r["version"] == "pieces-1") == N - 2  # documents 4 and 7 are copies of 3 and 6; rows of document 6 aren't copies of each other
-    assert token_counts.maintained(none, str(tmp_path / "b")).count() == 0
+    both = [token_counts.Vocabulary(tokenizer_path(x)) for x in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")]
+    rows = token_counts.maintained(docs, str(tmp_path / "a"), *both).collect()
+    for version in ("bpe-1", "multi-1"):
+        assert sum(r["docs"] for r in rows if r["version"] == version) == N - 2  # documents 4 and 7 are copies of 3 and 6; rows of document 6 aren't copies of each other
+    assert token_counts.maintained(none, str(tmp_path / "b"), *both).count() == 0
 
 
 def test_near_duplicates(docs, none):
@@ -89,10 +91,43 @@ def test_near_duplicates(docs, none):
     assert by[3] == by[4] == 3 and by[6] == by[7] == 6 and by[9] == by[10] == 9
     assert by[0] == 0 and by[1] == 1 and by[2] == 2 and by[5] == 5
     kept = near_dup.deduplicated(docs)
-    assert kept.columns == docs.columns and kept.count() == N - 3 - 2
+    assert kept.columns == docs.columns and kept.count() == N - 3 - 2  # documents 4, 7 and 10, and two of the rows of document 6
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.deduplicated(none).count() == 0
 
 
+def test_repeated_and_missing_ids_with_different_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(9, text(1)), (9, text(2)), (3, text(2)), (None, text(4)), (None, text(4)), (None, text(1)), (None, text(5)), (5, text(5)), (9, text(1)), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dup.near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"] or -1), (r["class_id"] or -1)) for r in got) == [(-1, -1), (-1, -1), (-1, 5), (-1, 9), (3, 3), (5, 5), (7, 7), (7, 7), (9, 3), (9, 9), (9, 9)]
+    kept = [tuple(r) for r in near_dup.deduplicated(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(9, text(1)), (3, text(2)), (None, text(4)), (5, text(5)), (7, None), (7, None)], key=str)
+
+
+def test_many_repeats_of_a_word_are_told_apart(spark):
+    often = lambda k, n: " ".join([f"a{k}"] * n)
+    texts = [often(1, 140_000), often(1, 70_000), often(1, 60_000) + " " + often(2, 80_000), often(1, 139_000)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
+def test_pipeline_stages(spark, docs, none, labels, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, LONG[:300])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given in (docs, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, str(tmp_path))
+            assert name == "token_files" or out.columns == given.columns
+            n = out.count()
+            assert n == given.count() if name in ("toxicity", "token_files") or given is none else n > 0
+    given = docs.drop("class_id")
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_urls(spark):
     kinds = "page_id long, url string, html string, host string, path string, key string, h long"
     pages = spark.createDataFrame([(1, None, "", "", "", "", 0), (2, "no scheme", "", "", "", "", 0), (3, "x://A.Bad/p?q", "", "", "", "", 0), (3, "x://A.Bad/p?q", "", "", "", "", 0), (None, "http://Ü.ORG", "", "", "", "", 0)], kinds)
