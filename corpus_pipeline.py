@@ -12,27 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkboost.llm import decontamination, mixing, near_dup, token_files, toxicity
 from sparkboost.llm.queries import tokenizer_path
-from sparkboost.llm.store import kept_rows, table, written
+from sparkboost.llm.store import kept_rows, mark, release, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model finds toxic go; null and empty texts, which it never does, stay.
+
+    Repeated rows share their verdict; without labels of both kinds all rows stay.
+    """
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     return kept_rows(docs, "text", lambda data, off: ~model.rejects(data, off))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, and all rows without a text; see ``near_dup.deduplicated``."""
     return near_dup.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null and empty texts hold none, repeated rows go or stay together."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are drawn with their rates, some more than once; see ``mixing.sampled`` and ``mixing.mixed`` for odd rows."""
     return mixing.sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's place and checksum in the token files; a null or empty text is the end id alone."""
     return token_files.round_trip(docs, tokenizer_path())
 
 
@@ -49,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage's result but the last's is written and read again."""
+    """The rows of the last stage; every stage's result but the last's is written and read again.
+
+    What a stage has written besides its result goes once that is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        begun = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k + 1}-{name}")
+            release(spark, begun, keep=1)
     return docs
