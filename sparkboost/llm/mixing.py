@@ -28,6 +28,8 @@ FIT_ROWS, FEATURES = 6000, 512
 #: paid for by all documents with a trace of the domain, for a posterior is hardly ever exactly 0.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.955, "low": 0.04, "toxic": 0.005}
+#: Domains whose target is a ceiling, and how many times its tokens any other may be given at most.
+CEILINGS, REPEATS = ("toxic",), 4.0
 #: Sums over all documents at most, and how far from its target a domain may end (of its target, or of its tokens if that is 0).
 STEPS, TOLERANCE = 200, 1e-3
 #: Weight of the rates' distance from 1 against the squared errors: lowered tenfold until the targets are met.
@@ -77,7 +79,7 @@ class Classifier:
         return score / score.sum(axis=1, keepdims=True)
 
 
-def fit(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, domain: np.ndarray, n_features: int, n_domains: int, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, feature: np.ndarray, dense: np.ndarray, domain: np.ndarray, n_features: int, n_domains: int, rounds: int = 1000, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     n = len(domain)
     y = np.eye(n_domains)[domain]
     x = np.zeros((n_features + dense.shape[1], n_domains))
@@ -160,7 +162,8 @@ def solved(rows: DataFrame, targets: dict[str, float], *, steps: int = STEPS, to
 
     The domain with the largest target keeps the tokens that it has, and the others' totals
     follow in proportion: a domain with too many tokens gets rates below 1, one with too few gets
-    rates above 1.  A domain without any tokens takes no part: the other targets are scaled up.  A step
+    rates above 1, but no more than REPEATS times its tokens, and of the domains in CEILINGS no more
+    than it has.  A domain without any tokens takes no part: the other targets are scaled up.  A step
     is the residual times the inverse gram matrix of the documents whose rate isn't 0; steps
     are summed before they are projected, so a document's rate depends on its posterior and
     that sum alone, and the rates that meet the targets are those that differ least from 1.
@@ -207,7 +210,9 @@ def descended(total, share: np.ndarray, steps: int = STEPS, tolerance: float = T
     if not share.any():
         return Rates(moved)
     main = int(np.argmax(share))
-    wanted = share * (have[main] / share[main])
+    most = np.array([1.0 if d in CEILINGS else REPEATS for d in DOMAINS])
+    most[main] = 1.0
+    wanted = np.minimum(share * (have[main] / share[main]), most * have)
     scale = np.maximum(np.where(wanted > 0, wanted, have), 1e-12 * have.sum())
     hold, all_tokens = HOLD, have.sum()
 
