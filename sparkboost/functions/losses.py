@@ -124,9 +124,12 @@ class AbsoluteError(Objective):
         return _with_sums(df, {"__scale0": _scale(margins[0], label, weight)})
 
     def pairs(self, margins, label, weight):
-        r = margins[0] - label
-        both = F.hypot(F.col("__scale0"), r)
-        c = F.when(both == 0, 1.0).otherwise(F.col("__scale0") / F.when(both == 0, 1.0).otherwise(both))
+        return self.scaled(margins[0], label, weight, F.col("__scale0"))
+
+    def scaled(self, margin: Column, label: Column, weight: Column, scale: Column) -> Pairs:
+        r = margin - label
+        both = F.hypot(scale, r)
+        c = F.when(both == 0, 1.0).otherwise(scale / F.when(both == 0, 1.0).otherwise(both))
         return [(weight * r * c, weight * c)]
 
     def intercepts(self, df, label, weight):
@@ -344,19 +347,23 @@ class Tweedie(Poisson):
 class Cox(Objective):
     """Breslow partial likelihood; a negative label is a censored time.
 
-    The sums over risk sets are formed over distinct times, a table that is smaller than the
-    rows, and joined back.
+    The sum over a risk set is that of all rows with this time or a later one.  Events add up row by
+    row in order of time, then of row_id: a row has the terms of the events up to itself, of a tied time
+    too.  All sums run over ranges of rows, none through one task.
     """
 
     def prepare(self, df, margins, label, weight):
-        time = F.abs(F.col(label)).alias("__time")
-        e = F.exp(F.col(margins[0]))
-        by = df.groupBy(time).agg(F.sum(e).alias("e"), F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("d"))
-        late = Window.orderBy("__time").rowsBetween(0, Window.unboundedFollowing)
-        past = Window.orderBy("__time").rowsBetween(Window.unboundedPreceding, 0)
-        by = by.withColumn("s", F.sum("e").over(late))
-        by = by.select("__time", F.sum(F.col("d") / F.col("s")).over(past).alias("__r"), F.sum(F.col("d") / (F.col("s") * F.col("s"))).over(past).alias("__s"))
-        return df.withColumn("__time", F.abs(F.col(label))).join(by, "__time").drop("__time")
+        from ..operators.order import running
+
+        rows = df if "row_id" in df.columns else df.withColumn("row_id", F.xxhash64(*df.columns))
+        rows = rows.withColumn("__time", F.abs(F.col(label)))
+        by = rows.groupBy("__time").agg(F.sum(F.exp(F.col(margins[0]))).alias("__e"))
+        by = running(by, ["__time"], {"__risk": F.col("__e")}, after=True).select("__time", "__risk")
+        event = F.when(F.col(label) > 0, 1.0).otherwise(0.0)
+        rows = rows.join(by, "__time").withColumns({"__a": event / F.col("__risk"), "__b": event / (F.col("__risk") * F.col("__risk"))})
+        rows = running(rows, ["__time", "row_id"], {"__r": F.col("__a"), "__s": F.col("__b")})
+        rows = rows.withColumns({"__r": F.col("__r") + F.col("__a"), "__s": F.col("__s") + F.col("__b")})
+        return rows.drop("__time", "__risk", "__a", "__b", *([] if "row_id" in df.columns else ["row_id"]))
 
     def pairs(self, margins, label, weight):
         e = F.exp(margins[0])
@@ -430,6 +437,152 @@ class Ranking(Objective):
         return [0.5]
 
 
+class CrossEntropyNdcg(Objective):
+    """Softmax cross entropy of a query against its randomised gains ``2^label - U``, to the third order.
+
+    U is a keyed draw of row_id.  A query's sums are aggregates that are joined back, so that a query
+    of any size is added up by many tasks.
+    """
+
+    GROUP = "qid"
+
+    def prepare(self, df, margins, label, weight):
+        from .rng import uniform
+
+        rows = df if "row_id" in df.columns else df.withColumn("row_id", F.xxhash64(*df.columns))
+        u = uniform(F.col("row_id"), int(self.options.get("seed", 0)), int(self.options.get("iteration", 0)), 77)
+        rows = rows.withColumns({"__m": F.col(margins[0]), "__phi": F.pow(F.lit(2.0), F.col(label)) - u})
+        top = rows.groupBy(self.GROUP).agg(F.max("__m").alias("__top"), F.sum("__phi").alias("__all"), F.count("*").alias("__n"))
+        rows = rows.join(top, self.GROUP).withColumn("__e", F.exp(F.col("__m") - F.col("__top")))
+        rows = rows.join(rows.groupBy(self.GROUP).agg(F.sum("__e").alias("__z")), self.GROUP)
+        rows = rows.withColumns({"__rho": F.col("__e") / F.col("__z"), "__q": (F.col("__z") - F.col("__e")) / F.col("__z")})
+        rows = rows.withColumn("__l1", F.col("__rho") - F.col("__phi") / F.greatest("__all", F.lit(1e-15)))
+        full = F.col("__q") < 1.1920928955078125e-07  # a saturated softmax has the first order only
+        safe = F.when(full, F.lit(1.0)).otherwise(F.col("__q"))
+        rows = rows.withColumn("__t1", F.col("__l1") / safe)
+        rows = rows.join(rows.groupBy(self.GROUP).agg(F.sum("__t1").alias("__s1"), F.max(full).alias("__full")), self.GROUP)
+        rows = rows.withColumn("__l2", F.col("__rho") * (F.col("__s1") - F.col("__t1"))).withColumn("__t2", F.col("__l2") / safe)
+        rows = rows.join(rows.groupBy(self.GROUP).agg(F.sum("__t2").alias("__s2")), self.GROUP)
+        l3 = F.col("__rho") * (F.col("__s2") - F.col("__t2"))
+        g = F.when(F.col("__n") <= 1, 0.0).when(F.col("__full"), F.col("__l1")).otherwise(F.col("__l1") + F.col("__l2") + l3)
+        rows = rows.withColumns({"__lambda": g, "__curve": F.when(F.col("__n") <= 1, 0.0).otherwise(F.col("__rho") * F.col("__q"))})
+        return rows.drop("__m", "__phi", "__top", "__all", "__n", "__e", "__z", "__rho", "__q", "__l1", "__t1", "__s1", "__full", "__l2", "__t2", "__s2", *([] if "row_id" in df.columns else ["row_id"]))
+
+    def pairs(self, margins, label, weight):
+        return [(weight * F.col("__lambda"), weight * F.col("__curve"))]
+
+    def intercepts(self, df, label, weight):
+        return [0.0]
+
+
+class MultiTarget(Objective):
+    """An elementwise objective on several label columns (label, label1, ...), an output for each."""
+
+    def __init__(self, one: Objective, targets: int) -> None:
+        super().__init__(one.name, one.metric, one.options)
+        self.one, self.targets = one, targets
+
+    @property
+    def outputs(self):
+        return self.targets
+
+    @staticmethod
+    def _name(label: str, k: int) -> str:
+        return label if not k else f"{label}{k}"
+
+    def prepare(self, df, margins, label, weight):
+        if isinstance(self.one, AbsoluteError):
+            return _with_sums(df, {f"__scale{k}": _scale(m, self._name(label, k), weight) for k, m in enumerate(margins)})
+        return df
+
+    def pairs(self, margins, label, weight):
+        out = []
+        for k, m in enumerate(margins):
+            y = label if not k else F.col(f"label{k}")
+            if isinstance(self.one, AbsoluteError):
+                out += self.one.scaled(m, y, weight, F.col(f"__scale{k}"))
+            else:
+                out += self.one.pairs([m], y, weight)
+        return out
+
+    def transform(self, margins):
+        return [x for m in margins for x in self.one.transform([m])]
+
+    def link(self, base):
+        return self.one.link(base)
+
+    def allowed(self, label):
+        return self.one.allowed(label)
+
+    def intercepts(self, df, label, weight):
+        return [x for k in range(self.targets) for x in self.one.intercepts(df, self._name(label, k), weight)]
+
+
+class Distribution(Objective):
+    """Outputs are the margins of a distribution's parameters, by negative log-likelihood.
+
+    Gradients of gamma, negative binomial and Student's distribution need digamma functions: an
+    Arrow function on a batch of margins gives them.
+    """
+
+    @property
+    def family(self) -> str:
+        return self.name.partition(":")[2]
+
+    @property
+    def outputs(self):
+        from .distributions import PARAMETERS
+
+        return len(PARAMETERS[self.family])
+
+    def prepare(self, df, margins, label, weight):
+        family = self.family
+
+        @F.pandas_udf("array<double>")
+        def both(y, *m):
+            import numpy as np
+            import pandas as pd
+
+            from sparkboost.functions.distributions import Dist
+
+            got = Dist.of_margins(family, [x.to_numpy() for x in m]).gradients(y.to_numpy())
+            return pd.Series(list(np.stack([np.broadcast_to(x, len(y)) for pair in got for x in pair], axis=1)))
+
+        return df.withColumn("__pairs", both(F.col(label).cast("double"), *margins))
+
+    def pairs(self, margins, label, weight):
+        return [(weight * F.col("__pairs")[2 * k], weight * F.col("__pairs")[2 * k + 1]) for k in range(self.outputs)]
+
+    def transform(self, margins):
+        e = [F.exp(F.greatest(F.least(m, F.lit(30.0)), F.lit(-30.0))) for m in margins]
+        if self.family != "student_t":
+            return e
+        df = 1 + e[2]
+        return [margins[0], e[1] * df / (df + 1), df]
+
+    def allowed(self, label):
+        return {"gamma": label > 0, "negbinomial": (label >= 0) & (label == F.floor(label))}.get(self.family)
+
+    def intercepts(self, df, label, weight):
+        """From moments: a gamma's shape by its logarithm, a size by the variance, Student's df at 5."""
+        y = F.col(label)
+        logs = F.log(y) if self.family == "gamma" else F.lit(0.0)
+        row = df.agg((F.sum(weight * y) / F.sum(weight)).alias("m"), (F.sum(weight * y * y) / F.sum(weight)).alias("q"), (F.sum(weight * logs) / F.sum(weight)).alias("l")).first()
+        m = row["m"] or 0.0
+        var = max((row["q"] or 0.0) - m * m, 1e-12)
+        if self.family == "gamma":
+            s = max(math.log(m) - row["l"], 1e-9)
+            return [math.log(m), math.log((3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s))]
+        if self.family == "negbinomial":
+            m = max(m, 1e-9)
+            return [math.log(m), math.log(min(max(m * m / max(var - m, 1e-9 * m), 1e-3), 1e6))]
+        from ..operators.order import grid_quantiles
+
+        low, middle, high = grid_quantiles(df, label, [0.25, 0.5, 0.75])
+        spread = (high - low) * 0.7413 or math.sqrt(var)
+        return [middle, math.log(spread * 6 / 5), math.log(4.0)]
+
+
 class Custom(Objective):
     """An objective of the caller: ``options['pairs'](margins, label, weight)`` gives column pairs."""
 
@@ -566,11 +719,15 @@ CATALOG: dict[str, tuple[Callable[..., Objective], str]] = {
     "rank:pairwise": (Ranking, "ndcg"),
     "rank:ndcg": (Ranking, "ndcg"),
     "rank:map": (Ranking, "map"),
+    "rank:xendcg": (CrossEntropyNdcg, "ndcg"),
     "survival:cox": (Cox, "cox-nloglik"),
-    "survival:aft": (AcceleratedFailure, "interval-regression-accuracy"),
+    "survival:aft": (AcceleratedFailure, "aft-nloglik"),
     "dist:normal": (NormalDistribution, "nll"),
     "dist:lognormal": (NormalDistribution, "nll"),
-    "dist:poisson": (PoissonDistribution, "poisson-nloglik"),
+    "dist:poisson": (PoissonDistribution, "nll"),
+    "dist:gamma": (Distribution, "nll"),
+    "dist:negbinomial": (Distribution, "nll"),
+    "dist:student_t": (Distribution, "nll"),
     "custom": (Custom, "rmse"),
 }
 
@@ -582,4 +739,8 @@ def objective(name: str, **options) -> Objective:
         near = difflib.get_close_matches(name, CATALOG, 1)
         raise InvalidParameter(f"unknown objective {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
     kind, metric = CATALOG[name]
-    return kind(name, metric, options)
+    targets = options.pop("targets", 1)
+    one = kind(name, options.get("metric", metric) if name == "custom" else metric, options)
+    if targets > 1 and (one.outputs > 1 or not isinstance(one, (SquaredError, SquaredLogError, PseudoHuber, AbsoluteError, Logistic, Poisson))):
+        raise InvalidParameter(f"{name} takes one label")
+    return MultiTarget(one, targets) if targets > 1 else one

@@ -144,26 +144,56 @@ def interval_accuracy(df, preds, label, weight, qid, options):
     return _mean(df, F.when(ok, 1.0).otherwise(0.0), weight)
 
 
-def nll_normal(df, preds, label, weight, qid, options):
-    """Mean negative log-likelihood of normal distributions (mean, standard deviation)."""
-    m, s, y = F.col(preds[0]), F.col(preds[1]), F.col(label)
-    return _mean(df, 0.5 * math.log(2 * math.pi) + F.log(s) + (y - m) * (y - m) / (2 * s * s), weight)
+def _family(preds, options: dict) -> str:
+    from .distributions import family_of
 
+    name = options.get("objective", "")
+    return family_of(name) if name.startswith("dist:") else "normal"
 
-def crps_normal(df, preds, label, weight, qid, options):
-    """Mean continuous ranked probability score of normal distributions, by an Arrow function for erf."""
-    import pandas as pd
 
-    from .special import normal_cdf
+def nll(df, preds, label, weight, qid, options):
+    """Mean negative log-likelihood of the distributions whose parameters are the predictions (without an objective, normal ones)."""
+    family = _family(preds, options)
+    m, y = F.col(preds[0]), F.col(label)
+    if family in ("normal", "lognormal"):
+        s, z = F.col(preds[1]), F.log(y) if family == "lognormal" else y
+        return _mean(df, 0.5 * math.log(2 * math.pi) + F.log(s) + (z - m) * (z - m) / (2 * s * s) + (z if family == "lognormal" else 0.0), weight)
+    return _mean(df, _of_dist(family, "log_prob", preds, label, -1.0), weight)
+
+
+def crps(df, preds, label, weight, qid, options):
+    """Mean continuous ranked probability score of the predicted distributions."""
+    return _mean(df, _of_dist(_family(preds, options), "crps", preds, label), weight)
+
+
+def _of_dist(family: str, what: str, preds, label: str, sign: float = 1.0) -> Column:
+    """A score of each row by an Arrow function: the special functions that Spark lacks."""
 
     @F.pandas_udf("double")
-    def score(m: pd.Series, s: pd.Series, y: pd.Series) -> pd.Series:
+    def score(y, *p):
         import numpy as np
+        import pandas as pd
+
+        from sparkboost.functions.distributions import Dist
+
+        return pd.Series(sign * np.asarray(getattr(Dist(family, [x.to_numpy(dtype=float) for x in p]), what)(y.to_numpy(dtype=float))))
+
+    return score(F.col(label).cast("double"), *preds)
+
 
-        z = (y - m) / s
-        return s * (z * (2 * normal_cdf(z.to_numpy()) - 1) + 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi))
+def aft(df, preds, label, weight, qid, options):
+    """Mean negative log-likelihood of accelerated failure times; predictions are times, bounds label_lower and label_upper."""
+    from .losses import AcceleratedFailure
 
-    return _mean(df, score(F.col(preds[0]), F.col(preds[1]), F.col(label).cast("double")), weight)
+    loss = AcceleratedFailure("survival:aft", "", options)
+    density, _, _, below = loss._functions()
+    s, lo, hi = loss.sigma, F.col("label_lower"), F.col("label_upper")
+    finite = hi < float("inf")
+    z = lambda t: (F.log(t) - F.log(F.col(preds[0]))) / s
+    exact = F.greatest(density(z(F.when(lo > 0, lo).otherwise(1.0))) / (s * lo), F.lit(1e-12))
+    upper = F.when(finite, below(z(F.when(finite, hi).otherwise(1.0)))).otherwise(1.0)
+    lower = F.when(lo > 0, below(z(F.when(lo > 0, lo).otherwise(1.0)))).otherwise(0.0)
+    return _mean(df, -F.log(F.when(lo == hi, exact).otherwise(F.greatest(upper - lower, F.lit(1e-12)))), weight)
 
 
 def _tweedie(p: Column, y: Column, options: dict) -> Column:
@@ -200,8 +230,9 @@ CATALOG: dict[str, tuple[Callable, bool]] = {  # metric, whether larger is bette
     "pre": (precision, True),
     "cox-nloglik": (cox, False),
     "interval-regression-accuracy": (interval_accuracy, True),
-    "nll": (nll_normal, False),
-    "crps": (crps_normal, False),
+    "aft-nloglik": (aft, False),
+    "nll": (nll, False),
+    "crps": (crps, False),
 }
 
 

@@ -54,31 +54,6 @@ class Tree:
     def parents(self) -> dict[int, int]:
         return {c: n for n in range(len(self.left)) for c in (self.left[n], self.right[n]) if c >= 0}
 
-    def column(self, at, go_left) -> Column:
-        """A nested condition over the tree: at(node) in leaves, go_left(node) in inner nodes."""
-
-        def walk(node: int) -> Column:
-            if self.left[node] < 0:
-                return at(node)
-            return F.when(go_left(node), walk(self.left[node])).otherwise(walk(self.right[node]))
-
-        return walk(0)
-
-    def on_bins(self, bins: str = "bins"):
-        """The condition of an inner node on an array of bins."""
-
-        def go_left(node: int) -> Column:
-            b = F.col(bins)[self.feature[node]]
-            if self.categories[node] is not None:
-                return F.when(b.isNull(), F.lit(self.default_left[node])).otherwise(b.isin(*self._codes[node]) if self._codes[node] else F.lit(False))
-            return F.when(b.isNull(), F.lit(self.default_left[node])).otherwise(b <= self.bin[node])
-
-        return go_left
-
-    @property
-    def _codes(self) -> dict[int, list[int]]:
-        return self.__dict__.setdefault("bin_sets", {})
-
     def walk(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each row of raw features (NaN missing), level by level."""
         node = np.zeros(len(x), dtype=np.int64)
@@ -99,6 +74,32 @@ class Tree:
         return node
 
 
+class Router:
+    """Routes rows of packed codes (a bin plus 1, 0 for a missing value) through a tree of the training that made them."""
+
+    def __init__(self, tree: Tree, cuts) -> None:
+        self.left, self.right, self.feature = (np.array(v) for v in (tree.left, tree.right, tree.feature))
+        self.bin, self.default = np.array(tree.bin), np.array(tree.default_left)
+        self.sets = {n: np.searchsorted(cuts.values[tree.feature[n]], np.array(c, dtype=np.float32)) + 1 for n, c in enumerate(tree.categories) if c is not None}
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        node = np.zeros(len(codes), dtype=np.int64)
+        going = np.arange(len(codes)) if self.left[0] >= 0 else np.zeros(0, np.int64)
+        while len(going):
+            at = node[going]
+            code = codes[going, self.feature[at]].astype(np.int64)
+            go = code <= self.bin[at] + 1
+            for n, own in self.sets.items():
+                here = at == n
+                if here.any():
+                    go[here] = np.isin(code[here], own)
+            go = np.where(code == 0, self.default[at], go)
+            node[going] = np.where(go, self.left[at], self.right[at])
+            going = going[self.left[node[going]] >= 0]
+        return node
+
+
 @dataclass
 class Model:
     """Trees, intercepts and the record of their objective."""

@@ -1,47 +1,248 @@
-"""Gradient histograms of tree nodes: one shuffle of at most nodes x features x bins rows."""
+"""Gradient histograms of tree nodes, and the best splits of a level from them, in one shuffle.
+
+Tasks add up the rows that reach each node into arrays of whole numbers (gradients in fixed
+point), a few rows of bytes for each node and chunk of features; those are added up by node and
+chunk, the other child of a node is its parent less the child that was counted, and the same
+task searches the splits.  Only best splits come to the driver, whatever the level's size.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bin of missing values in a histogram.
-MISSING = -1
+from ..functions.rng import uniforms
+from .binning import from_bytes
+from .split import Chunk, Node, Regularisation, Search
+
+#: Cells of a chunk of features; rows that are counted together; cells that a task holds for one pass.
+CHUNK_CELLS, ROWS, TASK_CELLS = 4096, 1 << 17, 1 << 24
+
+
+def shifts(n: int, most: Sequence[float]) -> tuple[int, int]:
+    """Binary places of the fixed-point sums of gradients and Hessians.
+
+    n rows of values up to ``most`` then add up within 63 bits, and ROWS of them within the 53
+    bits in which floating point is exact.
+    """
+    bits = min(52 - ROWS.bit_length(), 61 - max(n, 1).bit_length())
+    return tuple(max(min(int(math.floor(bits - math.log2(x))), 200), -200) if x > 0 else 0 for x in most)
+
+
+@dataclass
+class Sample:
+    """Which rows a tree is grown on: keyed draws below a share, or below each row's own chance."""
+
+    seed: int = 0
+    iteration: int = 0
+    share: float | None = None
+
+    def inside(self, slot: int, key: np.ndarray | None, chance: np.ndarray | None) -> np.ndarray | None:
+        if self.share is None and chance is None:
+            return None
+        return uniforms(key, self.seed, self.iteration, slot) < (self.share if chance is None else chance)
 
 
-def fixed(x: Column, shift: int) -> Column:
-    """x times 2**shift as a whole number: sums are then exact and don't depend on partitions."""
-    return F.floor(x * float(2.0**shift) + 0.5).cast("long")
+@dataclass
+class Task:
+    """A tree's part in a level: how rows are routed, the nodes to count, and which outputs' gradients count."""
 
+    slot: int
+    router: object  # rows of codes -> nodes
+    count: list[int]
+    outputs: list[int]
+    groups: dict[int, int]  # by node: the parent, by which partial sums are dealt
+    others: dict[int, int] = field(default_factory=dict)  # by parent: (child to count, child to derive)
 
-def node_histograms(rows: DataFrame, entries: Column, *, shift: tuple[int, int] | None = None, features: Sequence[int] | None = None) -> DataFrame:
-    """(slot, node, feature, bin, g, h, n) of rows.
 
-    entries: an array of structs (slot, node, g, h), the nodes that a row counts for.  shift:
-    binary places of the fixed-point sums of g and h; None sums doubles.  features: those to
-    count, all if None.  Partial sums are formed before the shuffle.
+SUMS = "slot int, grp int, chunk int, node int, kind int, sums binary"
+FOUND = "feature int, bin int, default_left boolean, categories array<int>, loss float, gl array<double>, hl array<double>, nl long, gr array<double>, hr array<double>, nr long, wl array<double>, wr array<double>, score double, tg array<double>, th array<double>, tn long"
+
+
+def partial_sums(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], n_features: int, code: type, shift: tuple[int, int], sample: Sample | None = None, first: int = 0) -> DataFrame:
+    """Each partition's sums of the nodes to count: columns SUMS, kind 0.
+
+    rows: codes, then g0, h0, g1, h1, ... by output, and if there is a sample its ``key`` and
+    perhaps ``chance``.  first: the number of the first of parts.
     """
-    one = rows.select("bins", F.explode(entries).alias("e"))
-    cell = one.select("e.*", F.posexplode("bins").alias("feature", "bin"))
-    if features is not None:
-        cell = cell.where(F.col("feature").isin(*features))
-    g, h = (F.col("g"), F.col("h")) if shift is None else (fixed(F.col("g"), shift[0]), fixed(F.col("h"), shift[1]))
-    out = cell.groupBy("slot", "node", "feature", F.coalesce(F.col("bin").cast("int"), F.lit(MISSING)).alias("bin")).agg(F.sum(g).alias("g"), F.sum(h).alias("h"), F.count("*").alias("n"))
-    if shift is not None:
-        out = out.withColumn("g", F.col("g") / float(2.0 ** shift[0])).withColumn("h", F.col("h") / float(2.0 ** shift[1]))
-    return out
+    at = {c: k for k, c in enumerate(rows.columns)}
+    names = ["slot", "grp", "chunk", "node", "kind", "sums"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {t.slot: [np.zeros((len(t.count), 2 * len(t.outputs) + 1, c.cells), np.int64) for c in parts] for t in tasks}
+        waiting: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            codes = np.concatenate([from_bytes(b.column(at["codes"]), n_features, code) for b in waiting])
+            column = lambda c: np.concatenate([b.column(at[c]).to_numpy(zero_copy_only=False) for b in waiting])
+            fixed = {c: np.floor(column(c).astype(np.float64) * 2.0 ** shift[c[0] == "h"] + 0.5) for t in tasks for k in t.outputs for c in (f"g{k}", f"h{k}")}
+            key = column("key") if "key" in at else None
+            chance = column("chance") if "chance" in at else None
+            for t in tasks:
+                node = t.router(codes)
+                place = np.full(int(max(node.max(), *t.count)) + 1, -1, dtype=np.int64)
+                place[t.count] = np.arange(len(t.count))
+                place = place[node]
+                inside = sample.inside(t.slot, key, chance) if sample else None
+                own = np.flatnonzero(place >= 0 if inside is None else (place >= 0) & inside)
+                if not len(own):
+                    continue
+                every = len(own) == len(place)
+                place = place if every else place[own]
+                weights = [w if every else w[own] for w in (*(fixed[f"g{k}"] for k in t.outputs), *(fixed[f"h{k}"] for k in t.outputs))]
+                for c, sums in zip(parts, held[t.slot], strict=True):
+                    for f, size, start in zip(c.features, c.sizes, c.starts, strict=False):
+                        cell = place * (size + 1) + (codes[:, f] if every else codes[own, f])
+                        whole = len(t.count) * (size + 1)
+                        for j, w in enumerate(weights):
+                            sums[:, j, start : start + size + 1] += np.bincount(cell, weights=w, minlength=whole).astype(np.int64).reshape(len(t.count), -1)
+                        sums[:, -1, start : start + size + 1] += np.bincount(cell, minlength=whole).reshape(len(t.count), -1)
+
+        n = 0
+        for batch in batches:
+            if n and n + batch.num_rows > ROWS:
+                add()
+                waiting, n = [], 0
+            waiting.append(batch)
+            n += batch.num_rows
+        if n:
+            add()
+        for t in tasks:
+            for i, node in enumerate(t.count):
+                for c, sums in enumerate(held[t.slot]):
+                    if sums[i, -1].any():
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (t.slot, t.groups[node], first + c, node, 0)), pa.array([sums[i].tobytes()])], names=names)
+
+    return rows.mapInArrow(run, SUMS)
+
 
+def _added(batches: Iterator[pa.RecordBatch], parts: Sequence[Chunk]) -> tuple[dict, dict]:
+    """Sums of nodes, and of parents, by (slot, group, chunk, node)."""
+    own: dict[tuple, np.ndarray] = {}
+    parents: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for slot, grp, chunk, node, kind, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
+            sums = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, parts[chunk].cells)
+            if kind:
+                parents[slot, grp, chunk, node] = sums
+            elif (slot, grp, chunk, node) in own:
+                own[slot, grp, chunk, node] += sums
+            else:
+                own[slot, grp, chunk, node] = sums.copy()
+    return own, parents
 
-def subtracted(parent: DataFrame, child: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Histograms of the other children: parent minus child.
 
-    pairs: (slot, parent, child, other).  Both inputs are histograms; fixed-point sums make the
-    difference exact.
+def searched(sums: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], reg: Regularisation, shift: tuple[int, int], nodes: dict[tuple[int, int], Node], *, symmetric: bool = False, used=None, cuts=None) -> DataFrame:
+    """Whole sums of every node and chunk, with its best split: slot, node, chunk, sums and FOUND.
+
+    sums: partial sums (kind 0) and the parents' whole sums (kind 1).  For a symmetric level
+    the splits are those of the one candidate that helps the level most, with its score.
     """
-    up = parent.join(F.broadcast(pairs.select("slot", F.col("parent").alias("node"), "child", "other")), ["slot", "node"])
-    down = child.select("slot", F.col("node").alias("child"), "feature", "bin", F.col("g").alias("cg"), F.col("h").alias("ch"), F.col("n").alias("cn"))
-    out = up.join(down, ["slot", "child", "feature", "bin"], "left")
-    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
-    return out.select("slot", F.col("other").alias("node"), "feature", "bin", less("g", "cg").alias("g"), less("h", "ch").alias("h"), less("n", "cn").alias("n")).where("n > 0")
+    scale = (2.0 ** -shift[0], 2.0 ** -shift[1])
+    by = {t.slot: t for t in tasks}
+    fields = [x.split()[0] for x in FOUND.split(", ")]
+    names = ["slot", "node", "chunk", "sums", *fields]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.float32(), *[pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()] * 2, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parents = _added(batches, parts)
+        for (slot, grp, chunk, parent), whole in parents.items():
+            if parent in by[slot].others:
+                one, other = by[slot].others[parent]
+                mine = own.get((slot, grp, chunk, one))
+                if mine is None:
+                    own[slot, grp, chunk, one] = mine = np.zeros_like(whole)
+                own[slot, grp, chunk, other] = whole - mine
+        levels: dict[tuple, dict] = {}
+        for (slot, _, chunk, node), hist in own.items():
+            levels.setdefault((slot, chunk), {})[node] = hist
+        for (slot, chunk), hists in levels.items():
+            k = len(by[slot].outputs)
+            search = Search(parts[chunk], reg, scale, k, used, cuts)
+            score, rows = None, None
+            if symmetric:
+                score, rows = search.symmetric(hists, {n: nodes[slot, n] for n in hists}) or (None, {})
+            for node, hist in hists.items():
+                found = rows.get(node) if symmetric else search.best(hist, nodes[slot, node])
+                total = hist[:, : parts[chunk].starts[1]].sum(axis=1)
+                row = {**(found or {}), "score": score if found else None, "tg": (total[:k] * scale[0]).tolist(), "th": (total[k : 2 * k] * scale[1]).tolist(), "tn": int(total[-1])}
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (slot, node, chunk)), pa.array([hist.tobytes()]), *(pa.array([row.get(f)], t) for f, t in zip(fields, kinds, strict=True))], names=names)
+
+    keys = ["slot", "chunk"] if symmetric else ["slot", "grp", "chunk"]
+    lanes = len(parts) * (len(tasks) if symmetric else sum(len(set(t.groups.values())) for t in tasks))
+    width = max(1, min(lanes, int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return sums.repartition(width, *keys).mapInArrow(run, "slot int, node int, chunk int, sums binary, " + FOUND)
+
+
+def cells(whole: DataFrame, parts: Sequence[Chunk], shift: tuple[int, int]) -> DataFrame:
+    """(slot, node, feature, bin, g, h, n) of the occupied cells of whole sums of one output; bin -1 holds missing values."""
+    names = ["slot", "node", "feature", "bin", "g", "h", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot, node, chunk, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                c = parts[chunk]
+                sums = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, c.cells)
+                at = np.flatnonzero(sums[-1] > 0)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), x, np.int32)) for x in (slot, node)), pa.array(np.array(c.features, np.int32)[c.of[at]]), pa.array(c.bin[at].astype(np.int32)), pa.array(sums[0, at] * 2.0 ** -shift[0]), pa.array(sums[1, at] * 2.0 ** -shift[1]), pa.array(sums[-1, at])], names=names)
+
+    return whole.select("slot", "node", "chunk", "sums").mapInArrow(run, "slot int, node int, feature int, bin int, g double, h double, n long")
+
+
+def merged(found: list) -> dict[tuple[int, int], dict]:
+    """Of each (slot, node) its totals and its best split over all chunks: the larger loss, then the lower feature."""
+    out: dict[tuple[int, int], dict] = {}
+    for r in sorted(found, key=lambda r: (r["slot"], r["node"], r["chunk"])):
+        at = out.setdefault((r["slot"], r["node"]), {"g": r["tg"], "h": r["th"], "n": r["tn"], "split": None})
+        if r["feature"] is not None and (at["split"] is None or (r["loss"], -r["feature"]) > (at["split"]["loss"], -at["split"]["feature"])):
+            at["split"] = r
+    return out
+
+
+def merged_level(found: list) -> dict[tuple[int, int], dict]:
+    """The same for symmetric levels: of each slot the chunk with the largest score, then the lowest feature."""
+    best: dict[int, tuple] = {}
+    for r in found:
+        if r["feature"] is not None:
+            rank = (r["score"], -r["feature"])
+            best[r["slot"]] = max(best.get(r["slot"], rank), rank)
+    keep = [r if r["feature"] is not None and (r["score"], -r["feature"]) == best[r["slot"]] else {**r.asDict(), "feature": None} for r in found]
+    return merged(keep)
+
+
+def parent_sums(whole: DataFrame, parents: dict[int, list[int]], *, symmetric: bool = False) -> DataFrame:
+    """Whole sums of those nodes of a level before, as rows of kind 1."""
+    wanted = F.lit(False)
+    for slot, nodes in parents.items():
+        wanted = wanted | ((F.col("slot") == slot) & F.col("node").isin(nodes))
+    grp = F.lit(0) if symmetric else F.col("node")
+    return whole.where(wanted).select("slot", grp.alias("grp"), "chunk", "node", F.lit(1).alias("kind"), "sums")
+
+
+def leaf_sums(rows: DataFrame, routers: Sequence, outputs: Sequence[int], n_features: int, code: type, shift: tuple[int, int]) -> dict[tuple[int, int], tuple[float, float, int]]:
+    """(gradient sum, Hessian sum, rows) by (number of the router, leaf), of all rows and one output for each router."""
+    at = {c: k for k, c in enumerate(rows.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            codes = from_bytes(batch.column(at["codes"]), n_features, code)
+            for s, (router, k) in enumerate(zip(routers, outputs, strict=True)):
+                node = router(codes)
+                g, h = (np.floor(batch.column(at[f"{c}{k}"]).to_numpy(zero_copy_only=False).astype(np.float64) * 2.0 ** shift[c == "h"] + 0.5) for c in "gh")
+                new = np.stack([*(np.bincount(node, weights=x) for x in (g, h)), np.bincount(node)]).astype(np.int64)
+                old = held.get(s, np.zeros((3, 0), np.int64))
+                wide = max(old.shape[1], new.shape[1])
+                held[s] = sum(np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (old, new))
+        for s, x in held.items():
+            n = np.flatnonzero(x[2])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), s, np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x[j, n]) for j in range(3))], names=["slot", "node", "g", "h", "n"])
+
+    got = rows.mapInArrow(run, "slot int, node int, g long, h long, n long").groupBy("slot", "node").agg(*(F.sum(c).alias(c) for c in "ghn")).collect()
+    return {(r["slot"], r["node"]): (r["g"] * 2.0 ** -shift[0], r["h"] * 2.0 ** -shift[1], r["n"]) for r in got}

@@ -45,6 +45,23 @@ class Params:
     rate_drop: float = 0.0
     skip_drop: float = 0.0
     one_drop: bool = False
+    balanced_bagging: tuple[float, float] | None = None
+    bagging_by_query: bool = False
+    multi_strategy: str = "one_output_per_tree"
+    process_type: str = "default"
+    leaf_estimation: str = "newton"
+    extra_trees: bool = False
+    extra_seed: int = 6
+    path_smooth: float = 0.0
+    quantized_bins: int = 0
+    quantized_stochastic: bool = True
+    quantized_renew: bool = False
+    toad_penalty_feature: float = 0.0
+    toad_penalty_threshold: float = 0.0
+    langevin: bool = False
+    diffusion_temperature: float = 10_000.0
+    model_shrink_rate: float = 0.0
+    model_shrink_mode: str = "constant"
     seed: int = 0
     nthread: int | None = None
     device: str = "cpu"
@@ -63,10 +80,26 @@ class Params:
         need(self.device == "cpu", "device must be cpu")
         need(self.tree_method in ("auto", "hist", "approx", "exact"), f"unknown tree_method {self.tree_method!r}")
         need(self.grow_policy in ("depthwise", "lossguide", "symmetric"), f"unknown grow_policy {self.grow_policy!r}")
+        need(self.tree_method != "exact" or self.grow_policy == "depthwise", "exact trees grow by depth")
+        need(self.tree_method != "exact" or self.sampling_method == "uniform", "gradient_based sampling needs hist or approx")
+        need(self.multi_strategy in ("one_output_per_tree", "multi_output_tree"), f"unknown multi_strategy {self.multi_strategy!r}")
+        need(self.process_type in ("default", "update"), f"unknown process_type {self.process_type!r}")
+        need(self.leaf_estimation in ("newton", "exact"), f"unknown leaf_estimation {self.leaf_estimation!r}")
+        need(self.leaf_estimation == "newton" or self.objective in ("reg:quantileerror", "reg:absoluteerror"), "exact leaves are those of reg:quantileerror and reg:absoluteerror")
+        need(self.leaf_estimation == "newton" or not (self.langevin or self.path_smooth or self.monotone_constraints), "exact leaves take no langevin, path_smooth or monotone constraints")
+        need(self.grow_policy != "symmetric" or not (self.extra_trees or self.path_smooth), "symmetric trees take no extra_trees or path_smooth")
+        need(self.balanced_bagging is None or self.objective.startswith("binary:"), "balanced bagging needs binary labels")
+        need(self.balanced_bagging is None or all(0 < x <= 1 for x in self.balanced_bagging), "both shares of balanced_bagging lie in (0, 1]")
+        need(self.balanced_bagging is None or (self.subsample == 1 and not self.bagging_by_query), "balanced bagging takes no other sampling")
+        need(self.quantized_bins == 0 or self.quantized_bins >= 2, "quantized_bins is 0 (off) or 2 at least")
+        need(self.diffusion_temperature > 0, "diffusion_temperature must be positive")
+        need(self.model_shrink_mode in ("constant", "decreasing"), f"unknown model_shrink_mode {self.model_shrink_mode!r}")
+        need(self.model_shrink_rate * (self.eta if self.model_shrink_mode == "constant" else 1.0) < 1, "model_shrink_rate must leave a positive factor")
+        need(self.booster != "dart" or not (self.model_shrink_rate or self.langevin), "dart takes no langevin and no model shrinkage")
         need(self.sampling_method in ("uniform", "gradient_based"), f"unknown sampling_method {self.sampling_method!r}")
         for name in ("subsample", "colsample_bytree", "colsample_bylevel", "colsample_bynode"):
             need(0 < getattr(self, name) <= 1, f"{name} lies in (0, 1]")
-        for name in ("gamma", "min_child_weight", "lambda_", "alpha", "rate_drop", "skip_drop"):
+        for name in ("gamma", "min_child_weight", "lambda_", "alpha", "rate_drop", "skip_drop", "path_smooth", "toad_penalty_feature", "toad_penalty_threshold", "model_shrink_rate"):
             need(getattr(self, name) >= 0, f"{name} must not be negative")
         need(0 < self.eta, "eta must be positive")
         need(self.max_depth >= 0 and self.max_leaves >= 0, "max_depth and max_leaves must not be negative")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.losses import objective
 from ..functions.metrics import evaluate
 from ..functions.rng import uniform_sql
+from ..model import Router, Tree
 from ..operators import binning, conformal, folds, histogram, sampling, split, target_stats
 from ..operators.order import grid_quantiles
 
@@ -211,10 +213,32 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.binned(rows.withColumn("g", F.col("w") * (F.col("m") - F.col("y"))), binning.make_cuts(rows, FEATURES), ["l_orderkey", "l_linenumber", "tax", "g", "w"])
 
 
-def _hist(spark: SparkSession, sf_dir: str, shift=(38, 38)) -> DataFrame:
-    node = F.when(F.col("tax") > 0.04, 2).otherwise(1)
-    entry = F.array(F.struct(F.lit(0).alias("slot"), node.alias("node"), F.col("g").alias("g"), F.col("w").alias("h")))
-    return histogram.node_histograms(_binned(spark, sf_dir), entry, shift=shift)
+def _packed(spark: SparkSession, sf_dir: str):
+    """Packed training rows with one pair of gradients, their cuts, and a tree that parts them at tax 0.04 into nodes 1 and 2."""
+    rows = lines(spark, sf_dir).withColumns({"g0": F.col("w") * (F.col("m") - F.col("y")), "h0": F.col("w")})
+    cuts = binning.make_cuts(rows, FEATURES)
+    tree = Tree()
+    bin_ = int(cuts.bins_of(2, np.array([0.04], dtype=np.float32))[0])
+    tree.split(0, 2, bin_, float(cuts.values[2][bin_]), False, None, 0.0)
+    return binning.packed(rows, cuts, ["g0", "h0"]).select("codes", "g0", "h0"), cuts, tree
+
+
+SHIFT = (30, 30)
+
+
+def _level(spark: SparkSession, sf_dir: str, reg: split.Regularisation | None = None, *, nodes=(1, 2), features=(0, 1, 2), categorical=(), allowed=None, **options):
+    """Whole sums and best splits of nodes, and their chunks of features."""
+    rows, cuts, tree = _packed(spark, sf_dir)
+    parts = split.chunks(features, cuts.sizes, [f in categorical for f in range(3)], histogram.CHUNK_CELLS)
+    router = Router(tree if 0 not in nodes else Tree(), cuts)
+    task = histogram.Task(0, router, list(nodes), [0], {n: 0 if options.get("symmetric") else -1 for n in nodes})
+    sums = histogram.partial_sums(rows, [task], parts, 3, cuts.code, SHIFT)
+    known = {(0, n): split.Node(np.array([-np.inf]), np.array([np.inf]), allowed=(allowed or {}).get(n)) for n in nodes}
+    return histogram.searched(sums, [task], parts, reg or split.Regularisation(), SHIFT, known, **options), parts
+
+
+def _hist(spark: SparkSession, sf_dir: str, nodes=(1, 2)) -> DataFrame:
+    return histogram.cells(*_level(spark, sf_dir, nodes=nodes), SHIFT)
 
 
 _SHOW = "round(g, 4) + 0 AS g, round(h, 4) + 0 AS h, n"
@@ -231,6 +255,29 @@ def cuts_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("feature", place.cast("long").alias("bin"), F.round(F.col("value").cast("double"), 4).alias("cut"))
 
 
+_CUTS = """WITH d AS (SELECT l_extendedprice::FLOAT AS v, sum({w}) AS w FROM lineitem GROUP BY 1), r AS (SELECT v, sum(w) OVER (ORDER BY v) AS run, sum(w) OVER () AS total, min(v) OVER () AS low FROM d),
+  c AS (SELECT DISTINCT min(v) AS v FROM r JOIN (SELECT unnest(range(1, 16)) AS i) ON run >= total * i / 16 WHERE true GROUP BY i)
+  SELECT round(v::DOUBLE, 2) AS cut FROM c WHERE v > (SELECT min(low) FROM r)"""
+
+
+def _quantile_cuts(spark: SparkSession, sf_dir: str, weight) -> DataFrame:
+    """Cuts of a feature with far more distinct values than bins, by summaries that hold all of them."""
+    rows = _table(spark, sf_dir, "lineitem")
+    (values, weights), = binning.summaries(rows, ["l_extendedprice"], weight, size=1 << 17)
+    cuts = binning.cuts_of(values, weights, 16)[:-1]
+    return spark.createDataFrame([(round(float(c), 2),) for c in cuts], "cut double")
+
+
+@query("cuts_quantile", _CUTS.format(w="1"))
+def cuts_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantile_cuts(spark, sf_dir, None)
+
+
+@query("cuts_weighted", _CUTS.format(w="l_linenumber"))
+def cuts_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantile_cuts(spark, sf_dir, F.col("l_linenumber"))
+
+
 @query("bin_values", f"SELECT l_orderkey, l_linenumber, b0, b1, b2 FROM ({BINNED})")
 def bin_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binned(spark, sf_dir).select("l_orderkey", "l_linenumber", *(F.col("bins")[k].cast("long").alias(f"b{k}") for k in range(3)))
@@ -243,16 +290,19 @@ def hist_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hist_root", f"SELECT 0 AS node, feature, bin, {_SHOW} FROM (SELECT feature, bin, sum(g) AS g, sum(h) AS h, sum(n)::BIGINT AS n FROM ({HIST}) GROUP BY 1, 2)")
 def hist_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).alias("node"), F.col("g").alias("g"), F.col("w").alias("h")))
-    return _shown(histogram.node_histograms(_binned(spark, sf_dir), entry, shift=(38, 38))).withColumns({"feature": F.col("feature").cast("long"), "bin": F.col("bin").cast("long")})
+    return _shown(_hist(spark, sf_dir, (0,))).withColumns({"feature": F.col("feature").cast("long"), "bin": F.col("bin").cast("long")})
 
 
 @query("hist_subtract", f"SELECT 2 AS node, feature, bin, {_SHOW} FROM ({HIST}) WHERE node = 2")
 def hist_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = _hist(spark, sf_dir)
-    root = all_.groupBy("slot", F.lit(0).alias("node"), "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-    pairs = spark.createDataFrame([(0, 0, 1, 2)], "slot int, parent int, child int, other int")
-    return _shown(histogram.subtracted(root, all_.where("node = 1"), pairs)).withColumns({"feature": F.col("feature").cast("long"), "bin": F.col("bin").cast("long")})
+    """Node 2 as the root less node 1, as a level of training has it."""
+    rows, cuts, tree = _packed(spark, sf_dir)
+    root, parts = _level(spark, sf_dir, nodes=(0,))
+    task = histogram.Task(0, Router(tree, cuts), [1], [0], {1: 0, 2: 0}, {0: (1, 2)})
+    sums = histogram.partial_sums(rows, [task], parts, 3, cuts.code, SHIFT).unionByName(histogram.parent_sums(root, {0: [0]}))
+    known = {(0, n): split.Node(np.array([-np.inf]), np.array([np.inf])) for n in (1, 2)}
+    whole = histogram.searched(sums, [task], parts, split.Regularisation(), SHIFT, known)
+    return _shown(histogram.cells(whole.where("node = 2"), parts, SHIFT)).withColumns({"feature": F.col("feature").cast("long"), "bin": F.col("bin").cast("long")})
 
 
 # split search
@@ -269,37 +319,34 @@ def _split_sql(where: str = "true", l: float = 1.0, m: float = 1.0) -> str:  # n
     return _SCAN.format(hist=HIST, l=l, m=m) + f" SELECT node, feature, bin, default_left, round(loss, 1) AS loss, round(gl, 3) AS gl, round(hl, 3) AS hl, nl::BIGINT AS nl FROM x WHERE {where} QUALIFY {best}"
 
 
-def _best(hist: DataFrame, reg: split.Regularisation, **options) -> DataFrame:
-    rows = split.best(split.candidates(hist, reg, **options), reg)
-    return rows.select("node", F.col("feature").cast("long").alias("feature"), F.col("bin").cast("long").alias("bin"), "default_left", F.round(F.col("loss").cast("double"), 1).alias("loss"), F.round("gl", 3).alias("gl"), F.round("hl", 3).alias("hl"), "nl")
+def _best(spark: SparkSession, sf_dir: str, reg: split.Regularisation, **options) -> DataFrame:
+    rows = _level(spark, sf_dir, reg, **options)[0].where("feature is not null")
+    return rows.select("node", F.col("feature").cast("long").alias("feature"), F.col("bin").cast("long").alias("bin"), "default_left", F.round(F.col("loss").cast("double"), 1).alias("loss"), F.round(F.col("gl")[0], 3).alias("gl"), F.round(F.col("hl")[0], 3).alias("hl"), "nl")
 
 
 @query("split_best_numeric", _split_sql())
 def split_best_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_hist(spark, sf_dir), split.Regularisation())
+    return _best(spark, sf_dir, split.Regularisation())
 
 
 @query("split_missing_direction", _split_sql("feature = 1"))
 def split_missing_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_hist(spark, sf_dir).where("feature = 1"), split.Regularisation())
+    return _best(spark, sf_dir, split.Regularisation(), features=(1,))
 
 
 @query("split_monotone", _split_sql("(feature <> 0 OR wl <= wr) AND (feature <> 1 OR wl >= wr)", 5.0, 20.0))
 def split_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_hist(spark, sf_dir), split.Regularisation(lambda_=5.0, min_child_weight=20.0, monotone={0: 1, 1: -1}))
+    return _best(spark, sf_dir, split.Regularisation(lambda_=5.0, min_child_weight=20.0, monotone={0: 1, 1: -1}))
 
 
 @query("split_interaction", _split_sql("(node = 1 AND feature IN (0, 2)) OR (node = 2 AND feature = 1)"))
 def split_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = spark.createDataFrame([(0, 1, 0), (0, 1, 2), (0, 2, 1)], "slot int, node int, feature int")
-    return _best(_hist(spark, sf_dir).join(F.broadcast(allowed), ["slot", "node", "feature"], "left_semi"), split.Regularisation())
+    return _best(spark, sf_dir, split.Regularisation(), allowed={1: frozenset({0, 2}), 2: frozenset({1})})
 
 
 @query("split_symmetric", _SCAN.format(hist=HIST, l=1.0, m=1.0) + ", z AS (SELECT feature, bin, default_left, sum(loss) AS score FROM x WHERE loss > 1e-6 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (ORDER BY sum(loss) DESC, feature, default_left) = 1) SELECT x.node, x.feature, x.bin, x.default_left, round(loss, 1) AS loss, round(gl, 3) AS gl FROM x JOIN z USING (feature, bin, default_left)")
 def split_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg = split.Regularisation()
-    rows = split.best_symmetric(split.candidates(_hist(spark, sf_dir), reg), reg)
-    return rows.select("node", F.col("feature").cast("long").alias("feature"), F.col("bin").cast("long").alias("bin"), "default_left", F.round(F.col("loss").cast("double"), 1).alias("loss"), F.round("gl", 3).alias("gl"))
+    return _best(spark, sf_dir, split.Regularisation(), symmetric=True).select("node", "feature", "bin", "default_left", "loss", "gl")
 
 
 @query("split_categorical_partition", f"""WITH h AS (SELECT * FROM ({HIST}) WHERE feature = 2), t AS (SELECT *, sum(g) OVER p AS tg, sum(h) OVER p AS th, -g / (h + 1) AS place FROM h WINDOW p AS (PARTITION BY node)),
@@ -307,9 +354,8 @@ def split_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
   x AS (SELECT *, gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) AS loss FROM s WHERE hl >= 1 AND th - hl >= 1)
   SELECT node, k AS n_categories, round(loss, 1) AS loss, round(gl, 3) AS gl FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY loss DESC, k) = 1""")
 def split_categorical_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reg = split.Regularisation()
-    rows = split.best(split.candidates(_hist(spark, sf_dir).where("feature = 2"), reg, categorical=[2]), reg)
-    return rows.select("node", F.size("categories").cast("long").alias("n_categories"), F.round(F.col("loss").cast("double"), 1).alias("loss"), F.round("gl", 3).alias("gl"))
+    rows = _level(spark, sf_dir, features=(2,), categorical=(2,))[0].where("feature is not null")
+    return rows.select("node", F.size("categories").cast("long").alias("n_categories"), F.round(F.col("loss").cast("double"), 1).alias("loss"), F.round(F.col("gl")[0], 3).alias("gl"))
 
 
 @query("leaf_values", f"SELECT node, round(-(CASE WHEN sum(g) > 2 THEN sum(g) - 2 WHEN sum(g) < -2 THEN sum(g) + 2 ELSE 0 END) / (sum(h) + 1), 6) AS leaf, round(sum(h), 3) AS cover FROM ({CELLS}) WHERE feature = 0 GROUP BY node")
@@ -356,13 +402,12 @@ def target_stats_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.round("o_orderpriority", 6).alias("encoded"))
 
 
-@query("target_stats_apply", """WITH f AS (SELECT o_orderpriority AS c, sum(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), p AS (SELECT sum(s) / sum(n) AS prior FROM f)
-  SELECT o_orderkey, round(coalesce((s + prior) / (n + 1), prior), 6) AS encoded FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 1) CROSS JOIN p LEFT JOIN f ON o_orderpriority = c""")
+@query("target_stats_apply", """WITH f AS (SELECT o_orderpriority AS c, sum(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT sum(s) / sum(n) AS prior FROM f)
+  SELECT o_orderkey, round(coalesce((s + prior) / (n + 1), prior), 6) AS encoded FROM orders CROSS JOIN p LEFT JOIN f ON o_orderpriority = c""")
 def target_stats_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of even orders, applied to odd ones: the split into fitted and applied rows is the operator's subject."""
     rows = _table(spark, sf_dir, "orders").withColumn("y", F.when(F.col("o_orderstatus") == "P", 1.0).otherwise(0.0))
-    fitted = target_stats.fit(rows.where("o_orderkey % 2 = 0"), ["o_orderpriority"], "y", binary=True)
-    return fitted.transform(rows.where("o_orderkey % 2 = 1")).select("o_orderkey", F.round("o_orderpriority", 6).alias("encoded"))
+    fitted = target_stats.fit(rows, ["o_orderpriority"], "y", binary=True)
+    return fitted.transform(rows).select("o_orderkey", F.round("o_orderpriority", 6).alias("encoded"))
 
 
 # folds

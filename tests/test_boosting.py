@@ -199,38 +199,71 @@ def test_auc_of_known_order(spark):
     assert evaluate("auc", df.where("label = 1"), ["p"]).first()["value"] == 0.5
 
 
-def test_driver_search_and_windows_find_the_same_splits(spark):
-    from sparkboost.operators.split import Regularisation, best, best_of_arrays, candidates
+def plain_best(cells, sizes, reg, cats=()):
+    """The best split of a node by loops: cells[feature][bin] = (g, h, n), bin -1 for missing values."""
+    soft = lambda g: math.copysign(max(abs(g) - reg.alpha, 0), g)
+    gain = lambda g, h: soft(g) ** 2 / (h + reg.lambda_) if h > 0 else 0.0
+    best = None
+    for f, own in enumerate(cells):
+        total = [sum(x[k] for x in own.values()) for k in range(3)]
+        gone = own.get(-1, (0, 0, 0))
+        bins = sorted(b for b in own if b >= 0)
+        if f in cats and len(bins) >= 4:
+            bins.sort(key=lambda b: (-soft(own[b][0]) / (own[b][1] + reg.lambda_), b))
+        sets = [[b] for b in bins] if f in cats and len(bins) < 4 else [bins[: k + 1] for k in range(len(bins))]
+        if f in cats and len(bins) >= 4:
+            sets = [s for k, s in enumerate(sets) if k < 64 or k >= len(bins) - 64]
+        for missing in (False, True) if gone[2] else (False,):
+            for s in reversed(sets) if missing else sets:
+                left = [sum(own[b][k] for b in s) + (gone[k] if missing else 0) for k in range(3)]
+                right = [t - x for t, x in zip(total, left, strict=True)]
+                if min(left[2], right[2]) > 0 and min(left[1], right[1]) >= max(reg.min_child_weight, 1e-300):
+                    loss = np.float32(gain(*left[:2]) + gain(*right[:2]) - gain(*total[:2]))
+                    if loss > 1e-6 and loss >= reg.gamma and (best is None or loss > best[0]):
+                        best = (loss, f, sorted(s) if f in cats else s[-1], missing, left[2])
+    return best
+
+
+def search_of(cells, sizes, reg, cats=()):
+    from sparkboost.operators.split import Chunk, Node, Search
+
+    chunk = Chunk(list(range(len(sizes))), list(sizes), [f in cats for f in range(len(sizes))])
+    hist = np.zeros((3, chunk.cells), dtype=np.int64)
+    for f, own in enumerate(cells):
+        for b, (g, h, n) in own.items():
+            hist[:, chunk.starts[f] + 1 + b] = g * 1024, h * 1024, n
+    return Search(chunk, reg, (1 / 1024, 1 / 1024)), hist, Node(np.array([-np.inf]), np.array([np.inf]))
+
+
+def test_search_is_that_of_plain_loops():
+    from sparkboost.operators.split import Regularisation
 
     rng = np.random.default_rng(9)
-    cells = [(0, n, f, b, float(rng.normal()), float(rng.integers(1, 9)), int(rng.integers(1, 9))) for n in range(4) for f in range(3) for b in range(-1 if f != 1 else 0, 6)]
-    total = {}
-    for _, n, f, _, g, h, c in cells:  # every feature of a node has the same sums
-        t = total.setdefault(n, {}).setdefault(f, [0.0, 0.0, 0])
-        t[0], t[1], t[2] = t[0] + g, t[1] + h, t[2] + c
-    for n, by in total.items():
-        for f in (1, 2):
-            cells.append((0, n, f, 6, by[0][0] - by[f][0], max(by[0][1] - by[f][1], 0.5) + 20, 1 + max(by[0][2] - by[f][2], 1)))
-    hist = spark.createDataFrame(cells, "slot int, node int, feature int, bin int, g double, h double, n long")
-    reg = Regularisation(alpha=0.1, gamma=0.01, min_child_weight=2.0)
-    a = {r["node"]: r for r in best(candidates(hist, reg), reg).collect()}
-    b = {r["node"]: r for r in best_of_arrays(hist.toArrow(), reg)}
-    assert a.keys() == b.keys() and len(a) > 0
-    for n, r in a.items():
-        assert (r["feature"], r["bin"], r["default_left"]) == (b[n]["feature"], b[n]["bin"], b[n]["default_left"])
-        assert r["loss"] == pytest.approx(b[n]["loss"], rel=1e-5) and r["gl"] == pytest.approx(b[n]["gl"])
+    for trial in range(60):
+        sizes, cats = (7, 12, 3, 6), (2, 3) if trial % 2 else ()
+        rows = [[int(rng.integers(-1, s)) for s in sizes] for _ in range(40)]
+        gh = [(int(rng.integers(-40, 40)) / 8, int(rng.integers(1, 16)) / 8) for _ in rows]
+        cells = [{} for _ in sizes]
+        for r, (g, h) in zip(rows, gh, strict=True):
+            for f, b in enumerate(r):
+                x = cells[f].get(b, (0, 0, 0))
+                cells[f][b] = (x[0] + g, x[1] + h, x[2] + 1)
+        reg = Regularisation(alpha=0.25, gamma=0.01, min_child_weight=2.0)
+        want = plain_best(cells, sizes, reg, cats)
+        search, hist, node = search_of(cells, sizes, reg, cats)
+        got = search.best(hist, node)
+        assert got is not None and (got["feature"], got["categories"] if got["feature"] in cats else got["bin"], got["default_left"], got["nl"]) == want[1:] and got["loss"] == pytest.approx(float(want[0]), rel=1e-5)
 
 
 @pytest.mark.parametrize("gone", [0.0, 2.0, -9.0])
-def test_category_sets_at_the_high_end(spark, gone):
+def test_category_sets_at_the_high_end(gone):
     """300 categories of which the last 10 by leaf weight differ, with missing values like either side."""
-    from sparkboost.operators.split import Regularisation, best, candidates
+    from sparkboost.operators.split import Regularisation
 
     g = [1.0 if (b * 7) % 300 < 290 else -20.0 for b in range(300)]
-    rows = [(0, 0, 0, b, x, 2.0, 2) for b, x in enumerate(g)] + ([(0, 0, 0, -1, 40 * gone, 40.0, 40)] if gone else [])
-    hist = spark.createDataFrame(rows, "slot int, node int, feature int, bin int, g double, h double, n long")
-    reg = Regularisation()
-    r = best(candidates(hist, reg, categorical=[0]), reg).first()
+    cells = [{b: (x, 2.0, 2) for b, x in enumerate(g)} | ({-1: (40 * gone, 40.0, 40)} if gone else {})]
+    search, hist, node = search_of(cells, (300,), Regularisation(), (0,))
+    r = search.best(hist, node)
     few = {b for b, x in enumerate(g) if x < 0}
     assert len(few) == 10 and r is not None and set(r["categories"]) == set(range(300)) - few
-    assert r["default_left"] == (gone > 0) and r["nr"] == 20 + (40 if gone < 0 else 0) and r["gr"] == -200 + (40 * gone if gone < 0 else 0)
+    assert r["default_left"] == (gone > 0) and r["nr"] == 20 + (40 if gone < 0 else 0) and r["gr"] == [-200 + (40 * gone if gone < 0 else 0)]
