@@ -146,15 +146,15 @@ class Dist:
             return b[0] * (z * (2 * below - 1) + 2 * density * (v + z * z) / (v - 1) - spread)
         # sum of (F(k) - [k >= y])^2 over counts, and the distance below 0
         total, run, k = np.where(y < 0, -y, 0.0), np.zeros_like(y), 0
-        log = self.log_prob(np.zeros_like(y))
+        mass = np.exp(self.log_prob(np.zeros_like(y)))
         while k < TERMS:
-            run = run + np.exp(log)
-            width = np.clip(np.where(y > k, y - k, 0.0), 0, 1)  # the part of [k, k + 1) below y
+            run = run + mass
+            width = np.clip(y - k, 0, 1)  # the part of [k, k + 1) below y
             total = total + width * run**2 + (1 - width) * (1 - run) ** 2
+            mass = mass * (a / (k + 1) if self.family == "poisson" else (k + b[0]) / (k + 1) * a / (a + b[0]))
             k += 1
-            if (((1 - run) < LEFT_OUT) | (run >= 1)).all() and k > y.max(initial=0):
+            if k > y.max(initial=0) and (mass * np.maximum(k, 1) < LEFT_OUT).all() and (k > a).all():
                 break
-            log = self.log_prob(np.full_like(y, k))
         return total
 
     def gradients(self, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -1,8 +1,8 @@
 """Uniform and normal draws as pure functions of integer keys.
 
 A draw depends on its keys alone, so that it is the same on any number of partitions and when
-a lost partition is computed again.  A row's 64-bit key goes through a chain of affine maps
-modulo different primes; the seed, the round and the slot pick the multipliers, so that draws
+a lost partition is computed again.  A row's 64-bit key goes through a chain of affine and quadratic
+maps modulo different primes; the seed, the round and the slot pick their factors, so that draws
 of different rounds or slots are independent.  All products stay within 62 bits: numpy and SQL
 repeat the arithmetic, and no key overflows.
 """
@@ -32,7 +32,8 @@ def uniform(row: Column, seed: int, iteration: int = 0, slot: int = 0) -> Column
     x = sum(((p * F.lit(a)) % F.lit(PRIMES[0]) for p, a in zip(parts, m, strict=False)), F.lit(m[3]))
     x = x % F.lit(PRIMES[0])
     for k, prime in enumerate(PRIMES[1:]):
-        x = (x * F.lit(m[4 + 2 * k]) + F.lit(m[5 + 2 * k])) % F.lit(prime)
+        factor = F.lit(m[4 + 2 * k]) if prime == PRIMES[-1] else (x + F.lit(m[4 + 2 * k])) % F.lit(prime)
+        x = (x * factor + F.lit(m[5 + 2 * k])) % F.lit(prime)
     return (x + 0.5) / float(PRIMES[-1])
 
 
@@ -43,7 +44,8 @@ def uniform_sql(row: str, seed: int, iteration: int = 0, slot: int = 0) -> str:
     x = " + ".join([*(f"{p} * {a} % {PRIMES[0]}" for p, a in zip(parts, m, strict=False)), str(m[3])])
     x = f"(({x}) % {PRIMES[0]})"
     for k, prime in enumerate(PRIMES[1:]):
-        x = f"(({x} * {m[4 + 2 * k]} + {m[5 + 2 * k]}) % {prime})"
+        factor = m[4 + 2 * k] if prime == PRIMES[-1] else f"(({x} + {m[4 + 2 * k]}) % {prime})"
+        x = f"(({x} * {factor} + {m[5 + 2 * k]}) % {prime})"
     return f"(({x} + 0.5) / {float(PRIMES[-1])!r})"
 
 
@@ -52,7 +54,8 @@ def uniforms(row: np.ndarray, seed: int, iteration: int = 0, slot: int = 0) -> n
     m, key = _maps(seed, iteration, slot), row.astype(np.int64)
     x = (sum((p * a) % PRIMES[0] for p, a in zip((key & _MASK, (key >> 31) & _MASK, (key >> 62) & 3), m, strict=False)) + m[3]) % PRIMES[0]
     for k, prime in enumerate(PRIMES[1:]):
-        x = (x * m[4 + 2 * k] + m[5 + 2 * k]) % prime
+        factor = m[4 + 2 * k] if prime == PRIMES[-1] else (x + m[4 + 2 * k]) % prime
+        x = (x * factor + m[5 + 2 * k]) % prime
     return (x + 0.5) / PRIMES[-1]
 
 
@@ -65,7 +68,7 @@ def normal(row: Column, seed: int, iteration: int = 0, slot: int = 0) -> Column:
 def draw(seed: int, *keys: int) -> float:
     """A driver-side number in [0, 1) of integer keys."""
     x = seed & (1 << 64) - 1
-    for k in (*keys, 0):
+    for k in (0x5EED, *keys, 0):  # the seed is mixed by itself first
         x = (x ^ (k & (1 << 64) - 1)) + 0x9E3779B97F4A7C15 & (1 << 64) - 1
         x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
         x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1

@@ -103,15 +103,15 @@ _COX = "SELECT event_id, value / 20 AS m, CASE WHEN event_type = 'error' THEN -(
 
 @query(
     "grad_cox",
-    f"""WITH r AS ({_COX}), t AS (SELECT abs(y) AS t, sum(exp(m)) AS e, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS d FROM r GROUP BY 1),
-  u AS (SELECT t, d, sum(e) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s FROM t),
-  v AS (SELECT t, sum(d / s) OVER (ORDER BY t) AS a, sum(d / (s * s)) OVER (ORDER BY t) AS b FROM u)
-  SELECT event_id, round(exp(m) * a - CASE WHEN y > 0 THEN 1 ELSE 0 END, 6) AS g, round(exp(m) * a - exp(m) * exp(m) * b, 6) AS h FROM r JOIN v ON abs(y) = t""",
+    f"""WITH r AS ({_COX}), t AS (SELECT abs(y) AS t, sum(exp(m)) AS e FROM r GROUP BY 1),
+  u AS (SELECT t, sum(e) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s FROM t),
+  v AS (SELECT event_id, m, CASE WHEN y > 0 THEN 1 ELSE 0 END AS d, sum(CASE WHEN y > 0 THEN 1 / s ELSE 0 END) OVER o AS a, sum(CASE WHEN y > 0 THEN 1 / (s * s) ELSE 0 END) OVER o AS b FROM r JOIN u ON abs(y) = t WINDOW o AS (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT event_id, round(exp(m) * a - d, 6) AS g, round(exp(m) * a - exp(m) * exp(m) * b, 6) AS h FROM v""",
 )
 def grad_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = objective("survival:cox")
     time = 1 + F.col("event_id") % 97
-    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("value") / 20).alias("m"), F.when(F.col("event_type") == "error", -time).otherwise(time).cast("double").alias("y"))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("row_id"), (F.col("value") / 20).alias("m"), F.when(F.col("event_type") == "error", -time).otherwise(time).cast("double").alias("y"))
     rows = loss.prepare(rows, ["m"], "y", F.lit(1.0))
     g, h = loss.pairs([F.col("m")], F.col("y"), F.lit(1.0))[0]
     return rows.select("event_id", F.round(g, 6).alias("g"), F.round(h, 6).alias("h"))
@@ -226,14 +226,16 @@ def _packed(spark: SparkSession, sf_dir: str):
 SHIFT = (30, 30)
 
 
-def _level(spark: SparkSession, sf_dir: str, reg: split.Regularisation | None = None, *, nodes=(1, 2), features=(0, 1, 2), categorical=(), allowed=None, **options):
+def _level(spark: SparkSession, sf_dir: str, reg: split.Regularisation | None = None, *, nodes=(1, 2), features=(0, 1, 2), categorical=(), allowed=None, keys=False, used=None, **options):
     """Whole sums and best splits of nodes, and their chunks of features."""
     rows, cuts, tree = _packed(spark, sf_dir)
     parts = split.chunks(features, cuts.sizes, [f in categorical for f in range(3)], histogram.CHUNK_CELLS)
     router = Router(tree if 0 not in nodes else Tree(), cuts)
     task = histogram.Task(0, router, list(nodes), [0], {n: 0 if options.get("symmetric") else -1 for n in nodes})
     sums = histogram.partial_sums(rows, [task], parts, 3, cuts.code, SHIFT)
-    known = {(0, n): split.Node(np.array([-np.inf]), np.array([np.inf]), allowed=(allowed or {}).get(n)) for n in nodes}
+    known = {(0, n): split.Node(np.array([-np.inf]), np.array([np.inf]), allowed=(allowed or {}).get(n), key=(n,) if keys else ()) for n in nodes}
+    if used is not None:
+        options |= {"used": ({used[0]}, {(used[0], float(cuts.values[used[0]][used[1]]))}), "cuts": cuts.values}
     return histogram.searched(sums, [task], parts, reg or split.Regularisation(), SHIFT, known, **options), parts
 
 
