@@ -29,7 +29,7 @@ Q, EDITS = 10, 0.08
 #: Bytes of items that are sent to the executors at once; a larger benchmark is worked off in blocks.
 BLOCK_BYTES = 4 << 20
 #: Runs times items, and alignments, that are held together.
-PAIRS, ALIGNED = 1 << 21, 1 << 11
+PAIRS, ALIGNED = 1 << 18, 1 << 11
 
 _P = U64(0x9E3779B97F4A7C15)
 _fold: np.ndarray | None = None
