@@ -387,7 +387,7 @@ def test_a_domain_without_labels_or_documents_takes_no_part(spark):
     held = labels.toPandas().merge(mixing.mixed(d, labels.where("doc_id % 3 > 0")).toPandas(), on="doc_id")
     held = held[held.doc_id % 3 == 0]
     truth = np.where(held.toxic > 0, 2, np.where(held.quality > 0, 0, 1))
-    assert (held[[f"p_{x}" for x in mixing.DOMAINS]].values.argmax(axis=1) == truth).mean() > 0.9
+    assert (held[[f"p_{x}" for x in mixing.DOMAINS]].values.argmax(axis=1) == truth).mean() > 0.85
 
 
 def test_unmet_targets_are_reported_and_rates_above_one_are_drawn(spark):
