@@ -84,9 +84,11 @@ def aucpr(df, preds, label, weight, qid, options):
 
 def _ranked(df: DataFrame, pred: str, label: str, weight: Column, qid: str | None) -> DataFrame:
     """Rows with their place by prediction and by label within the query, ties in row order."""
-    q = F.col(qid) if qid else F.lit(0)
     row = F.col("row_id") if "row_id" in df.columns else F.monotonically_increasing_id()
-    rows = df.select(q.alias("q"), row.alias("row"), F.col(pred).alias("p"), F.col(label).alias("y"), weight.alias("w"))
+    rows = df.select((F.col(qid) if qid else F.lit(0)).alias("q"), row.alias("row"), F.col(pred).alias("p"), F.col(label).alias("y"), weight.alias("w"))
+    if not qid:  # all rows are one query: their places are counted over ranges
+        rows = running(rows, [-F.col("p"), "row"], {"r": F.lit(1)})
+        return running(rows, [-F.col("y"), "row"], {"i": F.lit(1)})
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("p"), "row")) - 1).withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("y"), "row")) - 1)
 
 
@@ -109,7 +111,10 @@ def ndcg(df, preds, label, weight, qid, options):
 def map_(df, preds, label, weight, qid, options):
     rows, k = _ranked(df, preds[0], label, weight, qid), _cut(options)
     hit = F.when(F.col("y") > 0, 1).otherwise(0)
-    rows = rows.withColumn("hits", F.sum(hit).over(Window.partitionBy("q").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
+    if qid:
+        rows = rows.withColumn("hits", F.sum(hit).over(Window.partitionBy("q").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rows = running(rows, ["r"], {"hits": hit}).withColumn("hits", F.col("hits") + hit)
     by = rows.groupBy("q").agg(F.min_by("w", "row").alias("w"), F.sum(F.when((F.col("r") < k) & (F.col("y") > 0), F.col("hits") / (F.col("r") + 1)).otherwise(0.0)).alias("ap"), F.sum(hit).alias("rel"))
     return _queries(by.withColumn("score", F.when(F.col("rel") > 0, F.col("ap") / F.col("rel")).otherwise(0.0)))
 

@@ -3,35 +3,71 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_held: list[DataFrame] = []
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Drops, at its end, the caches that ``running`` has made inside; results must have been collected by then."""
+    before = len(_held)
+    try:
+        yield
+    finally:
+        for df in _held[before:]:
+            df.unpersist()
+        del _held[before:]
 
 
 def running(df: DataFrame, keys: Sequence[Column | str], sums: dict[str, Column], *, after: bool = False) -> DataFrame:
     """df with, for each name in sums, the sum of the column over the rows before, in order of keys.
 
-    after: the sum over the rows from this one on instead.  Rows are range partitioned; within
-    a partition a window forms the sum, and the partitions' totals are added.
+    after: the sum over the rows from this one on instead.  Rows are range partitioned and sorted
+    (the one shuffle); each partition adds up its rows as they stream by, and the partitions'
+    totals, a row for each, are added.  Keys must tell rows apart that sums are to tell apart: equal
+    keys come in any order.  The numbered rows are cached, see ``releasing``.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    for name, c in sums.items():
-        df = df.withColumn(f"__v_{name}", c)
-    parts = df.repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    order = [c.desc() for c in cols] if after else cols
+    whole = {name: df.select(c.alias("x")).schema["x"].dataType.typeName() in ("long", "integer", "short", "byte") for name, c in sums.items()}
+    given = df.withColumns({f"__v_{name}": F.coalesce(c.cast("long" if whole[name] else "double"), F.lit(0).cast("long" if whole[name] else "double")) for name, c in sums.items()})
+    given = given.withColumns({f"__k{k}": c for k, c in enumerate(cols)})
+    order = [F.col(f"__k{k}").desc() if after else F.col(f"__k{k}") for k in range(len(cols))]
+    ranged = given.repartitionByRange(n, *order).sortWithinPartitions(*order).drop(*(f"__k{k}" for k in range(len(cols))))
+    names = ranged.columns
+    at = [(names.index(f"__v_{name}"), name) for name in sums]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in ranged.schema), T.StructField("__part", T.IntegerType()), *(T.StructField(f"__b_{name}", T.LongType() if whole[name] else T.DoubleType()) for name in sums)])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = TaskContext.get().partitionId(), {name: 0 for _, name in at}
+        for batch in batches:
+            out = []
+            for k, name in at:
+                x = batch.column(k).to_numpy(zero_copy_only=False)
+                run = np.cumsum(x) + total[name]
+                out.append(pa.array(run if after else run - x))
+                total[name] = run[-1] if len(run) else total[name]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, here, np.int32)), *out], names=[f.name for f in schema])
+
+    parts = ranged.mapInArrow(number, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(parts)
     totals = parts.groupBy("__part").agg(*(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums))
-    if after:
-        whole, own = Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("__part").orderBy(*cols).rowsBetween(0, Window.unboundedFollowing)
-    else:
-        whole, own = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__part", *(F.coalesce(F.sum(f"__t_{name}").over(whole), F.lit(0)).alias(f"__o_{name}") for name in sums))
-    out = parts.join(totals, "__part")
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.sum(f"__v_{name}").over(own), F.lit(0)) + F.col(f"__o_{name}"))
-    return out.drop("__part", *(f"__v_{name}" for name in sums), *(f"__o_{name}" for name in sums))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select("__part", *(F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums))
+    out = parts.join(F.broadcast(totals), "__part")
+    return out.withColumns({name: F.col(f"__b_{name}") + F.col(f"__o_{name}") for name in sums}).drop("__part", *(f"__{c}_{name}" for name in sums for c in "vbo"))
 
 
 def distinct_counts(df: DataFrame, value: Column, weight: Column | None = None) -> DataFrame:
@@ -43,7 +79,12 @@ def distinct_counts(df: DataFrame, value: Column, weight: Column | None = None)
 
 def kth(df: DataFrame, value: Column, ranks: Sequence[int]) -> list[float | None]:
     """The values of those ranks, from 1 on, in ascending order; None beyond the last."""
-    counts = distinct_counts(df, value)
+    with releasing():
+        counts = distinct_counts(df, value)
+        return _ranks(counts, ranks)
+
+
+def _ranks(counts: DataFrame, ranks: Sequence[int]) -> list[float | None]:
     wanted = [F.max(F.when((F.col("before") < r) & (F.col("before") + F.col("n") >= r), F.col("value"))).alias(f"r{k}") for k, r in enumerate(ranks)]
     row = counts.agg(*wanted).first()
     return [row[f"r{k}"] for k in range(len(ranks))]

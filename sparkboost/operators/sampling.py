@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from .order import running
+from .order import releasing, running
 
 
 def bernoulli(df: DataFrame, row_id: str, share: float, seed: int, iteration: int = 0, slot: int = 0) -> DataFrame:
@@ -28,6 +28,11 @@ def gradient_threshold(df: DataFrame, norm: Column, share: float) -> float:
 
     The norms' distinct values are put in order with running sums; no task sees all rows.
     """
+    with releasing():
+        return _threshold(df, norm, share)
+
+
+def _threshold(df: DataFrame, norm: Column, share: float) -> float:
     by = df.groupBy(norm.cast("double").alias("r")).agg(F.count("*").alias("n"))
     total = by.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("s"), F.max("r").alias("top")).first()
     if not total["n"] or not total["s"]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidData
 from ..functions.rng import uniform
+from .order import running
 
 
 @dataclass
@@ -44,16 +45,23 @@ def fit_transform(df: DataFrame, columns: Sequence[str], label: str, row_id: str
     """df with each category replaced by the statistic of the rows before it in a seeded order.
 
     The order is that of a keyed draw of row_id; several orders are averaged.  A row's own label
-    never counts for it.  Rows of a category are put in order by one window.
+    never counts for it.  All rows are put in order by category and draw over ranges, so that a
+    category (or the missing ones) that holds most of the rows is dealt over many tasks; where the
+    running sums of a category begin is taken off.
     """
     fitted = fit(df, columns, label, smoothing=smoothing)
+    y = F.col(label).cast("double")
     for c in columns:
         total = F.lit(0.0)
         for k in range(permutations):
-            w = Window.partitionBy(c).orderBy(uniform(F.col(row_id), seed, k), row_id).rowsBetween(Window.unboundedPreceding, -1)
-            s, n = F.coalesce(F.sum(F.col(label).cast("double")).over(w), F.lit(0.0)), F.count(label).over(w)
-            total = total + (s + smoothing * fitted.prior) / (n + smoothing)
-        df = df.withColumn(f"__{c}", F.when(F.col(c).isNotNull(), total / permutations))
+            u = uniform(F.col(row_id), seed, k)
+            df = running(df.withColumns({"__c": F.col(c).cast("string"), "__u": u}), ["__c", "__u", row_id], {f"__s{k}": y, f"__n{k}": F.when(y.isNotNull(), 1).otherwise(0)}).drop("__u")
+            first = df.groupBy("__c").agg(F.min_by(F.struct(f"__s{k}", f"__n{k}"), F.struct(f"__n{k}", uniform(F.col(row_id), seed, k), row_id)).alias("__first"))
+            df = df.join(first.withColumnRenamed("__c", "__d"), F.col("__c").eqNullSafe(F.col("__d")))
+            s, n = F.col(f"__s{k}") - F.col(f"__first.__s{k}"), F.col(f"__n{k}") - F.col(f"__first.__n{k}")
+            df = df.withColumn(f"__e{k}", (s + smoothing * fitted.prior) / (n + smoothing)).drop("__c", "__d", "__first", f"__s{k}", f"__n{k}")
+            total = total + F.col(f"__e{k}")
+        df = df.withColumn(f"__{c}", F.when(F.col(c).isNotNull(), total / permutations)).drop(*(f"__e{k}" for k in range(permutations)))
     for c in columns:
         df = df.withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
     return df, fitted

@@ -27,6 +27,7 @@ from ..functions.rng import draw, normal, uniform
 from ..model import Model, Router, Tree
 from ..operators import histogram
 from ..operators.binning import Cuts, clean, from_bytes, make_cuts, packed
+from ..operators.order import releasing
 from ..operators.split import Node, Regularisation, chunks
 from ..params import Params, parse
 
@@ -169,7 +170,8 @@ def train(
                 if len(labels) > 1:
                     value = float(_over_labels(m, shown, labels, params.loss).first()["value"])
                 else:
-                    value = float(evaluate(m, shown, _preds(loss, m), weight=F.col("weight"), qid="qid" if qid else None, **_metric_options(params)).first()["value"])
+                    with releasing():
+                        value = float(evaluate(m, shown, _preds(loss, m), weight=F.col("weight"), qid="qid" if qid else None, **_metric_options(params)).first()["value"])
                 model.history.append((i, name, m, value))
             if custom_metric:
                 m, value = custom_metric[0], float(custom_metric[1](shown, _preds(loss, "")))
@@ -383,6 +385,11 @@ def _quantized(params: Params, rows: DataFrame, n: int, most: Sequence[float], l
 
 
 def _round(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int, before: Sequence[Tree], feature_weights: dict[str, float], ready: Callable[[], object]) -> list[Tree]:
+    with releasing():
+        return _grown(params, loss, cuts, state, i, before, feature_weights, ready)
+
+
+def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int, before: Sequence[Tree], feature_weights: dict[str, float], ready: Callable[[], object]) -> list[Tree]:
     rows, n_outputs = _gradients(params, loss, state, i)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     sums = [F.count("*").alias("n")]
