@@ -225,25 +225,79 @@ class Model:
 
         return self._map(df, keep, [T.StructField(f"interactions{k}", T.ArrayType(T.DoubleType())) for k in range(self.outputs)], f)
 
+    def predict_rows(self, x: np.ndarray, iterations=None) -> np.ndarray:
+        """(rows, outputs) margins of raw features on this machine, without Spark."""
+        return self.margins_of(np.atleast_2d(np.asarray(x, dtype=np.float32)), None if self.linear is not None else self.chosen(iterations))
+
+    def predict_row(self, row: dict[str, float | None], iterations=None) -> list[float]:
+        """Margins of one row, given by feature name; absent features and None are missing."""
+        x = [[np.nan if row.get(f) is None else row[f] for f in self.features]]
+        return self.predict_rows(np.array(x, dtype=np.float32), iterations)[0].tolist()
+
+    def predict_distribution(self, df: DataFrame, keep: Sequence[str] = (), iterations=None, quantiles: Sequence[float] = ()) -> DataFrame:
+        """keep, the distribution's parameters, its ``mean`` and ``variance``, and q0, q1, ... at ``quantiles``, of a dist:* model."""
+        from .functions.distributions import PARAMETERS, Dist, family_of
+
+        family = family_of(self.objective)
+        if not self.objective.startswith("dist:"):
+            raise IncompatibleModel("the model predicts no distribution")
+        names = [*PARAMETERS[family], "mean_value", "variance", *(f"q{k}" for k in range(len(quantiles)))]
+        trees = self.chosen(iterations)
+
+        def f(x: np.ndarray):
+            d = Dist.of_margins(family, list(self.margins_of(x, trees).T))
+            return [pa.array(np.asarray(v, dtype=float)) for v in (*d.p, d.mean(), d.variance(), *(d.quantile(q) for q in quantiles))]
+
+        return self._map(df, keep, [T.StructField(c, T.DoubleType()) for c in names], f)
+
+    def variants(self, row: dict[str, float | None], changes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Predictions of many variants of one row: a null in a feature column of ``changes`` leaves the row's own value."""
+        own = {f: F.lit(None if row.get(f) is None else float(row[f])).cast("float") for f in self.features}
+        full = changes.select(*keep, *(F.coalesce(F.col(f).cast("float"), v).alias(f) if f in changes.columns else v.alias(f) for f, v in own.items()))
+        return self.predict(full, keep)
+
     def virtual_ensemble(self, df: DataFrame, keep: Sequence[str] = (), members: int = 10) -> DataFrame:
-        """keep, ``mean`` and ``knowledge``: mean and population variance of the first margin over truncations.
+        """keep, ``mean``, ``knowledge``, ``data`` and ``total``: uncertainty over truncations of the model.
 
-        The members end at ``members`` evenly spaced iterations of the second half.
+        The members end at ``members`` evenly spaced iterations of the second half.  knowledge: the
+        variance of the members' predictions.  data: of a dist:* model the mean of their variances, of
+        a classifier's entropy the mean of the members'; else null.  total is that of the mean
+        prediction (knowledge and data together).  A classifier's are entropies.
         """
         n = self.iterations
         ends = sorted({n - (n // 2) * k // members for k in range(members)})
-        groups = [[t for t in self.trees if t.output == 0 and begin <= t.iteration < end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
+        groups = [[t for t in self.trees if begin <= t.iteration < end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
+        kind = "dist" if self.objective.startswith("dist:") else "classes" if self.objective in ("binary:logistic", "multi:softprob", "multi:softmax") else ""
+
+        def entropy(p: np.ndarray) -> np.ndarray:
+            return -(p * np.log(np.maximum(p, 1e-300))).sum(axis=-1)
 
         def f(x: np.ndarray):
-            at, seen = np.full(len(x), float(self.base[0])), []
+            at, seen = np.tile(np.array(self.base, dtype=float), (len(x), 1)), []
             for group in groups:
                 for t in group:
-                    at = at + t.weight * np.array(t.value)[t.walk(x)]
-                seen.append(at)
+                    at[:, t.output] += t.weight * np.array(t.value)[t.walk(x)]
+                seen.append(at.copy())
             all_ = np.stack(seen)
-            return [pa.array(all_.mean(axis=0)), pa.array(all_.var(axis=0))]
-
-        return self._map(df, keep, [T.StructField("mean", T.DoubleType()), T.StructField("knowledge", T.DoubleType())], f)
+            none = pa.nulls(len(x), pa.float64())
+            if kind == "classes":
+                if self.outputs == 1:
+                    p = 1 / (1 + np.exp(-all_))
+                    p = np.concatenate([1 - p, p], axis=2)
+                else:
+                    p = np.exp(all_ - all_.max(axis=2, keepdims=True))
+                    p /= p.sum(axis=2, keepdims=True)
+                total, data = entropy(p.mean(axis=0)), entropy(p).mean(axis=0)
+                return [pa.array(p.mean(axis=0)[:, -1].copy()), pa.array(np.maximum(total - data, 0)), pa.array(data), pa.array(total)]
+            if kind == "dist":
+                from .functions.distributions import Dist, family_of
+
+                d = [Dist.of_margins(family_of(self.objective), list(m.T)) for m in all_]
+                mean, data = np.stack([v.mean() for v in d]), np.mean([v.variance() for v in d], axis=0)
+                return [pa.array(mean.mean(axis=0)), pa.array(mean.var(axis=0)), pa.array(data), pa.array(data + mean.var(axis=0))]
+            return [pa.array(all_[..., 0].mean(axis=0)), pa.array(all_[..., 0].var(axis=0)), none, none]
+
+        return self._map(df, keep, [T.StructField(c, T.DoubleType()) for c in ("mean", "knowledge", "data", "total")], f)
 
     def nodes(self, spark: SparkSession) -> DataFrame:
         """All nodes of all trees as a table."""

@@ -30,6 +30,7 @@ from ..operators.binning import Cuts, clean, from_bytes, make_cuts, packed
 from ..operators.order import releasing
 from ..operators.split import Node, Regularisation, chunks
 from ..params import Params, parse
+from .matrix import BinnedMatrix
 
 #: Rounds after which the rows' lineage is cut, where the session has a checkpoint folder.
 CHECKPOINT = 10
@@ -56,7 +57,7 @@ class Grown:
 
 def train(
     params: Params | dict,
-    df: DataFrame,
+    df: DataFrame | BinnedMatrix,
     features: Sequence[str],
     label: str | Sequence[str],
     rounds: int,
@@ -73,7 +74,7 @@ def train(
     init_model: Model | None = None,
     on_round: Callable[[int, Model], bool | None] | None = None,
 ) -> Model:
-    """Fits a model on df.
+    """Fits a model on df, or on rows that ``BinnedMatrix`` has binned (tree_method hist).
 
     label: a column, or several for an elementwise objective, which then has an output for each.
     row_id: a column of distinct whole numbers; row sampling is a pure function of it (without one,
@@ -106,13 +107,18 @@ def train(
     if params.multi_strategy == "multi_output_tree" and (params.booster != "gbtree" or params.tree_method == "exact"):
         raise InvalidParameter("vector leaves need booster gbtree and tree_method hist or approx")
     exact, approx = params.tree_method == "exact", params.tree_method == "approx"
+    matrix = df if isinstance(df, BinnedMatrix) else None
+    if matrix is not None:
+        if exact or approx or init_model or list(features) != matrix.cuts.features:
+            raise InvalidParameter("a binned matrix needs tree_method hist, its own features and no init_model")
+        df, categorical = matrix.rows, [f for f, c in zip(features, matrix.cuts.categorical, strict=True) if c]
     sampled = params.subsample < 1 or params.balanced_bagging is not None
     drawn = sampled or params.langevin or params.quantized_bins > 0
-    source = _source(df, labels, weight, qid, row_id, base_margin, features, need_ids=drawn or params.objective.startswith(("rank:", "survival:cox")))
+    source = _source(df, labels, weight, qid, row_id, base_margin, ["codes"] if matrix is not None else features, need_ids=drawn or params.objective.startswith(("rank:", "survival:cox")))
     names = [c for c in source.columns if c not in features]
     _check_labels(source, loss, len(labels))
     cut = lambda rows, w: make_cuts(rows, features, max_bin=params.max_bin, categorical=categorical, weight=w, exact=exact)
-    cuts = cut(source, F.col("weight"))
+    cuts = matrix.cuts if matrix is not None else cut(source, F.col("weight"))
     base = list(init_model.base) if init_model else ([loss.link(params.base_score)] * loss.outputs if params.base_score is not None else loss.intercepts(source, "label", F.col("weight")))
     raw = approx or (params.booster == "dart" and init_model is not None)
 
@@ -129,7 +135,7 @@ def train(
         out = packed(rows, cuts, [*own, *(features if raw else [])])
         return _spread(_start(out, base_, given)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    state = prepared(source)
+    state = prepared(source) if matrix is None else _spread(_start(source, base, base_margin)).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {}
     for name, e in (evals or {}).items():
         tables[name] = prepared(_source(e, labels, weight, qid, row_id, base_margin, features, need_ids=params.objective.startswith(("rank:", "survival:cox"))))
@@ -235,7 +241,7 @@ def _source(df, labels, weight, qid, row_id, base_margin, features, need_ids) ->
     elif need_ids:
         cols.append(F.xxhash64(*labels, *([qid] if qid else []), *features).alias("row_id"))
     cols += [F.col(c).cast("double").alias(f"__base{k}") for k, c in enumerate(base_margin or [])]
-    return df.select(*cols, *(clean(f).alias(f) for f in features))
+    return df.select(*cols, *(F.col(f) if f == "codes" else clean(f).alias(f) for f in features))
 
 
 def _check_labels(source: DataFrame, loss: Objective, n: int) -> None:

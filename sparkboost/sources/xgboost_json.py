@@ -9,9 +9,9 @@ from ..errors import IncompatibleModel
 from ..model import Model, Tree
 
 
-def read(text: str) -> Model:
-    """The model of an XGBoost JSON document with tree boosters and scalar leaves."""
-    learner = json.loads(text)["learner"]
+def read(document: str | dict) -> Model:
+    """The model of an XGBoost JSON document (or what it parses to) with tree boosters and scalar leaves."""
+    learner = (json.loads(document) if isinstance(document, str) else document)["learner"]
     booster = learner["gradient_booster"]
     weights = None
     if booster["name"] == "dart":
@@ -59,20 +59,29 @@ def read(text: str) -> Model:
 
 
 def write(model: Model) -> str:
-    """The model as an XGBoost JSON document; models with categorical splits or tree weights are refused."""
-    if model.linear is not None or any(c is not None for t in model.trees for c in t.categories) or any(t.weight != 1 for t in model.trees):
-        raise IncompatibleModel("only plain trees with numeric splits are written")
+    """The model as an XGBoost JSON document, with sets of categories and, as a dart booster, tree weights."""
+    if model.linear is not None:
+        raise IncompatibleModel("linear models aren't written")
     trees = []
     for k, t in enumerate(model.trees):
         n = len(t.left)
         parents = t.parents()
+        left, right, default = list(t.left), list(t.right), [int(d) for d in t.default_left]
+        cats, nodes, segments, sizes = [], [], [], []
+        for node, own in enumerate(t.categories):
+            if own is not None:  # the document lists the categories that go right: the children trade places
+                left[node], right[node], default[node] = right[node], left[node], 1 - default[node]
+                nodes.append(node)
+                segments.append(len(cats))
+                sizes.append(len(own))
+                cats += [int(c) for c in own]
         trees.append(
             {
                 "id": k, "tree_param": {"num_nodes": str(n), "num_feature": str(len(model.features)), "num_deleted": "0", "size_leaf_vector": "1"},
-                "left_children": t.left, "right_children": t.right, "parents": [parents.get(i, 2147483647) for i in range(n)],
-                "split_indices": [max(f, 0) for f in t.feature], "split_conditions": [v if f < 0 else c for f, c, v in zip(t.feature, t.threshold, t.value, strict=True)],
-                "split_type": [0] * n, "default_left": [int(d) for d in t.default_left], "base_weights": t.value, "loss_changes": t.gain, "sum_hessian": t.cover,
-                "categories": [], "categories_nodes": [], "categories_segments": [], "categories_sizes": [],
+                "left_children": left, "right_children": right, "parents": [parents.get(i, 2147483647) for i in range(n)],
+                "split_indices": [max(f, 0) for f in t.feature], "split_conditions": [float(v if f < 0 else c) for f, c, v in zip(t.feature, t.threshold, t.value, strict=True)],
+                "split_type": [int(c is not None) for c in t.categories], "default_left": default, "base_weights": [float(v) for v in t.value], "loss_changes": [float(v) for v in t.gain], "sum_hessian": [float(v) for v in t.cover],
+                "categories": cats, "categories_nodes": nodes, "categories_segments": segments, "categories_sizes": sizes,
             }
         )
     base = model.base
@@ -86,4 +95,6 @@ def write(model: Model) -> str:
         "objective": {"name": model.objective}, "feature_names": model.features, "feature_types": [], "attributes": {},
         "gradient_booster": {"name": "gbtree", "model": {"gbtree_model_param": {"num_trees": str(len(trees)), "num_parallel_tree": str(parallel)}, "trees": trees, "tree_info": [t.output for t in model.trees]}},
     }
+    if any(t.weight != 1 for t in model.trees):
+        learner["gradient_booster"] = {"name": "dart", "gbtree": learner["gradient_booster"], "weight_drop": [float(t.weight) for t in model.trees]}
     return json.dumps({"learner": learner, "version": [3, 0, 0]})
