@@ -58,7 +58,8 @@ class Task:
     count: list[int]
     outputs: list[int]
     groups: dict[int, int]  # by node: the parent, by which partial sums are dealt
-    others: dict[int, int] = field(default_factory=dict)  # by parent: (child to count, child to derive)
+    others: dict[int, tuple[int, int]] = field(default_factory=dict)  # by parent: (child to count, child to derive)
+    search: list[int] = field(default_factory=list)  # nodes whose split groups count
 
 
 SUMS = "slot int, grp int, chunk int, node int, kind int, sums binary"
@@ -122,20 +123,89 @@ def partial_sums(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
     return rows.mapInArrow(run, SUMS)
 
 
-def _added(batches: Iterator[pa.RecordBatch], parts: Sequence[Chunk]) -> tuple[dict, dict]:
-    """Sums of nodes, and of parents, by (slot, group, chunk, node)."""
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where new values begin in sorted rows of keys."""
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
+
+
+def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], n_features: int, code: type, sample: Sample | None = None) -> DataFrame:
+    """How many split groups begin and end at each cell of the nodes to search: columns SUMS, kind 2.
+
+    rows: as for ``partial_sums``, and ``grp``.  A node's group is put together from all its rows
+    (least and largest bin of each feature, whether any value is missing): partitions emit one row
+    for each group and node they hold, a shuffle by group merges them.  The counts are those of
+    groups by least bin and by largest bin, of all groups and of those without missing values, and
+    in the cell of missing values the number of groups that have any.
+    """
+    at = {c: k for k, c in enumerate(rows.columns)}
+    kinds = "slot int, node int, grp long, low binary, high binary, gone binary"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def packed_rows(keys: np.ndarray, low: np.ndarray, high: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0].astype(np.int32)), pa.array(keys[:, 1].astype(np.int32)), pa.array(keys[:, 2].copy()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (low, high, gone))], names=names)
+
+    def merged_rows(keys, low, high, gone):
+        order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+        keys, low, high, gone = keys[order], low[order], high[order], gone[order]
+        first = _edges(keys)
+        return keys[first], np.minimum.reduceat(low, first, axis=0), np.maximum.reduceat(high, first, axis=0), np.maximum.reduceat(gone, first, axis=0)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = from_bytes(batch.column(at["codes"]), n_features, code).astype(np.uint16)
+            column = lambda c: batch.column(at[c]).to_numpy(zero_copy_only=False) if c in at else None  # noqa: E731, B023
+            for t in tasks:
+                node = t.router(codes)
+                use = np.isin(node, t.search) & (sum(column(f"h{k}") for k in t.outputs) > 0)
+                inside = sample.inside(t.slot, column("key"), column("chance")) if sample else None
+                own = np.flatnonzero(use if inside is None else use & inside)
+                if len(own):
+                    keys = np.stack([np.full(len(own), t.slot), node[own], column("grp")[own]], axis=1).astype(np.int64)
+                    x = codes[own]
+                    yield packed_rows(*merged_rows(keys, np.where(x == 0, np.uint16(65535), x), x, (x == 0).astype(np.uint8)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[], [], [], []]
+        for batch in batches:
+            held[0].append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1))
+            for j, kind in ((3, np.uint16), (4, np.uint16), (5, np.uint8)):
+                held[j - 2].append(np.frombuffer(b"".join(batch.column(j).to_pylist()), kind).reshape(batch.num_rows, n_features))
+        if not held[0]:
+            return
+        keys, low, high, gone = merged_rows(*(np.concatenate(x) for x in held))
+        groups = {(t.slot, n): g for t in tasks for n, g in t.groups.items()}
+        edge = _edges(keys[:, :2])
+        for a, b in zip(edge, np.append(edge[1:], len(keys)), strict=True):
+            slot, node = int(keys[a, 0]), int(keys[a, 1])
+            for c, chunk in enumerate(parts):
+                out = np.zeros((5, chunk.cells), dtype=np.int64)
+                for f, start in zip(chunk.features, chunk.starts, strict=False):
+                    there, whole = high[a:b, f] > 0, gone[a:b, f] == 0
+                    for row, x, use in ((0, low, there), (1, high, there), (2, low, there & whole), (3, high, there & whole)):
+                        np.add.at(out[row], start + x[a:b, f][use].astype(np.int64), 1)
+                    out[4, start] = (~whole).sum()
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (slot, groups[slot, node], c, node, 2)), pa.array([out.tobytes()])], names=["slot", "grp", "chunk", "node", "kind", "sums"])
+
+    return rows.mapInArrow(local, kinds).repartition("slot", "node", "grp").mapInArrow(counted, SUMS)
+
+
+def _added(batches: Iterator[pa.RecordBatch], parts: Sequence[Chunk]) -> tuple[dict, dict, dict]:
+    """Sums of nodes, and of parents, by (slot, group, chunk, node), and counts of split groups by (slot, chunk, node)."""
     own: dict[tuple, np.ndarray] = {}
     parents: dict[tuple, np.ndarray] = {}
+    counts: dict[tuple, np.ndarray] = {}
     for batch in batches:
         for slot, grp, chunk, node, kind, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
             sums = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, parts[chunk].cells)
-            if kind:
+            if kind == 2:
+                counts[slot, chunk, node] = sums + counts.get((slot, chunk, node), 0)
+            elif kind:
                 parents[slot, grp, chunk, node] = sums
             elif (slot, grp, chunk, node) in own:
                 own[slot, grp, chunk, node] += sums
             else:
                 own[slot, grp, chunk, node] = sums.copy()
-    return own, parents
+    return own, parents, counts
 
 
 def searched(sums: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], reg: Regularisation, shift: tuple[int, int], nodes: dict[tuple[int, int], Node], *, symmetric: bool = False, used=None, cuts=None) -> DataFrame:
@@ -151,7 +221,7 @@ def searched(sums: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], reg
     kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.float32(), *[pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()] * 2, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parents = _added(batches, parts)
+        own, parents, counts = _added(batches, parts)
         for (slot, grp, chunk, parent), whole in parents.items():
             if parent in by[slot].others:
                 one, other = by[slot].others[parent]
@@ -165,10 +235,12 @@ def searched(sums: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], reg
         for (slot, chunk), hists in levels.items():
             k = len(by[slot].outputs)
             search = Search(parts[chunk], reg, scale, k, used, cuts)
+            search.groups = {n: counts[slot, chunk, n] for n in hists if (slot, chunk, n) in counts}
             score, rows = None, None
             if symmetric:
                 score, rows = search.symmetric(hists, {n: nodes[slot, n] for n in hists}) or (None, {})
             for node, hist in hists.items():
+                search.at = node
                 found = rows.get(node) if symmetric else search.best(hist, nodes[slot, node])
                 total = hist[:, : parts[chunk].starts[1]].sum(axis=1)
                 row = {**(found or {}), "score": score if found else None, "tg": (total[:k] * scale[0]).tolist(), "th": (total[k : 2 * k] * scale[1]).tolist(), "tn": int(total[-1])}

@@ -25,7 +25,7 @@ class Regularisation:
 
     path_smooth pulls a child's output towards its parent's; extra_trees scores one drawn
     threshold of each feature; new_feature and new_threshold are taken off the loss change of splits
-    that the model doesn't use yet.
+    that the model doesn't use yet; min_groups: split groups that both children must hold.
     """
 
     lambda_: float = 1.0
@@ -39,6 +39,7 @@ class Regularisation:
     extra_seed: int = 0
     new_feature: float = 0.0
     new_threshold: float = 0.0
+    min_groups: int = 1
 
     def weight(self, g: Column, h: Column) -> Column:
         """A leaf's value as a column."""
@@ -114,6 +115,8 @@ class Search:
     def __init__(self, chunk: Chunk, reg: Regularisation, scale: tuple[float, float], outputs: int = 1, used: tuple[set[int], set[tuple]] | None = None, cuts: Sequence[np.ndarray] | None = None) -> None:
         self.chunk, self.reg, self.scale, self.k = chunk, reg, scale, outputs
         self.used, self.cuts = used, cuts
+        self.groups: dict[int, np.ndarray] = {}  # by node: counts of split groups, see histogram.group_counts
+        self.at = 0
 
     def _outputs(self, g, h, n, node: Node, whole) -> np.ndarray | None:
         """Outputs of children (outputs, ...) where they aren't the free optimum: clamped, bounded or smoothed."""
@@ -186,10 +189,27 @@ class Search:
         missing_left = np.concatenate([np.zeros(len(cell), bool), np.ones(len(back), bool)])
         left = present[:, at] + np.where(missing_left, gone[:, c.of[at]], 0)
         loss, ok = self._scored(left, total, node, c.of[at])
+        if self.reg.min_groups > 1:
+            ok = ok & self._held(at, missing_left)
         if self.used is not None:
             loss = loss - np.array([self._penalty(c.features[c.of[x]], float(self.cuts[c.features[c.of[x]]][c.bin[x]])) for x in at])
         return c.of[at], c.bin[at], missing_left, loss.astype(np.float32), ok, left
 
+    def _held(self, at: np.ndarray, missing_left: np.ndarray) -> np.ndarray:
+        """Whether both children of numeric candidates hold enough split groups."""
+        c, counts = self.chunk, self.groups.get(self.at)
+        if counts is None:
+            return np.zeros(len(at), dtype=bool)
+        run = np.cumsum(counts[:4], axis=1)
+        start, stop = c.starts[:-1], c.starts[1:] - 1
+        before = run[:, start] - counts[:4, start]
+        up = (run - before[:, c.of])[:, at]
+        total = (run[:, stop] - before)[:, c.of[at]]
+        gone = counts[4, start][c.of[at]]
+        left = np.where(missing_left, gone + up[2], up[0])
+        right = np.where(missing_left, total[1] - up[1], gone + total[3] - up[3])
+        return (left >= self.reg.min_groups) & (right >= self.reg.min_groups)
+
     def categories(self, f: int, hist: np.ndarray, total: np.ndarray, node: Node):
         """Candidates of one categorical feature, with their sets of bins, in scan order."""
         c, k = self.chunk, self.k

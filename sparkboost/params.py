@@ -28,6 +28,7 @@ class Params:
     max_depth: int = 6
     max_leaves: int = 0
     min_child_weight: float = 1.0
+    min_child_groups: int = 1
     max_delta_step: float | None = None
     subsample: float = 1.0
     sampling_method: str = "uniform"
@@ -80,6 +81,8 @@ class Params:
         need(self.device == "cpu", "device must be cpu")
         need(self.tree_method in ("auto", "hist", "approx", "exact"), f"unknown tree_method {self.tree_method!r}")
         need(self.grow_policy in ("depthwise", "lossguide", "symmetric"), f"unknown grow_policy {self.grow_policy!r}")
+        need(self.min_child_groups >= 1, "min_child_groups is at least 1")
+        need(self.min_child_groups == 1 or self.grow_policy != "symmetric", "symmetric trees take no split groups")
         need(self.tree_method != "exact" or self.grow_policy == "depthwise", "exact trees grow by depth")
         need(self.tree_method != "exact" or self.sampling_method == "uniform", "gradient_based sampling needs hist or approx")
         need(self.multi_strategy in ("one_output_per_tree", "multi_output_tree"), f"unknown multi_strategy {self.multi_strategy!r}")

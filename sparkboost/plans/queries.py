@@ -213,26 +213,31 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.binned(rows.withColumn("g", F.col("w") * (F.col("m") - F.col("y"))), binning.make_cuts(rows, FEATURES), ["l_orderkey", "l_linenumber", "tax", "g", "w"])
 
 
-def _packed(spark: SparkSession, sf_dir: str):
+def _packed(spark: SparkSession, sf_dir: str, group: str | None = None):
     """Packed training rows with one pair of gradients, their cuts, and a tree that parts them at tax 0.04 into nodes 1 and 2."""
     rows = lines(spark, sf_dir).withColumns({"g0": F.col("w") * (F.col("m") - F.col("y")), "h0": F.col("w")})
     cuts = binning.make_cuts(rows, FEATURES)
     tree = Tree()
     bin_ = int(cuts.bins_of(2, np.array([0.04], dtype=np.float32))[0])
     tree.split(0, 2, bin_, float(cuts.values[2][bin_]), False, None, 0.0)
-    return binning.packed(rows, cuts, ["g0", "h0"]).select("codes", "g0", "h0"), cuts, tree
+    if group:
+        rows = rows.withColumn("grp", F.col(group).cast("long"))
+    own = ["g0", "h0", *(["grp"] if group else [])]
+    return binning.packed(rows, cuts, own).select("codes", *own), cuts, tree
 
 
 SHIFT = (30, 30)
 
 
-def _level(spark: SparkSession, sf_dir: str, reg: split.Regularisation | None = None, *, nodes=(1, 2), features=(0, 1, 2), categorical=(), allowed=None, keys=False, used=None, **options):
+def _level(spark: SparkSession, sf_dir: str, reg: split.Regularisation | None = None, *, nodes=(1, 2), features=(0, 1, 2), categorical=(), allowed=None, keys=False, used=None, group=None, **options):
     """Whole sums and best splits of nodes, and their chunks of features."""
-    rows, cuts, tree = _packed(spark, sf_dir)
+    rows, cuts, tree = _packed(spark, sf_dir, group)
     parts = split.chunks(features, cuts.sizes, [f in categorical for f in range(3)], histogram.CHUNK_CELLS)
     router = Router(tree if 0 not in nodes else Tree(), cuts)
-    task = histogram.Task(0, router, list(nodes), [0], {n: 0 if options.get("symmetric") else -1 for n in nodes})
+    task = histogram.Task(0, router, list(nodes), [0], {n: 0 if options.get("symmetric") else -1 for n in nodes}, search=list(nodes))
     sums = histogram.partial_sums(rows, [task], parts, 3, cuts.code, SHIFT)
+    if group:
+        sums = sums.unionByName(histogram.group_counts(rows, [task], parts, 3, cuts.code))
     known = {(0, n): split.Node(np.array([-np.inf]), np.array([np.inf]), allowed=(allowed or {}).get(n), key=(n,) if keys else ()) for n in nodes}
     if used is not None:
         options |= {"used": ({used[0]}, {(used[0], float(cuts.values[used[0]][used[1]]))}), "cuts": cuts.values}

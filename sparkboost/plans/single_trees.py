@@ -11,7 +11,7 @@ from ..functions.losses import objective
 from ..functions.metrics import evaluate
 from ..functions.rng import draw, uniform_sql
 from ..operators import split
-from .queries import _SCAN, BINNED, HIST, LINES, _level, lines
+from .queries import _SCAN, BINNED, CELLS, HIST, LINES, _level, lines
 from .train import train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,22 @@ def split_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_level(spark, sf_dir, split.Regularisation(new_feature=_IOTA, new_threshold=_XI), used=_USED)[0])
 
 
+_GROUPS = 40
+
+
+def _groups_sql() -> str:
+    cells = CELLS.replace("SELECT node, feature, coalesce(b, -1) AS bin, g, w AS h FROM", "SELECT node, feature, coalesce(b, -1) AS bin, l_suppkey AS grp FROM").replace("w * g AS g, w FROM", "l_suppkey FROM")
+    return _SCAN.format(hist=HIST, l=1.0, m=1.0) + f""", z AS ({cells}), y AS (SELECT x.node, x.feature, x.bin, x.default_left, count(DISTINCT CASE WHEN z.bin BETWEEN 0 AND x.bin OR (z.bin < 0 AND x.default_left) THEN grp END) AS kl, count(DISTINCT CASE WHEN z.bin > x.bin OR (z.bin < 0 AND NOT x.default_left) THEN grp END) AS kr
+  FROM x JOIN z ON x.node = z.node AND x.feature = z.feature GROUP BY ALL)
+  {_SHOWN} FROM x JOIN y USING (node, feature, bin, default_left) WHERE kl >= {_GROUPS} AND kr >= {_GROUPS} QUALIFY {_PICK}"""
+
+
+@query("split_groups", _groups_sql())
+def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both children hold rows of so many suppliers."""
+    return _found(_level(spark, sf_dir, split.Regularisation(min_groups=_GROUPS), group="l_suppkey")[0])
+
+
 # gradients and metrics of further objectives
 
 _QUERIES = "SELECT event_id, user_id AS q, value / 20 AS m, CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS y FROM events"

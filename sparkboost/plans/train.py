@@ -67,6 +67,7 @@ def train(
     row_id: str | None = None,
     categorical: Sequence[str] = (),
     base_margin: Sequence[str] | None = None,
+    split_group: str | None = None,
     feature_weights: dict[str, float] | None = None,
     evals: dict[str, DataFrame] | None = None,
     early_stopping_rounds: int | None = None,
@@ -79,7 +80,8 @@ def train(
     label: a column, or several for an elementwise objective, which then has an output for each.
     row_id: a column of distinct whole numbers; row sampling is a pure function of it (without one,
     of a hash of the row, so that equal rows share their draws).  feature_weights: of column
-    sampling, 1 if not given.  evals: tables to evaluate after every round.  early_stopping_rounds:
+    sampling, 1 if not given.  split_group: a column of which both children of a split must hold
+    min_child_groups values (numeric features only).  evals: tables to evaluate after every round.  early_stopping_rounds:
     rounds without a strict improvement of the last metric of the last table, after which training
     ends.  on_round: called after each round; True ends training.
     """
@@ -106,6 +108,8 @@ def train(
         raise InvalidParameter("bagging_by_query needs qid")
     if params.multi_strategy == "multi_output_tree" and (params.booster != "gbtree" or params.tree_method == "exact"):
         raise InvalidParameter("vector leaves need booster gbtree and tree_method hist or approx")
+    if params.min_child_groups > 1 and (not split_group or categorical):
+        raise InvalidParameter("min_child_groups needs split_group, and numeric features")
     exact, approx = params.tree_method == "exact", params.tree_method == "approx"
     matrix = df if isinstance(df, BinnedMatrix) else None
     if matrix is not None:
@@ -114,7 +118,7 @@ def train(
         df, categorical = matrix.rows, [f for f, c in zip(features, matrix.cuts.categorical, strict=True) if c]
     sampled = params.subsample < 1 or params.balanced_bagging is not None
     drawn = sampled or params.langevin or params.quantized_bins > 0
-    source = _source(df, labels, weight, qid, row_id, base_margin, ["codes"] if matrix is not None else features, need_ids=drawn or params.objective.startswith(("rank:", "survival:cox")))
+    source = _source(df, labels, weight, qid, row_id, base_margin, ["codes"] if matrix is not None else features, split_group=split_group if params.min_child_groups > 1 else None, need_ids=drawn or params.objective.startswith(("rank:", "survival:cox")))
     names = [c for c in source.columns if c not in features]
     _check_labels(source, loss, len(labels))
     cut = lambda rows, w: make_cuts(rows, features, max_bin=params.max_bin, categorical=categorical, weight=w, exact=exact)
@@ -228,7 +232,7 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def _source(df, labels, weight, qid, row_id, base_margin, features, need_ids) -> DataFrame:
+def _source(df, labels, weight, qid, row_id, base_margin, features, need_ids, split_group=None) -> DataFrame:
     if set(labels) & set(features):
         raise InvalidParameter("the label must not be a feature")
     cols = [F.col(c).cast("double").alias("label" if not k else f"label{k}") for k, c in enumerate(labels)]
@@ -236,6 +240,8 @@ def _source(df, labels, weight, qid, row_id, base_margin, features, need_ids) ->
     cols += [F.col(c).cast("double").alias(c) for c in ("label_lower", "label_upper") if c in df.columns and c not in features]
     if qid:
         cols.append(F.col(qid).alias("qid"))
+    if split_group:
+        cols.append(F.xxhash64(split_group).alias("grp"))
     if row_id:
         cols.append(F.col(row_id).cast("long").alias("row_id"))
     elif need_ids:
@@ -360,6 +366,8 @@ def _gradients(params: Params, loss: Objective, state: DataFrame, i: int) -> tup
     if "row_id" in rows.columns:
         key = F.xxhash64("qid") if params.bagging_by_query else F.col("row_id")
         columns.append(key.alias("key"))
+    if "grp" in rows.columns:
+        columns.append("grp")
     if params.balanced_bagging:
         columns.append(F.when(F.col("label") == 1, params.balanced_bagging[0]).otherwise(params.balanced_bagging[1]).alias("chance"))
     rows = rows.where(F.col("weight") > 0)
@@ -372,7 +380,7 @@ def _gradients(params: Params, loss: Objective, state: DataFrame, i: int) -> tup
         rows = rows.withColumn("chance", F.least(F.lit(1.0), norm / F.lit(u)) if u > 0 else F.lit(1.0))
         for c in outputs:
             rows = rows.withColumn(c, (F.col(c) / F.col("chance")).cast("float"))
-        columns = ["codes", *outputs, "key", "chance"]
+        columns = [*columns, "chance"]
     return rows.select(*columns), len(pairs)
 
 
@@ -416,7 +424,7 @@ def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
         most[0] += 9 * sigma
     shift = histogram.shifts(total["n"], most)
     constraints = {cuts.features.index(f): d for f, d in params.monotone_constraints.items() if d}
-    reg = Regularisation(params.lambda_, params.alpha, params.gamma, params.min_child_weight, params.step_bound, constraints, params.path_smooth, params.extra_trees, params.extra_seed, params.toad_penalty_feature, params.toad_penalty_threshold)
+    reg = Regularisation(params.lambda_, params.alpha, params.gamma, params.min_child_weight, params.step_bound, constraints, params.path_smooth, params.extra_trees, params.extra_seed, params.toad_penalty_feature, params.toad_penalty_threshold, params.min_child_groups)
     vector = params.multi_strategy == "multi_output_tree"
     slots = [(list(range(n_outputs)), p) for p in range(params.num_parallel_tree)] if vector else [([k], p) for k in range(n_outputs) for p in range(params.num_parallel_tree)]
     sampler = _Columns(params, cuts, i, feature_weights)
@@ -571,7 +579,7 @@ class _Grower:
                 else:
                     count.append(n)
             groups = {n: 0 if symmetric else up.get(n, -1) for n in own}
-            tasks.append(histogram.Task(x.slot, Router(x.tree, self.cuts), count, x.outputs, groups, others))
+            tasks.append(histogram.Task(x.slot, Router(x.tree, self.cuts), count, x.outputs, groups, others, own))
             wide += len(count) * (2 * len(x.outputs) + 1)
         # in one pass, or in several over features where a level is too large for a task's memory
         per = max(1, histogram.TASK_CELLS // max(wide, 1))
@@ -585,6 +593,8 @@ class _Grower:
             sums, first = part if sums is None else sums.unionByName(part), stop
         if sums is None:
             return {}
+        if self.params.min_child_groups > 1:
+            sums = sums.unionByName(histogram.group_counts(self.rows, tasks, self.parts, len(self.cuts.features), self.cuts.code, self.sample))
         for table, wanted in parents.values():
             sums = sums.unionByName(histogram.parent_sums(table, {s: sorted(p) for s, p in wanted.items()}, symmetric=symmetric))
         whole = histogram.searched(sums, tasks, self.parts, self.reg, self.shift, nodes, symmetric=symmetric, used=self.used, cuts=self.cuts.values)
