@@ -91,18 +91,24 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
     on, except for those that begin with the end or end with the beginning of one taken before:
     the taken ones then can't overlap and all are replaced at once.  It ends when no pair occurs
     so often or the symbols are used up.  A replacement makes other pairs rarer, so that a round
-    counts only the places of pairs that were frequent in the one before and of new symbols.
+    counts only the places of pairs that were frequent in the one before and of new symbols.  The
+    sequence is a linked list until the end: a round costs as much as the places that it looks at.
     """
     seq, last = ids.astype(np.uint32), last.copy()
+    # a pair is one number, of 32 bits where all symbols have 16
+    bits, kind, factor = (16, np.uint32, 0x9E3779B1) if terminals < 65536 else (32, U64, 0x9E3779B97F4A7C15)
+    mask, drop = kind((1 << bits) - 1), kind(2 * bits - 20)
     lefts, rights = [], []
     symbols = terminals
-    live = ~last
-    live[-1:] = False
+    n = len(seq)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive, marked = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    may = np.flatnonzero(~last[:-1])
     while True:
-        may = np.flatnonzero(live)
-        key = (seq[may].astype(U64) << U64(32)) | seq[may + 1]
-        small = ((key * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int32)
-        stay = np.bincount(small, minlength=1 << 20)[small] >= least
+        key = (seq[may].astype(kind) << kind(bits)) | seq[after[may]]
+        small = ((key * kind(factor)) >> drop).astype(np.int32)
+        coarse = small >> 3  # counts that stay near the processor
+        stay = np.flatnonzero((np.bincount(coarse, minlength=1 << 17) >= least)[coarse])
         may, key, small = may[stay], key[stay], small[stay]
         if not len(may):
             break
@@ -113,10 +119,10 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
         good = np.flatnonzero(count >= least)
         good = good[np.lexsort((pairs[border[good]], -count[good]))]
         best = pairs[border[good]]
-        place = ((best * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int64)
+        place = ((best * kind(factor)) >> drop).astype(np.int64)
         begins, ends, slots = set(), set(), set()
         taken = []
-        for g, (a, b, s) in enumerate(zip((best >> U64(32)).tolist(), (best & U64(0xFFFFFFFF)).tolist(), place.tolist(), strict=True)):
+        for g, (a, b, s) in enumerate(zip((best >> kind(bits)).tolist(), (best & mask).tolist(), place.tolist(), strict=True)):
             if len(taken) >= room:
                 break
             if a not in ends and b not in begins and s not in slots and (a != b or a not in begins and b not in ends):
@@ -133,31 +139,31 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST
         hit = np.flatnonzero(name >= 0)
         hit = hit[names[name[hit]] == key[hit]]
         place, name = may[hit], name[hit].astype(np.int64)
-        twin = names[name] >> U64(32) == names[name] & U64(0xFFFFFFFF)
-        if twin.any():  # in a run of one id every second place
+        twins = names >> kind(bits) == names & mask
+        if twins.any() and (twin := twins[name]).any():  # in a run of one id every second place
             p = place[twin]
-            start = np.flatnonzero(np.concatenate([[True], np.diff(p) != 1]))
+            start = np.flatnonzero(np.concatenate([[True], after[p[:-1]] != p[1:]]))
             nth = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))
             odd = p[nth % 2 == 1]
             stay = ~np.isin(place, odd)
             place, name = place[stay], name[stay]
-        seq[place] = symbols + name
-        keep = np.ones(len(seq), dtype=bool)
-        keep[place + 1] = False
-        last[place] = last[place + 1]
-        live[:] = False
-        live[may] = True
-        live[place] = True
-        live[np.maximum(place - 1, 0)] = True
-        live &= ~last
-        seq, last, live = seq[keep], last[keep], live[keep]
-        live[-1:] = False
-        lefts.append((names >> U64(32)).astype(np.uint32))
-        rights.append((names & U64(0xFFFFFFFF)).astype(np.uint32))
+        gone = after[place]
+        follow = after[gone]
+        seq[place], last[place], after[place], alive[gone] = symbols + name, last[gone], follow, False
+        inside = follow < n
+        before[follow[inside]] = place[inside]
+        marked[may] = True
+        ahead = before[place]
+        marked[ahead[ahead >= 0]] = True
+        may = np.flatnonzero(marked)
+        marked[may] = False
+        may = may[alive[may] & ~last[may] & (after[may] < n)]
+        lefts.append((names >> kind(bits)).astype(np.uint32))
+        rights.append((names & mask).astype(np.uint32))
         symbols += len(names)
         if symbols == 65536:
             break
-    none = np.zeros(0, np.uint32)
+    none, seq, last = np.zeros(0, np.uint32), seq[alive], last[alive]
     ends_at = np.flatnonzero(last) + 1
     return Grammar(terminals, np.concatenate([none, *lefts]), np.concatenate([none, *rights]), seq), np.diff(np.concatenate([[0], ends_at]))
 
@@ -359,7 +365,7 @@ class Encoder:
             start, row = start[stay], row[stay]
         end = np.append(start[1:], len(data))
         key = _names(data, start, end - start)
-        slot = (mix(key[0] ^ key[1] * U64(0xA24BAED4963EE407)) >> U64(43)).astype(np.int64)
+        slot = (mix(key[0] ^ key[1] * U64(0xA24BAED4963EE407)) >> U64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
         there = np.take(self.table, slot, axis=0)
         hit = (there[:, 0] == key[0]) & (there[:, 1] == key[1]) & ~whole[row]
         first, count = there[:, 2].astype(np.int64), there[:, 3].astype(np.int64)
