@@ -41,6 +41,8 @@ class Objective:
     name: str
     metric: str
     options: dict = field(default_factory=dict)
+    #: Whether gradients join, order or run Python, so that a round keeps them instead of forming them at each level.
+    costly = False
 
     @property
     def outputs(self) -> int:
@@ -352,6 +354,8 @@ class Cox(Objective):
     too.  All sums run over ranges of rows, none through one task.
     """
 
+    costly = True
+
     def prepare(self, df, margins, label, weight):
         from ..operators.order import running
 
@@ -384,6 +388,8 @@ class Ranking(Objective):
     rows, never all pairs of a query.
     """
 
+    costly = True
+
     GROUP = "qid"
 
     @property
@@ -444,6 +450,8 @@ class CrossEntropyNdcg(Objective):
     of any size is added up by many tasks.
     """
 
+    costly = True
+
     GROUP = "qid"
 
     def prepare(self, df, margins, label, weight):
@@ -525,6 +533,8 @@ class Distribution(Objective):
     Arrow function on a batch of margins gives them.
     """
 
+    costly = True
+
     @property
     def family(self) -> str:
         return self.name.partition(":")[2]
@@ -586,6 +596,8 @@ class Distribution(Objective):
 class Custom(Objective):
     """An objective of the caller: ``options['pairs'](margins, label, weight)`` gives column pairs."""
 
+    costly = True
+
     @property
     def outputs(self):
         return int(self.options.get("outputs", 1))
@@ -643,6 +655,8 @@ class AcceleratedFailure(Objective):
     need the error function, by an Arrow function.
     """
 
+    costly = True
+
     @property
     def sigma(self) -> float:
         return float(self.options.get("aft_loss_distribution_scale", 1.0))

@@ -29,6 +29,13 @@ def releasing() -> Iterator[None]:
         del _held[before:]
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df in the cache until the next end of ``releasing``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(df)
+    return df
+
+
 def running(df: DataFrame, keys: Sequence[Column | str], sums: dict[str, Column], *, after: bool = False) -> DataFrame:
     """df with, for each name in sums, the sum of the column over the rows before, in order of keys.
 
@@ -61,8 +68,7 @@ def running(df: DataFrame, keys: Sequence[Column | str], sums: dict[str, Column]
                 total[name] = run[-1] if len(run) else total[name]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, here, np.int32)), *out], names=[f.name for f in schema])
 
-    parts = ranged.mapInArrow(number, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    _held.append(parts)
+    parts = hold(ranged.mapInArrow(number, schema))
     totals = parts.groupBy("__part").agg(*(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     totals = totals.select("__part", *(F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums))

@@ -27,7 +27,7 @@ from ..functions.rng import draw, normal, uniform
 from ..model import Model, Router, Tree
 from ..operators import histogram
 from ..operators.binning import Cuts, clean, from_bytes, make_cuts, packed
-from ..operators.order import releasing
+from ..operators.order import hold, releasing
 from ..operators.split import Node, Regularisation, chunks
 from ..params import Params, parse
 from .matrix import BinnedMatrix
@@ -374,7 +374,7 @@ def _gradients(params: Params, loss: Objective, state: DataFrame, i: int) -> tup
     if params.sampling_method == "gradient_based" and params.subsample < 1:
         from ..operators.sampling import gradient_threshold
 
-        rows = rows.select(*columns, "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        rows = hold(rows.select(*columns, "weight"))
         norm = F.sqrt(sum((F.col(f"g{k}") * F.col(f"g{k}") + 0.1 * F.col(f"h{k}") * F.col(f"h{k}") for k in range(len(pairs))), F.lit(0.0)))
         u = gradient_threshold(rows, norm, params.subsample)
         rows = rows.withColumn("chance", F.least(F.lit(1.0), norm / F.lit(u)) if u > 0 else F.lit(1.0))
@@ -405,7 +405,9 @@ def _round(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
 
 def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int, before: Sequence[Tree], feature_weights: dict[str, float], ready: Callable[[], object]) -> list[Tree]:
     rows, n_outputs = _gradients(params, loss, state, i)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = loss.costly or params.subsample < 1 and params.sampling_method == "gradient_based"
+    if kept:  # else every level forms its gradients from the cached margins, and codes are cached once only
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     sums = [F.count("*").alias("n")]
     for k in range(n_outputs):
         sums += [F.max(F.abs(F.col(f"{c}{k}"))).alias(f"m{c}{k}") for c in "gh"] + [F.min(f"h{k}").alias(f"l{k}")]
@@ -450,7 +452,8 @@ def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
         _exact_leaves(params, loss, state, trees, cuts)
     elif sigma or (params.quantized_bins and params.quantized_renew):
         _renewed_leaves(params, reg, rows, trees, cuts, histogram.shifts(total["n"], most), sigma, i)
-    rows.unpersist()
+    if kept:
+        rows.unpersist()
     for t in trees:
         t.value = [v * params.eta / params.num_parallel_tree for v in t.value]
     return trees
