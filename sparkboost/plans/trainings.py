@@ -112,7 +112,7 @@ def train_dart_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("train_linear")
 def train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model = _model(spark, sf_dir, 5, ["l_quantity", "l_tax"], booster="gblinear")
+    rows, model = _model(spark, sf_dir, 5, ["l_quantity", "l_tax"], categorical=(), booster="gblinear")
     return model.predict(rows, KEY)
 
 
