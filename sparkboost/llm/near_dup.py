@@ -31,6 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 AGREE = 98
 #: Rows of a run that are held together; rows and bytes of sets of a group in a run that is dealt out.
 RUN_BLOCK, DEAL_ROWS, DEAL_BYTES = 1 << 16, 2048, 8 << 20
+#: Words of a run's bit sets that are held together.
+JOIN_WORDS = 1 << 20
 
 
 def throw(row: np.ndarray, key: np.ndarray, weight: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +219,12 @@ def _bridges(similarity: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, i, j, group, doc, comp, sets), _ in _runs(batches, 3):
+        for (key, i, j, group, comp, sets), _ in _runs(batches, 3):
             border = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             a, b = [], []
             for lo, hi in zip(border, np.append(border[1:], len(key)), strict=True):
                 if (comp[lo:hi] != comp[lo]).any():
-                    for p, q in _joining(doc[lo:hi], comp[lo:hi], group[lo:hi] if i[lo] != j[lo] else None, [np.frombuffer(x, dtype=U64) for x in sets[lo:hi]], similarity):
+                    for p, q in _joining(comp[lo:hi], group[lo:hi] if i[lo] != j[lo] else None, [np.frombuffer(x, dtype=U64) for x in sets[lo:hi]], similarity):
                         a.append(p)
                         b.append(q)
             if a:
@@ -231,15 +233,27 @@ def _bridges(similarity: float):
     return run
 
 
-def _joining(doc, comp, group, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+def _joining(comp, group, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of components that a pair of rows links; the bits are held JOIN_WORDS words at a time."""
+    n = len(sets)
     size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(n), size)
     _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     place = np.cumsum(shared) - 1
     number, owner = place[number[shared[number]]], owner[shared[number]]
-    bits = np.zeros((len(sets), int(shared.sum()) // 64 + 1), dtype=U64)
-    np.bitwise_or.at(bits, (owner, number >> 6), U64(1) << (number & 63).astype(U64))
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    common = np.zeros((n, n), np.int32)
+    width = int(shared.sum()) // 64 + 1
+    wide = max(1, JOIN_WORDS // n)
+    for w in range(0, width, wide):
+        lo, hi = np.searchsorted(number, [w * 64, (w + wide) * 64])
+        bits = np.zeros((n, min(wide, width - w)), dtype=U64)
+        np.bitwise_or.at(bits, (owner[lo:hi], (number[lo:hi] >> 6) - w), U64(1) << (number[lo:hi] & 63).astype(U64))
+        step = max(1, 2 * JOIN_WORDS // bits.size)
+        for x in range(0, n, step):
+            common[x : x + step] += np.bitwise_count(bits[x : x + step, None] & bits[None]).sum(axis=2, dtype=np.int32)
     head: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -247,22 +261,19 @@ def _joining(doc, comp, group, sets: list[np.ndarray], similarity: float) -> Ite
             c = head[c]
         return c
 
-    step = max(1, (1 << 21) // (bits.shape[1] * len(sets)))
-    for x in range(0, len(sets), step):
+    step = max(1, JOIN_WORDS // n)
+    for x in range(0, n, step):
         a = slice(x, x + step)
-        common = np.bitwise_count(bits[a, None] & bits[None]).sum(axis=2, dtype=np.int64)
-        ok = (common >= similarity * (size[a, None] + size[None] - common) - 1e-9) & (comp[a, None] < comp[None])
+        ok = (common[a] >= similarity * (size[a, None] + size[None] - common[a]) - 1e-9) & (comp[a, None] < comp[None])
         if group is not None:
             ok &= group[a, None] != group[None]
         u, v = np.nonzero(ok)
         if len(u):
-            u += x
-            _, first = np.unique(np.stack([comp[u], comp[v]], axis=1), axis=0, return_index=True)
-            for k in first.tolist():
-                p, q = find(int(comp[u[k]])), find(int(comp[v[k]]))
+            for c, d in np.unique(np.stack([comp[u + x], comp[v]], axis=1), axis=0).tolist():
+                p, q = find(c), find(d)
                 if p != q:
                     head[max(p, q)] = min(p, q)
-                    yield int(doc[u[k]]), int(doc[v[k]])
+                    yield c, d
 
 
 def _sets(width: int):
@@ -316,10 +327,18 @@ def _open_runs(multi: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame
     keys = keys.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("n") / DEAL_ROWS), F.ceil(F.col("size") / DEAL_BYTES)).alias("g"))
     dealt = there.join(keys, "key").withColumn("grp", F.pmod(F.xxhash64("row"), F.col("g")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    dealt = dealt.join(sets, "row").select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "row", "component", "elements")
+    dealt = dealt.join(sets, "row").select("key", F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "component", "elements")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _merged(comps: DataFrame, joined: DataFrame) -> DataFrame:
+    """comps, and rows that were alone, after their components were joined: components of the components' names."""
+    joined = joined.select(F.col("vertex").alias("component"), F.col("component").alias("into"))
+    known = comps.join(joined, "component", "left").select("vertex", F.coalesce("into", "component").alias("component"))
+    alone = joined.join(comps.select(F.col("vertex").alias("component")), "component", "left_anti")
+    return known.unionByName(alone.select(F.col("component").alias("vertex"), F.col("into").alias("component")))
+
+
 def _hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("string").cast("binary")))
 
@@ -362,7 +381,7 @@ def _classes(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame,
     comps = written(connected_components(links), "dedup-components")
     bridges = written(_open_runs(multi, comps, sets).mapInArrow(_bridges(similarity), "a long, b long").distinct(), "dedup-links")
     if not bridges.isEmpty():
-        comps = written(connected_components(links.unionByName(bridges)), "dedup-components")
+        comps = written(_merged(comps, connected_components(bridges)), "dedup-components")
     named = comps.join(reps.select(F.col("rep").alias("vertex"), "first"), "vertex").groupBy("component").agg(least("first", "vertex"))
     named = named.select("component", F.col("f.id").alias("name"), F.col("f.row").alias("keeper"))
     return sig, reps, comps.join(named, "component").withColumnRenamed("vertex", "rep")

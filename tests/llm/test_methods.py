@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,6 +55,40 @@ def test_near_duplicate_classes_are_those_of_all_pairs(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows} == {d: find(d) for d in sets}
 
 
+def test_joining_of_a_run_holds_few_bits_at_once():
+    rng = np.random.default_rng(4)
+    n, near = 1000, 1000
+    sets = np.sort(rng.permutation(np.repeat(rng.choice(2**62, n * near // 2, replace=False).astype(U64), 2)).reshape(n, near), axis=1)
+    sets[7, 50:] = sets[3, 50:]
+    sets = [np.unique(x) for x in sets]
+    comp = np.arange(n) // 2
+    tracemalloc.start()
+    links = list(near_dup._joining(comp, None, sets, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == [(1, 3)]
+    assert peak < 128 << 20  # the bits of all rows alone are 62 MB, and were held twice
+
+
+def test_a_round_of_components_is_written_once(spark, monkeypatch):
+    from sparkboost.llm import graph
+
+    tables, digests = [], []
+    monkeypatch.setattr(graph, "written", lambda df, name, f=graph.written: tables.append(name) or f(df, name))
+    monkeypatch.setattr(graph, "_digest", lambda edges, f=graph._digest: digests.append(1) or f(edges))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 107), (107, 103)], "a long, b long")
+    got = {r["vertex"]: r["component"] for r in graph.connected_components(edges).collect()}
+    assert got == {k: 0 for k in range(61)} | {100: 100, 103: 100, 107: 100}
+    assert len(tables) == len(digests)
+
+
+def test_bridges_join_components_and_single_rows(spark):
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "vertex long, component long")
+    joined = connected_components(spark.createDataFrame([(5, 1), (3, 5), (10, 11)], "a long, b long"))
+    got = sorted(tuple(r) for r in near_dup._merged(comps, joined).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 8), (9, 8), (10, 10), (11, 10)]
+
+
 def test_dart_signatures_agree_as_often_as_weighted_sets_overlap():
     rng = np.random.default_rng(2)
     keys, w = rng.integers(0, 2**48, 200).astype(U64), rng.integers(1, 6, 200) / 2
