@@ -128,12 +128,26 @@ def _edges(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that have so many rows together at most, or one that has more."""
+    waiting, n = [], 0
+    for batch in batches:
+        if n and n + batch.num_rows > rows:
+            yield waiting
+            waiting, n = [], 0
+        waiting.append(batch)
+        n += batch.num_rows
+    if n:
+        yield waiting
+
+
 def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], n_features: int, code: type, sample: Sample | None = None) -> DataFrame:
     """How many split groups begin and end at each cell of the nodes to search: columns SUMS, kind 2.
 
     rows: as for ``partial_sums``, and ``grp``.  A node's group is put together from all its rows
     (least and largest bin of each feature, whether any value is missing): partitions emit one row
-    for each group and node they hold, a shuffle by group merges them.  The counts are those of
+    for each group and node in ROWS of their rows, a shuffle by group merges them, sorted, so that a
+    task holds a batch of them only.  The counts are those of
     groups by least bin and by largest bin, of all groups and of those without missing values, and
     in the cell of missing values the number of groups that have any.
     """
@@ -151,9 +165,9 @@ def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
         return keys[first], np.minimum.reduceat(low, first, axis=0), np.maximum.reduceat(high, first, axis=0), np.maximum.reduceat(gone, first, axis=0)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = from_bytes(batch.column(at["codes"]), n_features, code).astype(np.uint16)
-            column = lambda c: batch.column(at[c]).to_numpy(zero_copy_only=False) if c in at else None  # noqa: E731, B023
+        for several in _together(batches, ROWS):
+            codes = np.concatenate([from_bytes(b.column(at["codes"]), n_features, code) for b in several]).astype(np.uint16)
+            column = lambda c: np.concatenate([b.column(at[c]).to_numpy(zero_copy_only=False) for b in several]) if c in at else None  # noqa: E731, B023
             for t in tasks:
                 node = t.router(codes)
                 use = np.isin(node, t.search) & (sum(column(f"h{k}") for k in t.outputs) > 0)
@@ -164,29 +178,47 @@ def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
                     x = codes[own]
                     yield packed_rows(*merged_rows(keys, np.where(x == 0, np.uint16(65535), x), x, (x == 0).astype(np.uint8)))
 
+    groups = {(t.slot, n): g for t in tasks for n, g in t.groups.items()}
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[], [], [], []]
-        for batch in batches:
-            held[0].append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1))
-            for j, kind in ((3, np.uint16), (4, np.uint16), (5, np.uint8)):
-                held[j - 2].append(np.frombuffer(b"".join(batch.column(j).to_pylist()), kind).reshape(batch.num_rows, n_features))
-        if not held[0]:
-            return
-        keys, low, high, gone = merged_rows(*(np.concatenate(x) for x in held))
-        groups = {(t.slot, n): g for t in tasks for n, g in t.groups.items()}
-        edge = _edges(keys[:, :2])
-        for a, b in zip(edge, np.append(edge[1:], len(keys)), strict=True):
-            slot, node = int(keys[a, 0]), int(keys[a, 1])
-            for c, chunk in enumerate(parts):
-                out = np.zeros((5, chunk.cells), dtype=np.int64)
-                for f, start in zip(chunk.features, chunk.starts, strict=False):
-                    there, whole = high[a:b, f] > 0, gone[a:b, f] == 0
+        """Sorted rows stream by: held are one node's counts, and its last group, which the next batch may go on with."""
+        of, sums, last = None, [], None
+
+        def add(low: np.ndarray, high: np.ndarray, gone: np.ndarray) -> None:
+            for out, chunk in zip(sums, parts, strict=True):
+                for f, size, start in zip(chunk.features, chunk.sizes, chunk.starts, strict=False):
+                    there, whole = high[:, f] > 0, gone[:, f] == 0
                     for row, x, use in ((0, low, there), (1, high, there), (2, low, there & whole), (3, high, there & whole)):
-                        np.add.at(out[row], start + x[a:b, f][use].astype(np.int64), 1)
-                    out[4, start] = (~whole).sum()
-                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (slot, groups[slot, node], c, node, 2)), pa.array([out.tobytes()])], names=["slot", "grp", "chunk", "node", "kind", "sums"])
+                        out[row, start : start + size + 1] += np.bincount(x[use, f], minlength=size + 1)
+                    out[4, start] += (~whole).sum()
 
-    return rows.mapInArrow(local, kinds).repartition("slot", "node", "grp").mapInArrow(counted, SUMS)
+        def closed() -> Iterator[pa.RecordBatch]:
+            add(*last[1:])
+            for c, out in enumerate(sums):
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (of[0], groups[of], c, of[1], 2)), pa.array([out.tobytes()])], names=["slot", "grp", "chunk", "node", "kind", "sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            x = [np.frombuffer(b"".join(batch.column(j).to_pylist()), kind).reshape(batch.num_rows, n_features) for j, kind in ((3, np.uint16), (4, np.uint16), (5, np.uint8))]
+            if last is not None:
+                keys, x = np.concatenate([last[0], keys]), [np.concatenate(two) for two in zip(last[1:], x, strict=True)]
+            keys, *x = merged_rows(keys, *x)
+            edge = _edges(keys[:, :2])
+            for a, b in zip(edge, np.append(edge[1:], len(keys)), strict=True):
+                node = int(keys[a, 0]), int(keys[a, 1])
+                if node != of:
+                    if of is not None:
+                        yield from closed()
+                    of, sums = node, [np.zeros((5, c.cells), dtype=np.int64) for c in parts]
+                add(*(v[a : b - 1] for v in x))
+                last = (keys[b - 1 : b], *(v[b - 1 : b] for v in x))
+        if of is not None:
+            yield from closed()
+
+    keys = ["slot", "node", "grp"]
+    return rows.mapInArrow(local, kinds).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(counted, SUMS)
 
 
 def _added(batches: Iterator[pa.RecordBatch], parts: Sequence[Chunk]) -> tuple[dict, dict, dict]:
