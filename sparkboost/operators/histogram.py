@@ -9,7 +9,7 @@ task searches the splits.  Only best splits come to the driver, whatever the lev
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +23,8 @@ from .split import Chunk, Node, Regularisation, Search
 
 #: Cells of a chunk of features; rows that are counted together; cells that a task holds for one pass.
 CHUNK_CELLS, ROWS, TASK_CELLS = 4096, 1 << 17, 1 << 24
+#: Bytes of a block of rows, and of the blocks that a task is sent at once.
+BLOCK_BYTES, SENT_BYTES = 1 << 22, 1 << 23
 
 
 def shifts(n: int, most: Sequence[float]) -> tuple[int, int]:
@@ -66,25 +68,92 @@ SUMS = "slot int, grp int, chunk int, node int, kind int, sums binary"
 FOUND = "feature int, bin int, default_left boolean, categories array<int>, loss float, gl array<double>, hl array<double>, nl long, gr array<double>, hr array<double>, nr long, wl array<double>, wr array<double>, score double, tg array<double>, th array<double>, tn long"
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that have so many rows together at most, or one that has more."""
+    waiting, n = [], 0
+    for batch in batches:
+        if n and n + batch.num_rows > rows:
+            yield waiting
+            waiting, n = [], 0
+        waiting.append(batch)
+        n += batch.num_rows
+    if n:
+        yield waiting
+
+
+def _kind(column: str, code: type) -> type:
+    """Type of a column's values in blocks."""
+    return code if column == "codes" else np.float32 if column[1:].isdigit() else np.float64 if column == "chance" else np.int64
+
+
+def _largest(column: str) -> str:
+    return f"largest_{column}"
+
+
+def in_blocks(rows: DataFrame, n_features: int, code: type) -> DataFrame:
+    """Rows of codes, gradients and what sampling needs, up to ROWS of them in one row: bytes of each column, their number n.
+
+    Every level reads them, and a row of its own costs many times its counting on the way to Python.
+    Beside them is the largest absolute value of each column of gradients (``largest``).
+    """
+    names, values = rows.columns, [c for c in rows.columns if c[1:].isdigit()]
+    width = sum(np.dtype(_kind(c, code)).itemsize * (n_features if c == "codes" else 1) for c in names)
+    most = max(1, min(ROWS, BLOCK_BYTES // max(width, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for column in _pieces(_together(batches, most), names, n_features, code):
+            x = {c: np.ascontiguousarray(column(c), _kind(c, code)) for c in names}
+            tops = [float(np.abs(x[c].astype(np.float64)).max()) for c in values]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x["codes"])]), *(pa.array([v.tobytes()]) for v in x.values()), *(pa.array([v]) for v in tops)], names=["n", *names, *map(_largest, values)])
+
+    return rows.mapInArrow(run, ", ".join(["n long", *(f"{c} binary" for c in names), *(f"{_largest(c)} double" for c in values)]))
+
+
+def totals(blocks: DataFrame, outputs: int) -> tuple[int, list[float]]:
+    """Number of rows, and the largest absolute gradient and Hessian."""
+    row = blocks.agg(F.sum("n").alias("n"), *(F.greatest(*(F.max(_largest(f"{c}{k}")) for k in range(outputs)), F.lit(0.0)).alias(c) for c in "gh")).first()
+    return row["n"] or 0, [row["g"] or 0.0, row["h"] or 0.0]
+
+
+def _pieces(batches: Iterator[list[pa.RecordBatch]], names: Sequence[str], n_features: int, code: type) -> Iterator[Callable[[str], np.ndarray]]:
+    """Of the rows of each of several batches, or of each block, a function from a column's name to its values."""
+    at = {c: k for k, c in enumerate(names)}
+    for several in batches:
+        if "n" in at:
+            for b in several:
+                for k in range(b.num_rows):
+
+                    def column(c: str, b=b, k=k) -> np.ndarray:
+                        x = np.frombuffer(b.column(at[c])[k].as_buffer(), _kind(c, code))
+                        return x.reshape(b.column(at["n"])[k].as_py(), n_features) if c == "codes" else x
+
+                    yield column
+        else:
+
+            def column(c: str, several=several) -> np.ndarray:
+                one = [from_bytes(b.column(at[c]), n_features, code) if c == "codes" else b.column(at[c]).to_numpy(zero_copy_only=False) for b in several]
+                return np.concatenate(one)
+
+            yield column
+
+
 def partial_sums(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], n_features: int, code: type, shift: tuple[int, int], sample: Sample | None = None, first: int = 0) -> DataFrame:
     """Each partition's sums of the nodes to count: columns SUMS, kind 0.
 
     rows: codes, then g0, h0, g1, h1, ... by output, and if there is a sample its ``key`` and
-    perhaps ``chance``.  first: the number of the first of parts.
+    perhaps ``chance``; or blocks of them.  first: the number of the first of parts.
     """
-    at = {c: k for k, c in enumerate(rows.columns)}
+    columns = rows.columns
     names = ["slot", "grp", "chunk", "node", "kind", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {t.slot: [np.zeros((len(t.count), 2 * len(t.outputs) + 1, c.cells), np.int64) for c in parts] for t in tasks}
-        waiting: list[pa.RecordBatch] = []
 
-        def add() -> None:
-            codes = np.concatenate([from_bytes(b.column(at["codes"]), n_features, code) for b in waiting])
-            column = lambda c: np.concatenate([b.column(at[c]).to_numpy(zero_copy_only=False) for b in waiting])
+        def add(column: Callable[[str], np.ndarray]) -> None:
+            codes = column("codes")
             fixed = {c: np.floor(column(c).astype(np.float64) * 2.0 ** shift[c[0] == "h"] + 0.5) for t in tasks for k in t.outputs for c in (f"g{k}", f"h{k}")}
-            key = column("key") if "key" in at else None
-            chance = column("chance") if "chance" in at else None
+            key = column("key") if "key" in columns and sample else None
+            chance = column("chance") if "chance" in columns and sample else None
             for t in tasks:
                 node = t.router(codes)
                 place = np.full(int(max(node.max(), *t.count)) + 1, -1, dtype=np.int64)
@@ -105,15 +174,8 @@ def partial_sums(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
                             sums[:, j, start : start + size + 1] += np.bincount(cell, weights=w, minlength=whole).astype(np.int64).reshape(len(t.count), -1)
                         sums[:, -1, start : start + size + 1] += np.bincount(cell, minlength=whole).reshape(len(t.count), -1)
 
-        n = 0
-        for batch in batches:
-            if n and n + batch.num_rows > ROWS:
-                add()
-                waiting, n = [], 0
-            waiting.append(batch)
-            n += batch.num_rows
-        if n:
-            add()
+        for column in _pieces(_together(batches, ROWS), columns, n_features, code):
+            add(column)
         for t in tasks:
             for i, node in enumerate(t.count):
                 for c, sums in enumerate(held[t.slot]):
@@ -128,19 +190,6 @@ def _edges(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches that have so many rows together at most, or one that has more."""
-    waiting, n = [], 0
-    for batch in batches:
-        if n and n + batch.num_rows > rows:
-            yield waiting
-            waiting, n = [], 0
-        waiting.append(batch)
-        n += batch.num_rows
-    if n:
-        yield waiting
-
-
 def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk], n_features: int, code: type, sample: Sample | None = None) -> DataFrame:
     """How many split groups begin and end at each cell of the nodes to search: columns SUMS, kind 2.
 
@@ -151,7 +200,7 @@ def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
     groups by least bin and by largest bin, of all groups and of those without missing values, and
     in the cell of missing values the number of groups that have any.
     """
-    at = {c: k for k, c in enumerate(rows.columns)}
+    columns = rows.columns
     kinds = "slot int, node int, grp long, low binary, high binary, gone binary"
     names = [x.split()[0] for x in kinds.split(", ")]
 
@@ -165,13 +214,12 @@ def group_counts(rows: DataFrame, tasks: Sequence[Task], parts: Sequence[Chunk],
         return keys[first], np.minimum.reduceat(low, first, axis=0), np.maximum.reduceat(high, first, axis=0), np.maximum.reduceat(gone, first, axis=0)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for several in _together(batches, ROWS):
-            codes = np.concatenate([from_bytes(b.column(at["codes"]), n_features, code) for b in several]).astype(np.uint16)
-            column = lambda c: np.concatenate([b.column(at[c]).to_numpy(zero_copy_only=False) for b in several]) if c in at else None  # noqa: E731, B023
+        for column in _pieces(_together(batches, ROWS), columns, n_features, code):
+            codes = column("codes").astype(np.uint16)
             for t in tasks:
                 node = t.router(codes)
                 use = np.isin(node, t.search) & (sum(column(f"h{k}") for k in t.outputs) > 0)
-                inside = sample.inside(t.slot, column("key"), column("chance")) if sample else None
+                inside = sample.inside(t.slot, *(column(c) if c in columns else None for c in ("key", "chance"))) if sample else None
                 own = np.flatnonzero(use if inside is None else use & inside)
                 if len(own):
                     keys = np.stack([np.full(len(own), t.slot), node[own], column("grp")[own]], axis=1).astype(np.int64)

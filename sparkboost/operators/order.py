@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 
 _held: list[DataFrame] = []
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
@@ -29,6 +30,20 @@ def releasing() -> Iterator[None]:
         del _held[before:]
 
 
+@contextmanager
+def batches_of(spark, most: int) -> Iterator[None]:
+    """Inside, tasks send Python up to so many bytes in a batch.
+
+    Below 2**31 - 1 the writer measures its batch after every row, which costs more than sending a row of a few numbers.
+    """
+    old = spark.conf.get(_BYTES)
+    spark.conf.set(_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BYTES, old)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """df in the cache until the next end of ``releasing``."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,13 +1,15 @@
 """Training: a driver loop of rounds over one cached table of packed rows.
 
-A round needs one job for the bounds of its gradients and one for each level of its trees.  The
-trees of all outputs and of a forest grow at once: they share those jobs.  Rows are kept as
-packed codes and margins; gradients are column expressions, histograms and margins are made in
-Arrow batches, and only best splits come to the driver.
+A round needs one job that forms its gradients, with their bounds, and one for each level of its
+trees.  The trees of all outputs and of a forest grow at once: they share those jobs.  Rows are kept
+as packed codes and margins; gradients are column expressions, which are held with the codes in blocks
+of many rows for the levels; histograms and margins are made in Arrow batches, and only best splits
+come to the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
@@ -27,7 +29,7 @@ from ..functions.rng import draw, normal, uniform
 from ..model import Model, Router, Tree
 from ..operators import histogram
 from ..operators.binning import Cuts, clean, from_bytes, make_cuts, packed
-from ..operators.order import hold, releasing
+from ..operators.order import batches_of, hold, releasing
 from ..operators.split import Node, Regularisation, chunks
 from ..params import Params, parse
 from .matrix import BinnedMatrix
@@ -55,6 +57,22 @@ class Grown:
         return self.trees[0]
 
 
+def _unmeasured(f):
+    """Rows of few features go to Python in batches that are limited by their number alone."""
+
+    @functools.wraps(f)
+    def run(params, df, features, *args, **options):
+        spark = (df.rows if isinstance(df, BinnedMatrix) else df).sparkSession
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if not 0 < rows * 8 * (len(features) + 16) <= 1 << 26:
+            return f(params, df, features, *args, **options)
+        with batches_of(spark, (1 << 31) - 1):
+            return f(params, df, features, *args, **options)
+
+    return run
+
+
+@_unmeasured
 def train(
     params: Params | dict,
     df: DataFrame | BinnedMatrix,
@@ -141,8 +159,9 @@ def train(
 
     state = prepared(source) if matrix is None else _spread(_start(source, base, base_margin)).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {}
+    same = {name for name, e in (evals or {}).items() if e is df}  # the training rows' own margins
     for name, e in (evals or {}).items():
-        tables[name] = prepared(_source(e, labels, weight, qid, row_id, base_margin, features, need_ids=params.objective.startswith(("rank:", "survival:cox"))))
+        tables[name] = state if name in same else prepared(_source(e, labels, weight, qid, row_id, base_margin, features, need_ids=params.objective.startswith(("rank:", "survival:cox"))))
     model = Model(params.objective, {**params.loss, "targets": len(labels)} if len(labels) > 1 else params.loss, list(features), base, list(init_model.trees) if init_model else [])
     done = model.iterations
     metrics = params.eval_metric or [loss.metric]
@@ -156,7 +175,8 @@ def train(
             model.base = [b * s for b in model.base]
             for t in model.trees:
                 t.weight *= s
-            state, tables = _scaled(state, s), {k: _scaled(t, s) for k, t in tables.items()}
+            state, tables = _scaled(state, s), {k: _scaled(t, s) for k, t in tables.items() if k not in same}
+            tables |= dict.fromkeys(same, state)
         dropped = _dropped(params, model, i)
         seen = _updated(state, dropped, [-t.weight for t in dropped], cuts, features if raw else None) if dropped else state
         if cut_again and i > done:
@@ -170,9 +190,10 @@ def train(
         model.trees += trees
         changed = [*trees, *dropped]
         factors = [*(t.weight for t in trees), *factors[len(trees) :]]
-        old = [state, *tables.values()]
+        old = [state, *(t for k, t in tables.items() if k not in same)]
         advance = lambda t, own=changed, f=factors, cuts=cuts: _kept(_updated(t, own, f, cuts, features if raw else None), i)
-        state, tables = advance(state), {k: advance(t) for k, t in tables.items()}
+        state = advance(state)
+        tables = {k: state if k in same else advance(t) for k, t in tables.items()}
         stop = False
         for name, t in tables.items():
             shown = _shown(loss, t)
@@ -405,26 +426,34 @@ def _round(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
 
 def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int, before: Sequence[Tree], feature_weights: dict[str, float], ready: Callable[[], object]) -> list[Tree]:
     rows, n_outputs = _gradients(params, loss, state, i)
-    kept = loss.costly or params.subsample < 1 and params.sampling_method == "gradient_based"
-    if kept:  # else every level forms its gradients from the cached margins, and codes are cached once only
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    sums = [F.count("*").alias("n")]
-    for k in range(n_outputs):
-        sums += [F.max(F.abs(F.col(f"{c}{k}"))).alias(f"m{c}{k}") for c in "gh"] + [F.min(f"h{k}").alias(f"l{k}")]
-    total = rows.agg(*sums).first()
-    ready()
-    most = [max((total[f"m{c}{k}"] or 0.0) for k in range(n_outputs)) for c in "gh"]
-    if any(math.isnan(x) or math.isinf(x) for x in most):
-        raise InvalidData("a gradient is not finite")
-    counted = rows
+    n, code = len(cuts.features), cuts.code
     sigma = math.sqrt(2 / (params.eta * params.diffusion_temperature)) if params.langevin else 0.0
-    if params.quantized_bins:
-        counted = _quantized(params, rows, n_outputs, most, min(total[f"l{k}"] for k in range(n_outputs)), i)
-    if sigma:
+    renewed = sigma or params.quantized_bins  # rows are read besides the levels
+    kept = renewed and (loss.costly or params.subsample < 1 and params.sampling_method == "gradient_based")
+    counted = rows
+    if renewed:
+        if kept:
+            rows = counted = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        sums = [F.count("*").alias("n")]
         for k in range(n_outputs):
+            sums += [F.max(F.abs(F.col(f"{c}{k}"))).alias(f"m{c}{k}") for c in "gh"] + [F.min(f"h{k}").alias(f"l{k}")]
+        total = rows.agg(*sums).first()
+        n_rows, most = total["n"], [max((total[f"m{c}{k}"] or 0.0) for k in range(n_outputs)) for c in "gh"]
+        _finite(most)
+        if params.quantized_bins:
+            counted = _quantized(params, rows, n_outputs, most, min(total[f"l{k}"] for k in range(n_outputs)), i)
+        for k in range(n_outputs if sigma else 0):
             counted = counted.withColumn(f"g{k}", (F.col(f"g{k}") + sigma * normal(F.col("key"), params.seed, i, 100 + k)).cast("float"))
+    own = set(counted.columns) - (set() if params.balanced_bagging or params.subsample < 1 else {"key"})
+    counted = histogram.in_blocks(counted.select(*(c for c in counted.columns if c in own)), n, code).persist(StorageLevel.MEMORY_AND_DISK)
+    held = histogram.totals(counted, n_outputs)
+    if not renewed:
+        n_rows, most = held
+        _finite(most)
+    ready()
+    if sigma:
         most[0] += 9 * sigma
-    shift = histogram.shifts(total["n"], most)
+    shift = histogram.shifts(n_rows, most)
     constraints = {cuts.features.index(f): d for f, d in params.monotone_constraints.items() if d}
     reg = Regularisation(params.lambda_, params.alpha, params.gamma, params.min_child_weight, params.step_bound, constraints, params.path_smooth, params.extra_trees, params.extra_seed, params.toad_penalty_feature, params.toad_penalty_threshold, params.min_child_groups)
     vector = params.multi_strategy == "multi_output_tree"
@@ -447,11 +476,12 @@ def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
     else:
         grower.by_depth(grown)
     grower.close()
+    counted.unpersist()
     trees = [t for x in grown for t in x.trees]
     if params.leaf_estimation == "exact":
         _exact_leaves(params, loss, state, trees, cuts)
     elif sigma or (params.quantized_bins and params.quantized_renew):
-        _renewed_leaves(params, reg, rows, trees, cuts, histogram.shifts(total["n"], most), sigma, i)
+        _renewed_leaves(params, reg, rows, trees, cuts, shift, sigma, i)
     if kept:
         rows.unpersist()
     for t in trees:
@@ -459,6 +489,11 @@ def _grown(params: Params, loss: Objective, cuts: Cuts, state: DataFrame, i: int
     return trees
 
 
+def _finite(most: Sequence[float]) -> None:
+    if any(math.isnan(x) or math.isinf(x) for x in most):
+        raise InvalidData("a gradient is not finite")
+
+
 def _renewed_leaves(params: Params, reg: Regularisation, rows: DataFrame, trees: Sequence[Tree], cuts: Cuts, shift, sigma: float, i: int) -> None:
     """Leaves from the whole gradients of all their rows, with noise of their own on the sums if sigma isn't 0."""
     got = histogram.leaf_sums(rows, [Router(t, cuts) for t in trees], [t.output for t in trees], len(cuts.features), cuts.code, shift)
@@ -604,7 +639,8 @@ class _Grower:
         keep = self.handed_on and not last
         if keep:
             whole = whole.persist(StorageLevel.MEMORY_AND_DISK)
-        found = whole.drop("sums").collect()
+        with batches_of(whole.sparkSession, histogram.SENT_BYTES):
+            found = whole.drop("sums").collect()
         if keep:
             chain = 1 + max((c for _, c in self.whole.values()), default=0) if parents else 0
             self.tables.append(whole)

@@ -54,3 +54,22 @@ def test_split_groups_are_counted_as_they_stream_by():
     seen = np.frombuffer(out[0].column(5)[0].as_py(), np.int64).reshape(5, -1)
     assert len(out) == 1 and (seen[0, :5] == np.bincount(at[0], minlength=5)).all() and (seen[1, :5] == np.bincount(at[1], minlength=5)).all()
     assert peak < 4 << 20, peak
+
+
+def test_levels_read_blocks_of_rows(spark):
+    """A level's pass sends Python a row for many, and sums them as rows of their own."""
+    rng = np.random.default_rng(5)
+    from pyspark.sql import functions as F
+
+    from sparkboost.operators.binning import make_cuts, packed
+
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 9, (3000, 2)))], "id long, x double, y double").repartition(3)
+    cuts = make_cuts(df, ["x", "y"])
+    rows = packed(df, cuts, ["id"]).select("codes", (F.col("id") * 0.25 - 300).cast("float").alias("g0"), F.lit(1.0).cast("float").alias("h0"), F.col("id").alias("key"))
+    blocks = histogram.in_blocks(rows, 2, cuts.code)
+    assert blocks.count() == 3 and histogram.totals(blocks, 1) == (3000, [449.75, 1.0])
+    parts = chunks([0, 1], cuts.sizes, [False, False], 4096)
+    task = histogram.Task(0, lambda codes: np.zeros(len(codes), np.int64), [0], [0], {0: -1})
+    shift, sample = (20, 20), histogram.Sample(1, 2, 0.5)
+    total = lambda table: sum(np.frombuffer(r["sums"], np.int64) for r in histogram.partial_sums(table, [task], parts, 2, cuts.code, shift, sample).collect())
+    assert (total(blocks) == total(rows)).all() and 0 < total(blocks).reshape(3, -1)[2, :10].sum() < 3000
