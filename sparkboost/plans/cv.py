@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,20 @@ def cv(params: Params | dict, df: DataFrame, features: Sequence[str], label: str
 
     spark = df.sparkSession
     history, models, outsides = [], {}, {}
+    given = options.get("base_margin") or []
+    wanted = {row_id, label, "label_lower", "label_upper", *features, *target_stats, *given, *(options.get(c) for c in ("weight", "qid", "split_group"))}
+    wanted = {c.lower() for c in wanted if c}
+    df = df.select(*(c for c in df.columns if c.lower() in wanted))
     for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
         own = folds.where(F.col("fold") == fold).select(F.col("row_id").alias("__row"), "role")
-        rows = df.join(own, F.col(row_id) == F.col("__row")).drop("__row")
+        # held while the fold trains: what df is made by and the join run once for all its passes
+        rows = df.join(own, F.col(row_id) == F.col("__row")).drop("__row").persist(StorageLevel.MEMORY_AND_DISK)
         inside, outside = rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role")
         if target_stats:
             inside, fitted = ts.fit_transform(inside, target_stats, label, row_id)
             outside = fitted.transform(outside)
         model = train(params, inside, features, label, rounds, row_id=row_id, evals={"train": inside, "test": outside}, early_stopping_rounds=early_stopping_rounds if per_fold else None, **options)
+        rows.unpersist()
         history += [(fold, i, d, m, v) for i, d, m, v in model.history]
         if not history_only:
             models[fold], outsides[fold] = model, outside

@@ -73,3 +73,23 @@ def test_levels_read_blocks_of_rows(spark):
     shift, sample = (20, 20), histogram.Sample(1, 2, 0.5)
     total = lambda table: sum(np.frombuffer(r["sums"], np.int64) for r in histogram.partial_sums(table, [task], parts, 2, cuts.code, shift, sample).collect())
     assert (total(blocks) == total(rows)).all() and 0 < total(blocks).reshape(3, -1)[2, :10].sum() < 3000
+
+
+def test_cv_makes_its_rows_once_a_fold(spark, tmp_path):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from sparkboost.plans.cv import cv
+
+    folder = str(tmp_path)
+
+    def counted(batches):
+        open(f"{folder}/{uuid.uuid4()}", "w").close()
+        yield from batches
+
+    df = spark.range(0, 400, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    df = df.mapInArrow(counted, df.schema)
+    folds = spark.range(0, 800, 1, 1).select((F.col("id") % 2).cast("int").alias("fold"), F.floor(F.col("id") / 2).alias("row_id"), F.when(F.col("id") % 4 < 2, "train").otherwise("test").alias("role"))
+    table = cv({"max_depth": 1}, df, ["x"], "y", 1, folds, row_id="id", history_only=True)[0]
+    assert table.count() == 2 and len(list(tmp_path.iterdir())) == 2
